@@ -43,11 +43,15 @@ def tfidf_terms(docs: DataFrame, key: str, text: str, salts: int = 16) -> DataFr
     """Exact TF-IDF weight of every term in every document, without hashing.
 
     The frequent terms occur in most documents. Joining on the term alone would send
-    each to a single task, so both sides also carry a salt of `salts` values.
+    each to a single task, so both sides also carry a salt of `salts` values. Document
+    frequencies come from the distinct words of each row and need no shuffle per
+    document; where they are few, Spark broadcasts them and nothing is joined by shuffle.
     """
-    words = tokenise(docs.select(key, text), text).select(key, F.explode("words").alias("term"))
-    counts = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    found_in = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    words = tokenise(docs.select(key, text), text).select(key, "words")
+    term = F.explode("words").alias("term")
+    counts = words.select(key, term).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    distinct = words.select(F.explode(F.array_distinct("words")).alias("term"))
+    found_in = distinct.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = docs.agg(F.count(text)).scalar()
     salted = counts.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
     copies = found_in.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -82,8 +82,21 @@ def top_caption(silver: DataFrame) -> DataFrame:
     )
 
 
-def gold(
-    silver: DataFrame, brand: BrandConfig, rules: Rules = DEFAULT_RULES
-) -> DataFrame:
-    metrics = with_signals(tag_totals(silver, rules), brand, rules)
-    return metrics.join(top_caption(silver), "hashtag", "left").select(*INSIGHT.names)
+def best_post() -> tuple[Column, Column]:
+    """Caption and engagement of the post `top_caption` picks, as aggregates."""
+    best_first = F.struct((-F.col("engagement_rate")).alias("rate"), "post_id")
+    return (
+        F.min_by("caption", best_first).alias("top_caption"),
+        F.max("engagement_rate").alias("engagement_rate"),
+    )
+
+
+def gold(silver: DataFrame, brand: BrandConfig, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """All insight columns from one scan and one shuffle.
+
+    Totals and best post are aggregates of the same grouping. Ranking the posts in a
+    window and joining the winners to the totals gives the same rows, but reads silver
+    twice and shuffles it twice.
+    """
+    totals = tag_totals(silver, rules, *best_post())
+    return with_signals(totals, brand, rules).select(*INSIGHT.names)

@@ -147,139 +147,116 @@ def parse_reply(content: Column) -> Column:
     return F.when((F.size(parts) == 2) & whole, F.get(parts, F.lit(0)))
 
 
-def with_items(replies: DataFrame) -> DataFrame:
-    """Add `value` (the parsed reply) and `items` (its objects as maps, NULL where an
-    item is no object; NULL as a whole where the reply is no array)."""
-    parsed = replies.withColumn("value", parse_reply(strip_fences(F.col("content"))))
-    elements = F.try_variant_get("value", "$", "array<variant>")
-    return parsed.withColumn(
-        "items",
-        F.transform(elements, lambda e: F.try_variant_get(e, "$", "map<string,variant>")),
+def _read_item(element: Column) -> Column:
+    """Everything the checks and the table need of one suggestion, in one pass."""
+
+    def field(key: str, kind: str) -> Column:
+        return F.try_variant_get(element, f"$.{key}", kind)
+
+    # A JSON null is a variant; only a missing key gives NULL here.
+    present = [field(key, "variant").isNotNull() for key in REQUIRED_KEYS]
+    score, as_text = field("viral_score", "variant"), field("viral_score", "string")
+    kind = F.schema_of_variant(score)
+    number = field("viral_score", "double")
+    whole = F.when(kind == "STRING", as_text.try_cast("int")).otherwise(number.try_cast("int"))
+    blank = (
+        as_text.isNull()
+        | as_text.isin("", "{}", "[]")
+        | F.coalesce((kind != "STRING") & (number == 0.0), F.lit(False))
     )
-
-
-def _value(item: Column, key: str) -> Column:
-    return F.try_element_at(item, F.lit(key))
-
-
-def _text(item: Column, key: str) -> Column:
-    return F.try_variant_get(_value(item, key), "$", "string")
-
-
-def _tags(item: Column) -> Column:
-    return F.try_variant_get(_value(item, "hashtags"), "$", "array<string>")
-
-
-def _score(item: Column) -> Column:
-    """Whole number, cut off if fractional; text must be a whole number."""
-    value = _value(item, "viral_score")
-    is_text = F.schema_of_variant(value) == "STRING"
-    return F.when(is_text, _text(item, "viral_score").try_cast("int")).otherwise(
-        F.try_variant_get(value, "$", "double").try_cast("int")
+    return F.struct(
+        F.startswith(F.schema_of_variant(element), F.lit("OBJECT")).alias("is_object"),
+        reduce(lambda a, b: a & b, present).alias("is_complete"),
+        field("caption", "string").alias("caption"),
+        field("hashtags", "array<string>").alias("tag_list"),
+        field("hashtags", "string").alias("tag_text"),
+        field("image_prompt", "string").alias("image_prompt"),
+        whole.alias("score"),
+        # The lenient reading: missing, null, zero, false or empty count as unscored.
+        F.when(blank, F.lit(DEFAULT_SCORE)).otherwise(whole).alias("filled_score"),
+        field("rationale", "string").alias("rationale"),
     )
 
 
-def _has_all_keys(item: Column) -> Column:
-    keys = F.map_keys(item)
-    return reduce(
-        lambda a, b: a & b, [F.array_contains(keys, k) for k in REQUIRED_KEYS], F.lit(True)
-    )
-
+def with_items(replies: DataFrame) -> DataFrame:
+    """Add `is_json` and `items`, the suggestions read (NULL where the reply is no array).
 
-def strict_reason(per_reply: int = PER_REPLY) -> Column:
-    """Why a reply is refused; NULL if it is fine."""
-    items = F.col("items")
-    return (
-        F.when(F.col("value").isNull(), "not JSON")
-        .when(items.isNull(), "not an array")
-        .when(
-            F.size(items) != per_reply,
-            F.concat(
-                F.lit(f"expected {per_reply} suggestions, got "), F.size(items).cast("string")
-            ),
-        )
-        .when(F.exists(items, lambda i: i.isNull()), "suggestion is not an object")
-        .when(~F.forall(items, _has_all_keys), "missing keys")
-        .when(F.exists(items, lambda i: _score(i).isNull()), "score is not a whole number")
+    The result passes through an array of one. Filters on what was read stay above it;
+    below, they would read every reply again for each condition.
+    """
+    parsed = replies.withColumn("value", parse_reply(strip_fences(F.col("content"))))
+    elements = F.try_variant_get("value", "$", "array<variant>")
+    read = parsed.select(
+        *replies.columns,
+        F.struct(
+            F.col("value").isNotNull().alias("is_json"),
+            F.transform(elements, _read_item).alias("items"),
+        ).alias("read"),
     )
+    return read.select(*replies.columns, F.inline(F.array("read")))
 
 
 def judge_strict(replies: DataFrame, per_reply: int = PER_REPLY) -> DataFrame:
-    return with_items(replies).withColumn("reason", strict_reason(per_reply))
-
-
-def accepted(judged: DataFrame) -> DataFrame:
-    """One row per suggestion of the accepted replies, in the order of the reply."""
-    kept = judged.filter(F.col("reason").isNull())
-    carried = [c for c in judged.columns if c not in ("content", "value", "items", "reason")]
-    each = kept.select(*carried, F.posexplode("items").alias("position", "item"))
-    item = F.col("item")
-    # A single tag instead of a list becomes a list of one.
-    tags = F.coalesce(_tags(item), F.array(_text(item, "hashtags")))
-    return each.select(
-        *carried,
-        "position",
-        _text(item, "caption").alias("caption"),
-        tags.alias("hashtags"),
-        _text(item, "image_prompt").alias("image_prompt"),
-        _score(item).alias("viral_score"),
-        _text(item, "rationale").alias("rationale"),
+    """Add `reason`, why a reply is refused; NULL if it is fine."""
+    items = F.col("items")
+    count = F.concat(
+        F.lit(f"expected {per_reply} suggestions, got "), F.size(items).cast("string")
     )
-
-
-def quarantined(judged: DataFrame) -> DataFrame:
-    return judged.filter(F.col("reason").isNotNull()).drop("value", "items")
-
-
-def _lenient_score(item: Column) -> Column:
-    """80 where the score is missing, null, zero, false or empty."""
-    value = _value(item, "viral_score")
-    blank = (
-        value.isNull()
-        | F.is_variant_null(value)
-        | F.schema_of_variant(value).isin("OBJECT<>", "ARRAY<VOID>")
-        | (_text(item, "viral_score") == "")
-        | F.coalesce(
-            (F.schema_of_variant(value) != "STRING")
-            & (F.try_variant_get(value, "$", "double") == 0.0),
-            F.lit(False),
-        )
+    reason = (
+        F.when(~F.col("is_json"), "not JSON")
+        .when(items.isNull(), "not an array")
+        .when(F.size(items) != per_reply, count)
+        .when(F.exists(items, lambda i: ~i["is_object"]), "suggestion is not an object")
+        .when(F.exists(items, lambda i: ~i["is_complete"]), "missing keys")
+        .when(F.exists(items, lambda i: i["score"].isNull()), "score is not a whole number")
     )
-    return F.when(F.coalesce(blank, F.lit(True)), F.lit(DEFAULT_SCORE)).otherwise(_score(item))
+    return with_items(replies).withColumn("reason", reason)
 
 
 def judge_lenient(replies: DataFrame) -> DataFrame:
     """A reply passes with one object or more and every score readable or blank."""
     items = F.col("items")
     reason = (
-        F.when(F.col("value").isNull(), "not JSON")
+        F.when(~F.col("is_json"), "not JSON")
         .when(items.isNull() | (F.size(items) < 1), "not a filled array")
-        .when(F.exists(items, lambda i: i.isNull()), "suggestion is not an object")
-        .when(F.exists(items, lambda i: _lenient_score(i).isNull()), "score is not a whole number")
+        .when(F.exists(items, lambda i: ~i["is_object"]), "suggestion is not an object")
+        .when(F.exists(items, lambda i: i["filled_score"].isNull()), "score is not a whole number")
     )
     return with_items(replies).withColumn("reason", reason)
 
 
-def filled(judged: DataFrame, top_tag: Column, keep: int = PER_REPLY) -> DataFrame:
-    """The first `keep` ideas of every accepted reply, gaps filled with defaults."""
-    kept = judged.filter(F.col("reason").isNull())
-    carried = [c for c in judged.columns if c not in ("content", "value", "items", "reason")]
-    each = kept.select(
-        *carried,
-        F.posexplode(F.slice("items", 1, keep)).alias("position", "item"),
-    )
-    item = F.col("item")
+def _each_item(judged: DataFrame, items: Column, tags: Column, score: str) -> DataFrame:
+    """One row per suggestion of the accepted replies, in the order of the reply."""
+    carried = [c for c in judged.columns if c not in ("content", "is_json", "items", "reason")]
+    passed = judged.filter(F.col("reason").isNull())
+    each = passed.select(*carried, F.posexplode(items).alias("position", "item"))
     return each.select(
         *carried,
         "position",
-        _text(item, "caption").alias("caption"),
-        F.coalesce(_tags(item), F.array(top_tag)).alias("hashtags"),
-        _text(item, "image_prompt").alias("image_prompt"),
-        _lenient_score(item).alias("viral_score"),
-        _text(item, "rationale").alias("rationale"),
+        "item.caption",
+        tags.alias("hashtags"),
+        "item.image_prompt",
+        F.col(f"item.{score}").alias("viral_score"),
+        "item.rationale",
     )
 
 
+def accepted(judged: DataFrame) -> DataFrame:
+    """Suggestions of strictly judged replies; a single tag becomes a list of one."""
+    tags = F.coalesce("item.tag_list", F.array("item.tag_text"))
+    return _each_item(judged, F.col("items"), tags, "score")
+
+
+def filled(judged: DataFrame, top_tag: Column, keep: int = PER_REPLY) -> DataFrame:
+    """First `keep` suggestions of leniently judged replies, gaps filled with defaults."""
+    tags = F.coalesce("item.tag_list", F.array(top_tag))
+    return _each_item(judged, F.slice("items", 1, keep), tags, "filled_score")
+
+
+def quarantined(judged: DataFrame) -> DataFrame:
+    return judged.filter(F.col("reason").isNotNull()).drop("is_json", "items")
+
+
 def score_summary(suggestions: DataFrame, key: str = "response_id") -> DataFrame:
     return suggestions.groupBy(key).agg(
         round_half_up(F.avg("viral_score"), 2).alias("avg_viral_score"),

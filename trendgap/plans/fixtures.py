@@ -37,11 +37,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where the input is one file that Spark cannot split.
+
+    Inputs with at least one partition per core are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 # --- Posts from order lines -----------------------------------------------------------
 
 
 def posts_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     parts = table(spark, sf_dir, "part")
     word = [F.split_part("p_name", F.lit(" "), F.lit(n)) for n in (1, 2)]
     hash_ = F.lit("#")
@@ -130,6 +139,10 @@ event_posts AS (
 # --- Scrapes from documents -----------------------------------------------------------
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def _cycle(*options: Column | None) -> Column:
     """A different option on every doc_id in turn."""
     n = len(options)
@@ -151,7 +164,7 @@ def scrapes_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     tags = F.concat(F.lit(" #"), "lang", F.lit(" #Café_"), "source")
     preview = F.concat(F.lit("http://img/"), doc)
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         _cycle(doc, doc, doc, F.lit(""), None).alias("id"),
         _cycle(F.concat(F.lit("p"), doc), None, F.lit("")).alias("shortCode"),
         F.when(F.col("doc_id") % 2 == 0, F.concat("text", tags)).otherwise(F.col("text")).alias("caption"),

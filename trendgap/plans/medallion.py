@@ -59,7 +59,7 @@ def store_replies(
 ) -> DataFrame:
     """Append the suggestions of well-formed replies; return the refused ones."""
     storage.ensure_database(replies.sparkSession, tables)
-    judged = suggestions.judge_strict(replies)
+    judged = storage.materialise(suggestions.judge_strict(replies), "judged")
     at = F.current_timestamp() if created_at is None else created_at
     rows = suggestions.as_table_rows(suggestions.accepted(judged), F.lit(brand.name), at)
     storage.append_table(rows, tables.full("suggestions"))

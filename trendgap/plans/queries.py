@@ -23,7 +23,7 @@ from trendgap.plans import fixtures as fx, oracle_parts as sql
 from trendgap.plans.medallion import bronze, insights_from, silver_from
 from trendgap.plans.oracle_parts import with_
 from trendgap.sources import posts as post_files
-from trendgap.sources.storage import shared_path
+from trendgap.sources.storage import materialise, shared_path
 from trendgap.streaming import medallion as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,11 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights_from(_posts(spark, sf_dir), fx.POST_BRAND, fx.POST_RULES)
 
 
+def _gold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insights as a stored table, for queries that read them more than once."""
+    return materialise(_gold(spark, sf_dir), "gold")
+
+
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise.normalise_feed(fx.scrapes_from_documents(spark, sf_dir))
 
@@ -77,15 +82,15 @@ def _tag_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.tag_stats(_feed(spark, sf_dir), fx.FEED_BRAND)
 
 
-def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _assigned(insights: DataFrame) -> DataFrame:
     """Insights with a cluster number any engine can compute, in place of KMeans."""
     letter = F.ascii(F.substring("hashtag", 2, 1))
     number = F.coalesce(F.right("hashtag", F.lit(2)).try_cast("int"), F.lit(0))
-    return _gold(spark, sf_dir).withColumn("cluster", letter * 100 + number)
+    return insights.withColumn("cluster", letter * 100 + number)
 
 
-def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaps.cluster_rollup(_assigned(spark, sf_dir), fx.POST_RULES)
+def _rollup(insights: DataFrame) -> DataFrame:
+    return gaps.cluster_rollup(_assigned(insights), fx.POST_RULES)
 
 
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,7 +336,7 @@ SELECT source,
 FROM marked"""
 )
 def config_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = fx.table(spark, sf_dir, "documents").select(
+    typed = fx.documents(spark, sf_dir).select(
         "source",
         F.array(
             F.concat(F.lit(" #"), "lang", F.lit(" ")),
@@ -477,7 +482,7 @@ tokens AS (
     + "SELECT doc_id, len(words)::INTEGER AS n_tokens, array_to_string(words, '|') AS tokens FROM tokens"
 )
 def caption_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = gaps.tokenise(fx.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    tokens = gaps.tokenise(fx.documents(spark, sf_dir).select("doc_id", "text"), "text")
     return tokens.select(
         "doc_id", F.size("words").alias("n_tokens"), F.array_join("words", "|").alias("tokens")
     )
@@ -496,7 +501,7 @@ SELECT doc_id, c.term, tf, df,
 FROM counts c JOIN found f ON c.term = f.term""".replace(", counts", ",\ncounts", 1)
 )
 def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = gaps.tfidf_terms(fx.table(spark, sf_dir, "documents"), "doc_id", "text")
+    weights = gaps.tfidf_terms(fx.documents(spark, sf_dir), "doc_id", "text")
     return weights.withColumn("tfidf", values.round_half_up(F.col("tfidf"), 6))
 
 
@@ -505,7 +510,7 @@ ROLLUP_SQL = "* REPLACE (array_to_string(top_hashtags, ',') AS top_hashtags)"
 
 @query(with_(*sql.TO_ROLLUP) + f"SELECT {ROLLUP_SQL} FROM rollup_")
 def cluster_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rollup(spark, sf_dir).withColumn("top_hashtags", joined("top_hashtags"))
+    return _rollup(_gold_table(spark, sf_dir)).withColumn("top_hashtags", joined("top_hashtags"))
 
 
 @query(
@@ -513,18 +518,18 @@ def cluster_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "SELECT cluster, array_to_string(top_hashtags, ',') AS top_hashtags FROM cluster_tags"
 )
 def cluster_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaps.cluster_top_tags(_assigned(spark, sf_dir)).withColumn("top_hashtags", joined("top_hashtags"))
+    return gaps.cluster_top_tags(_assigned(_gold(spark, sf_dir))).withColumn("top_hashtags", joined("top_hashtags"))
 
 
 @query(with_(*sql.TO_ROLLUP) + f"SELECT {ROLLUP_SQL} FROM rollup_ WHERE is_gap_cluster")
 def cluster_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = gaps.gap_clusters(_rollup(spark, sf_dir))
+    found = gaps.gap_clusters(_rollup(_gold_table(spark, sf_dir)))
     return found.withColumn("top_hashtags", joined("top_hashtags"))
 
 
 @query()
 def caption_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    insights = _gold(spark, sf_dir)
+    insights = _gold_table(spark, sf_dir)
     featured = gaps.fit_text(insights, fx.POST_RULES).transform(gaps.captioned(insights))
     parts = gaps.vector_to_array("features")
     return featured.select(
@@ -565,7 +570,7 @@ def top_fit_hashtags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(*sql.TO_ROLLUP) + f"SELECT {TOP_GAP} AS hashtag")
 def top_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.top_gap(_rollup(spark, sf_dir), fx.DEFAULT_GAP)
+    return serving.top_gap(_rollup(_gold_table(spark, sf_dir)), fx.DEFAULT_GAP)
 
 
 @query(
@@ -578,9 +583,8 @@ SELECT (SELECT count(DISTINCT hashtag)::BIGINT FROM gold) AS trending,
 FROM state"""
 )
 def headline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.headline_metrics(
-        _gold(spark, sf_dir), _rollup(spark, sf_dir), _state(spark, sf_dir)
-    )
+    insights = _gold_table(spark, sf_dir)
+    return serving.headline_metrics(insights, _rollup(insights), _state(spark, sf_dir))
 
 
 @query(
@@ -693,8 +697,9 @@ context AS (
 
 
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    insights = _gold_table(spark, sf_dir)
     return suggestions.prompt_context(
-        _gold(spark, sf_dir), _rollup(spark, sf_dir), fx.POST_BRAND, fx.DEFAULT_GAP
+        insights, _rollup(insights), fx.POST_BRAND, fx.DEFAULT_GAP
     )
 
 
