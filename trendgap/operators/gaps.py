@@ -48,10 +48,14 @@ def tfidf_terms(docs: DataFrame, key: str, text: str, salts: int = 16) -> DataFr
     document; where they are few, Spark broadcasts them and nothing is joined by shuffle.
     """
     words = tokenise(docs.select(key, text), text).select(key, "words")
-    term = F.explode("words").alias("term")
-    counts = words.select(key, term).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    distinct = words.select(F.explode(F.array_distinct("words")).alias("term"))
-    found_in = distinct.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Outer, or Spark tests the size of the list below the tokeniser and runs that again.
+    term = F.explode_outer("words").alias("term")
+    once = F.explode_outer(F.array_distinct("words")).alias("term")
+    known = F.col("term").isNotNull()
+    counts = words.select(key, term).filter(known).groupBy(key, "term").agg(
+        F.count(F.lit(1)).alias("tf")
+    )
+    found_in = words.select(once).filter(known).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = docs.agg(F.count(text)).scalar()
     salted = counts.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
     copies = found_in.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

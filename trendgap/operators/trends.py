@@ -31,21 +31,32 @@ def with_mentions(posts: DataFrame, brand: BrandConfig) -> DataFrame:
     )
 
 
-def tag_stats(posts: DataFrame, brand: BrandConfig) -> DataFrame:
-    """Per tag: occurrences, mean of likes + comments (cut to a whole number), and
-    whether a post naming the brand uses it. One aggregate answers all three."""
+def _per_tag(posts: DataFrame, brand: BrandConfig, entries: Column) -> DataFrame:
+    """Counts per entry. The outer explode adds a NULL for posts without entries; the
+    plain one adds a size filter that Spark moves below the normalisation of the posts,
+    which would then search every caption for tags a second and a third time."""
     tagged = with_mentions(posts, brand).select(
-        F.explode("hashtags").alias("tag"),
+        F.explode_outer(entries).alias("tag"),
         (F.col("likes") + F.col("comments")).alias("engagement"),
         "names_brand",
+        "names_competitor",
     )
     return tagged.groupBy("tag").agg(
         F.expr("sum(engagement) div count(*)").alias("avg_engagement"),
         F.count(F.lit(1)).alias("count"),
         F.bool_or("names_brand").alias("used_by_brand"),
+        F.count_if("names_brand").alias("brand_posts"),
+        F.count_if("names_competitor").alias("competitor_posts"),
     )
 
 
+def tag_stats(posts: DataFrame, brand: BrandConfig) -> DataFrame:
+    """Per tag: occurrences, mean of likes + comments (cut to a whole number), and
+    whether a post naming the brand uses it. One aggregate answers all three."""
+    stats = _per_tag(posts, brand, F.col("hashtags")).filter(F.col("tag").isNotNull())
+    return stats.select("tag", "avg_engagement", "count", "used_by_brand")
+
+
 def top_tags(stats: DataFrame, n: int = 8) -> DataFrame:
     return stats.orderBy(*by_engagement()).limit(n)
 
@@ -84,13 +95,14 @@ def share_of_max(top: DataFrame) -> DataFrame:
     return top.withColumn("share", F.col("avg_engagement") / longest * F.lit(100.0))
 
 
-def _as_array(rows: DataFrame, order: tuple, item: Column) -> Column:
-    """The few rows of a limited frame as one ordered array, as a scalar subquery."""
-    placed = rows.select(
-        F.row_number().over(Window.orderBy(*order)).alias("place"), item.alias("item")
+def _newest(posts: DataFrame, n: int) -> Column:
+    """The newest posts as one ordered array, as a scalar subquery."""
+    placed = first_posts(posts, n).select(
+        F.row_number().over(Window.orderBy(*newest_first())).alias("place"),
+        F.struct(*posts.columns).alias("post"),
     )
-    in_order = F.array_sort(F.collect_list(F.struct("place", "item")))
-    return placed.agg(F.transform(in_order, lambda p: p["item"])).scalar()
+    in_order = F.array_sort(F.collect_list(F.struct("place", "post")))
+    return placed.agg(F.transform(in_order, lambda p: p["post"])).scalar()
 
 
 def trend_summary(
@@ -98,34 +110,40 @@ def trend_summary(
 ) -> DataFrame:
     """One row with everything the dashboard and the prompt need.
 
-    The parts are scalar subqueries over limited frames, so nothing is crossed and
-    no array can outgrow `n_posts` or `n_tags`.
+    Every post also counts under a tag of NULL, so the totals come out of the aggregate
+    that serves the tags: one scan, plus one for the newest posts. Of the tags the brand
+    uses, and of those it does not, each task passes on its first `n_tags` only.
     """
-    stats = tag_stats(posts, brand)
-    gap = top_tags(gap_tags(stats), 1).select(F.struct("tag", "avg_engagement"))
+    entries = F.concat(
+        F.array(F.lit(None).cast("string")),
+        F.array_compact(F.coalesce("hashtags", F.array().cast("array<string>"))),
+    )
+    stats = _per_tag(posts, brand, entries)
+    group = F.when(F.col("tag").isNotNull(), F.col("used_by_brand"))
+    best_first = Window.partitionBy(group).orderBy(*by_engagement())
+    leaders = stats.withColumn("place", F.row_number().over(best_first)).filter(
+        F.col("place") <= n_tags
+    )
+    line = F.struct(
+        (-F.col("avg_engagement")).alias("order"), "tag", "avg_engagement", "count"
+    )
+    is_tag = F.col("tag").isNotNull()
+    ranked = F.array_sort(F.collect_list(F.when(is_tag, line)))
+    gaps = F.array_sort(F.collect_list(F.when(is_tag & ~F.col("used_by_brand"), line)))
+
+    def total(column: str) -> Column:
+        return F.coalesce(F.max(F.when(~is_tag, F.col(column))), F.lit(0))
+
     fallback = brand.hashtags[0] if brand.hashtags else FALLBACK_TAG
-    return (
-        mention_counts(posts, brand)
-        .withColumns(
-            {
-                "posts": _as_array(
-                    first_posts(posts, n_posts), newest_first(), F.struct(*posts.columns)
-                ),
-                "top_hashtags": _as_array(
-                    top_tags(stats, n_tags),
-                    by_engagement(),
-                    F.struct("tag", "avg_engagement", "count"),
-                ),
-                "gap": gap.scalar(),
-            }
-        )
-        .select(
-            "posts",
-            "top_hashtags",
-            "competitor_count",
-            "brand_post_count",
-            F.coalesce("gap.tag", F.lit(fallback)).alias("gap_hashtag"),
-            F.coalesce("gap.avg_engagement", F.lit(0)).cast("bigint").alias("gap_engagement"),
-            "total_posts",
-        )
+    return leaders.agg(
+        _newest(posts, n_posts).alias("posts"),
+        F.transform(
+            F.slice(ranked, 1, n_tags),
+            lambda t: F.struct(t["tag"], t["avg_engagement"], t["count"]),
+        ).alias("top_hashtags"),
+        total("competitor_posts").alias("competitor_count"),
+        total("brand_posts").alias("brand_post_count"),
+        F.coalesce(F.get(gaps, F.lit(0))["tag"], F.lit(fallback)).alias("gap_hashtag"),
+        F.coalesce(F.get(gaps, F.lit(0))["avg_engagement"], F.lit(0)).alias("gap_engagement"),
+        total("count").alias("total_posts"),
     )
