@@ -96,7 +96,7 @@ BRAND = BrandConfig("Plum", competitors=("Rose", "Rosehip"))
     ],
 )
 def test_detect_brand(spark, caption, user, expected):
-    found = text.detect_brand(BRAND, F.col("c"), F.col("u"))
+    found = text.first_brand(BRAND, text.lowered(F.col("c"), F.col("u")))
     assert one(spark, found, c=caption, u=user) == expected
 
 

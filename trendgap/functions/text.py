@@ -80,32 +80,37 @@ def competitor_names(tags: Column) -> Column:
     return F.transform(tags, lambda t: F.regexp_replace(t, "^([^#]*)#", "$1"))
 
 
-def mentions(names: Iterable[str], *texts: Column) -> Column:
-    """True if any name occurs, ignoring case, inside any of the texts."""
-    lowered = [F.lower(F.coalesce(t, F.lit(""))) for t in texts]
-    tests = [F.contains(t, F.lit(n.lower())) for n in names for t in lowered]
+def lowered(*texts: Column) -> Column:
+    """Texts joined by blanks, in lower case; NULL counts as empty.
+
+    Keep the result as a column of its own where several tests use it: tests behind an
+    `or` or a `when` would each convert the text again.
+    """
+    return F.lower(F.concat_ws(" ", *[F.coalesce(t, F.lit("")) for t in texts]))
+
+
+def contains_any(names: Iterable[str], *lower_texts: Column) -> Column:
+    """True if any name occurs, ignoring case, inside any of the lower-case texts."""
+    tests = [F.contains(t, F.lit(n.lower())) for n in names for t in lower_texts]
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-def detect_brand(brand: BrandConfig, caption: Column, username: Column) -> Column:
-    """First known brand inside caption or user name, competitors before our own.
+def first_brand(brand: BrandConfig, lower_text: Column) -> Column:
+    """First known brand in the lower-case text, competitors before our own.
 
     A substring test: 'plum' is found in 'plump'.
     """
-    text = F.lower(
-        F.concat(F.coalesce(caption, F.lit("")), F.lit(" "), F.coalesce(username, F.lit("")))
-    )
     known = {name.lower(): name for name in (*brand.competitors, brand.name)}
     found = F.lit(UNKNOWN_BRAND)
     for key, name in reversed(known.items()):
-        found = F.when(F.contains(text, F.lit(key)), F.lit(name)).otherwise(found)
+        found = F.when(F.contains(lower_text, F.lit(key)), F.lit(name)).otherwise(found)
     return found
 
 
 def lexicon_hits(text: Column, words: Iterable[str]) -> Column:
     """Number of distinct lexicon words occurring in the text as substrings."""
-    lowered = F.lower(text)
-    hits = [F.contains(lowered, F.lit(w)).cast("int") for w in dict.fromkeys(words)]
+    lower_text = F.lower(text)
+    hits = [F.contains(lower_text, F.lit(w)).cast("int") for w in dict.fromkeys(words)]
     return F.coalesce(reduce(lambda a, b: a + b, hits, F.lit(0)), F.lit(0))
 
 

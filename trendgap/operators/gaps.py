@@ -94,21 +94,24 @@ def cluster_captions(gold: DataFrame, rules: Rules = DEFAULT_RULES) -> Clusterin
     once to shared storage; the fits read those.
     """
     kept = materialise(captioned(gold), "captioned")
+    rows = kept.count()
+    if rows == 0:
+        return Clustering(kept.withColumn("cluster", F.lit(0)), 0, None)
     featured = fit_text(kept, rules).transform(kept).drop("words", "tf", "tfidf")
     features = materialise(featured, "features")
     k = usable_clusters(features, rules.clusters)
     if k < 2:
-        return Clustering(features.withColumn("cluster", F.lit(0)), features.count(), None)
+        return Clustering(features.withColumn("cluster", F.lit(0)), rows, None)
     model = KMeans(
         k=k, seed=rules.seed, featuresCol="features", predictionCol="cluster"
     ).fit(evenly_placed(features, "hashtag"))
     assigned = model.transform(features)
     score = None
-    if model.summary.k > 1 and sum(size > 0 for size in model.summary.clusterSizes) > 1:
+    if sum(size > 0 for size in model.summary.clusterSizes) > 1:
         score = ClusteringEvaluator(
             predictionCol="cluster", featuresCol="features", metricName="silhouette"
         ).evaluate(assigned)
-    return Clustering(assigned, sum(model.summary.clusterSizes), score)
+    return Clustering(assigned, rows, score)
 
 
 def cluster_top_tags(assigned: DataFrame, n: int = 3) -> DataFrame:

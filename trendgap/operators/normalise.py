@@ -34,6 +34,14 @@ def row_digest(raw: DataFrame) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(f, F.lit("")) for f in fields]), 256)
 
 
+def with_brand(posts: DataFrame, brand: BrandConfig) -> DataFrame:
+    """Add the brand found in caption or user name, and whether it is a competitor."""
+    searched = posts.withColumn("searched", text.lowered(F.col("caption"), F.col("username")))
+    found = searched.withColumn("brand", text.first_brand(brand, F.col("searched")))
+    competitor = (F.col("brand") != brand.name) & (F.col("brand") != UNKNOWN_BRAND)
+    return found.withColumn("is_competitor", competitor).drop("searched")
+
+
 def normalise_posts(
     raw: DataFrame,
     brand: BrandConfig,
@@ -55,10 +63,7 @@ def normalise_posts(
         values.first_count(F.col("commentsCount"), F.col("comments")).alias("comments"),
         text.first_filled(F.col("timestamp"), F.col("takenAtTimestamp"), "").alias("written"),
     )
-    branded = named.withColumn(
-        "brand", text.detect_brand(brand, F.col("caption"), F.col("username"))
-    )
-    return branded.select(
+    return with_brand(named, brand).select(
         "post_id",
         F.lit(form.platform).alias("platform"),
         "brand",
@@ -70,7 +75,7 @@ def normalise_posts(
         "comments",
         values.estimated_shares(F.col("likes"), rules.share_of_likes).alias("shares"),
         values.iso_to_utc(F.col("written"), default_time).alias("timestamp"),
-        ((F.col("brand") != brand.name) & (F.col("brand") != UNKNOWN_BRAND)).alias("is_competitor"),
+        "is_competitor",
     )
 
 

@@ -21,14 +21,19 @@ def newest_first() -> tuple[Column, ...]:
 
 def with_mentions(posts: DataFrame, brand: BrandConfig) -> DataFrame:
     """Flag posts naming a competitor, and posts naming the brand itself."""
-    return posts.withColumns(
+    lowered = posts.withColumns(
         {
-            "names_competitor": text.mentions(
-                brand.competitors, F.col("caption"), F.col("username")
-            ),
-            "names_brand": text.mentions([brand.name], F.col("caption"), F.col("username")),
+            "lower_caption": text.lowered(F.col("caption")),
+            "lower_user": text.lowered(F.col("username")),
         }
     )
+    places = F.col("lower_caption"), F.col("lower_user")
+    return lowered.withColumns(
+        {
+            "names_competitor": text.contains_any(brand.competitors, *places),
+            "names_brand": text.contains_any([brand.name], *places),
+        }
+    ).drop("lower_caption", "lower_user")
 
 
 def _per_tag(posts: DataFrame, brand: BrandConfig, entries: Column) -> DataFrame:

@@ -288,15 +288,8 @@ FROM detected GROUP BY username, brand"""
 def detect_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     usable = normalise.with_usable_caption(fx.scrapes_from_documents(spark, sf_dir), 10)
     user = text.first_filled(F.col("ownerUsername"), F.col("ownerId"), "")
-    found = usable.select(
-        user.alias("username"), text.detect_brand(fx.FEED_BRAND, F.col("caption"), user).alias("brand")
-    )
-    competitor = (F.col("brand") != fx.FEED_BRAND.name) & (F.col("brand") != "Unknown")
-    return (
-        found.groupBy("username", "brand")
-        .agg(F.count(F.lit(1)).alias("posts"))
-        .withColumn("is_competitor", competitor)
-    )
+    found = normalise.with_brand(usable.select(user.alias("username"), "caption"), fx.FEED_BRAND)
+    return found.groupBy("username", "brand", "is_competitor").agg(F.count(F.lit(1)).alias("posts"))
 
 
 @query(

@@ -15,13 +15,10 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POST).json(path)
 
 
-def read_posts_stream(
-    spark: SparkSession, path: str, max_files: int | None = None
-) -> DataFrame:
-    """New files under `path`, each exactly once per checkpoint of the reading query."""
-    reader = spark.readStream.schema(POST)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+def read_posts_stream(spark: SparkSession, path: str, max_files: int) -> DataFrame:
+    """New files under `path`, each exactly once per checkpoint of the reading query, at
+    most `max_files` per micro-batch."""
+    reader = spark.readStream.schema(POST).option("maxFilesPerTrigger", max_files)
     return reader.json(path)
 
 

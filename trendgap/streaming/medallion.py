@@ -15,6 +15,10 @@ from trendgap.schemas import HASHTAG_POST, POST
 from trendgap.sources.posts import read_posts_stream
 
 
+# Files per micro-batch. A backlog is worked off in steps that can each be repeated.
+MAX_FILES = 10_000
+
+
 @dataclass(frozen=True)
 class Paths:
     """Where the layers live; the checkpoints hold what has been read already."""
@@ -43,7 +47,7 @@ def _append(df: DataFrame, paths: Paths, layer: str, every: str | None) -> Strea
 
 
 def start_bronze(
-    spark: SparkSession, paths: Paths, every: str | None = None, max_files: int | None = None
+    spark: SparkSession, paths: Paths, every: str | None = None, max_files: int = MAX_FILES
 ) -> StreamingQuery:
     posts = read_posts_stream(spark, paths.landing, max_files)
     valid = quality.expect(posts, quality.BRONZE_RULES, "bronze_rules")
@@ -55,11 +59,9 @@ def start_silver(
     paths: Paths,
     rules: Rules = DEFAULT_RULES,
     every: str | None = None,
-    max_files: int | None = None,
+    max_files: int = MAX_FILES,
 ) -> StreamingQuery:
-    reader = spark.readStream.schema(POST)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.schema(POST).option("maxFilesPerTrigger", max_files)
     enriched = hashtag_posts(reader.parquet(paths.table("bronze")), rules)
     valid = quality.expect(enriched, quality.SILVER_RULES, "silver_rules")
     return _append(valid, paths, "silver", every)
@@ -83,7 +85,7 @@ def update(
     spark: SparkSession,
     paths: Paths,
     rules: Rules = DEFAULT_RULES,
-    max_files: int | None = None,
+    max_files: int = MAX_FILES,
 ) -> None:
     """Bring bronze and silver up to date with the files that have landed."""
     start_bronze(spark, paths, max_files=max_files).awaitTermination()
