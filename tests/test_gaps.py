@@ -120,6 +120,19 @@ def test_tfidf_terms_match_plain_loops(spark):
         for i, ws in enumerate(words)
         for w, tf in Counter(ws).items()
     }
-    for salts in (1, 4):
-        got = {(i, w): (tf, d, x) for i, w, tf, d, x in values(gaps.tfidf_terms(frame, "id", "t", salts))}
-        assert got == expected
+    for frequent_in in (1, 2, 3, 1000):
+        weights = gaps.tfidf_terms(frame, "id", "t", frequent_in)
+        assert {(i, w): (tf, d, x) for i, w, tf, d, x in values(weights)} == expected
+        assert weights.count() == len(expected)
+
+
+def test_a_term_of_every_document_is_not_joined_by_shuffle(spark):
+    docs = spark.range(0, 20_000, 1, 4).select(
+        F.col("id") * 7 % 20_000 + 1 - 1, F.concat(F.lit("hot rare"), (F.col("id") % 2003).cast("string"))
+    ).toDF("id", "t")
+    weights = gaps.tfidf_terms(docs, "id", "t")
+    rows = weights.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("df").alias("df"))
+    assert values(rows.filter("term = 'hot'")) == [("hot", 20_000, 20_000)]
+    assert rows.filter("n != df").count() == 0 and rows.count() == 2004
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan

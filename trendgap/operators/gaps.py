@@ -39,13 +39,15 @@ def fit_text(gold: DataFrame, rules: Rules = DEFAULT_RULES) -> PipelineModel:
     return Pipeline(stages=text_stages(rules)).fit(captioned(gold))
 
 
-def tfidf_terms(docs: DataFrame, key: str, text: str, salts: int = 16) -> DataFrame:
+def tfidf_terms(docs: DataFrame, key: str, text: str, frequent_in: int = 1000) -> DataFrame:
     """Exact TF-IDF weight of every term in every document, without hashing.
 
-    The frequent terms occur in most documents. Joining on the term alone would send
-    each to a single task, so both sides also carry a salt of `salts` values. Document
-    frequencies come from the distinct words of each row and need no shuffle per
-    document; where they are few, Spark broadcasts them and nothing is joined by shuffle.
+    Document frequencies come from the distinct words of each row, so they need no
+    shuffle per document. A term of most documents must not be joined by shuffle, as all
+    its rows would meet in one task (and the aggregate below the join keeps adaptive
+    execution from splitting that task). Terms found in more than one document out of
+    `frequent_in` are therefore broadcast: there are at most `frequent_in` times the mean
+    number of distinct words per document. All other terms are joined by shuffle.
     """
     words = tokenise(docs.select(key, text), text).select(key, "words")
     # Outer, or Spark tests the size of the list below the tokeniser and runs that again.
@@ -57,10 +59,10 @@ def tfidf_terms(docs: DataFrame, key: str, text: str, salts: int = 16) -> DataFr
     )
     found_in = words.select(once).filter(known).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = docs.agg(F.count(text)).scalar()
-    salted = counts.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    copies = found_in.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    frequent = F.broadcast(found_in.filter(F.col("df") * F.lit(frequent_in) > n_docs))
+    rare = counts.join(frequent, "term", "left_anti").join(found_in, "term")
     idf = F.log((n_docs + F.lit(1)) / (F.col("df") + F.lit(1)))
-    return salted.join(copies, ["term", "salt"]).select(
+    return counts.join(frequent, "term").unionByName(rare).select(
         key, "term", "tf", "df", (F.col("tf") * idf).alias("tfidf")
     )
 

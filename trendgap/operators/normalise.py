@@ -21,7 +21,7 @@ from trendgap.schemas import RAW_SCRAPE
 def with_usable_caption(raw: DataFrame, min_length: int) -> DataFrame:
     """Trim captions and drop posts whose caption is missing or too short."""
     trimmed = raw.withColumn("caption", text.strip(F.col("caption")))
-    return trimmed.filter((F.col("caption") != "") & (F.length("caption") >= min_length))
+    return trimmed.filter(F.length("caption") >= max(min_length, 1))
 
 
 def row_digest(raw: DataFrame) -> Column:
