@@ -49,8 +49,8 @@ def extract_tags(text: Column) -> Column:
 def choose_tags(text: Column, given: Column, distinct: bool, limit: int) -> Column:
     """Given tags if there are any, else those written in the text.
 
-    With `distinct` the *given* list decides (a list of blanks yields no tags);
-    without, the *cleaned* list decides. Both rules exist in the reference data flow.
+    With `distinct`, the rule of stored posts, the *given* list decides (a list of
+    blanks yields no tags). Without, the rule of feed posts, the *cleaned* list decides.
     """
     cleaned = clean_tags(given)
     deciding = given if distinct else cleaned

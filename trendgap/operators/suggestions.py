@@ -134,17 +134,22 @@ def render_reel_prompt(
 # --- Parsing --------------------------------------------------------------------------
 
 
-def parse_reply(content: Column) -> Column:
-    """The JSON value in the text as a VARIANT, NULL if the text is anything else.
+def with_value(replies: DataFrame) -> DataFrame:
+    """Add `value`, the JSON value in the text as a VARIANT; NULL for any other text.
 
     The parser stops after the first complete value. A second element with the text's
-    own digest shows whether everything before it was one value.
+    own digest shows whether everything before it was one value. Each step is a column
+    of its own because the next uses it more than once.
     """
-    mark = F.md5(content)
-    framed = F.try_parse_json(F.concat(F.lit("["), content, F.lit(',"'), mark, F.lit('"]')))
-    parts = F.try_variant_get(framed, "$", "array<variant>")
-    whole = F.try_variant_get(F.get(parts, F.lit(1)), "$", "string") == mark
-    return F.when((F.size(parts) == 2) & whole, F.get(parts, F.lit(0)))
+    body, parts = F.col("_body"), F.col("_parts")
+    framed = F.concat(F.lit("["), body, F.lit(',"'), F.md5(body), F.lit('"]'))
+    whole = F.try_variant_get(F.get(parts, F.lit(1)), "$", "string") == F.md5(body)
+    return (
+        replies.withColumn("_body", strip_fences(F.col("content")))
+        .withColumn("_parts", F.try_variant_get(F.try_parse_json(framed), "$", "array<variant>"))
+        .withColumn("value", F.when((F.size(parts) == 2) & whole, F.get(parts, F.lit(0))))
+        .drop("_body", "_parts")
+    )
 
 
 def _read_item(element: Column) -> Column:
@@ -184,9 +189,8 @@ def with_items(replies: DataFrame) -> DataFrame:
     The result passes through an array of one. Filters on what was read stay above it;
     below, they would read every reply again for each condition.
     """
-    parsed = replies.withColumn("value", parse_reply(strip_fences(F.col("content"))))
     elements = F.try_variant_get("value", "$", "array<variant>")
-    read = parsed.select(
+    read = with_value(replies).select(
         *replies.columns,
         F.struct(
             F.col("value").isNotNull().alias("is_json"),
