@@ -164,6 +164,38 @@ def test_look_ups(spark):
     assert sorted(values(serving.look_up_prompt(ids, rows, "plain"))) == [("a", "plain"), ("zz", "plain")]
 
 
+def test_a_hot_id_is_split_over_tasks(spark, tmp_path):
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    path = str(tmp_path / "suggestions")
+    spark.range(5000).select(
+        F.col("id").cast("string").alias("suggestion_id"), F.lit("pending").alias("status"),
+        F.lit("http://v").alias("video_url"),
+    ).write.parquet(path)
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        wide = F.sha2(F.col("id").cast("string"), 256)
+        asked = spark.range(0, 30_000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, "7").otherwise(F.col("id").cast("string")).alias("suggestion_id"),
+            wide.alias("asked_by"),
+        )
+        found = serving.look_up_status(asked, spark.read.parquet(path))
+        rows = found.collect()
+        assert len(rows) == 30_000
+        assert sum(r.suggestion_id == "7" and r.status == "pending" for r in rows) == 10_001
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def clusters(spark, *rows):
     return spark.createDataFrame(list(rows), GAP_CLUSTER)
 

@@ -15,6 +15,8 @@ from trendgap.config import DEFAULT_RULES, Rules
 from trendgap.functions.values import round_half_up
 from trendgap.sources.storage import materialise
 
+ROWS_PER_TASK = 20_000
+
 
 def captioned(gold: DataFrame) -> DataFrame:
     return gold.filter(F.col("top_caption").isNotNull())
@@ -73,10 +75,10 @@ def usable_clusters(features: DataFrame, wanted: int) -> int:
     return points.limit(wanted).count()
 
 
-def evenly_placed(df: DataFrame, key: str) -> DataFrame:
-    """Same rows, same partitions, same order on every run: KMeans samples its first
-    centres partition by partition."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def evenly_placed(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Same rows, same partitions, same order on every run and cluster: KMeans samples
+    its first centres partition by partition. Many passes follow, so tasks are not small."""
+    tasks = rows // ROWS_PER_TASK + 1
     return df.repartition(tasks, key).sortWithinPartitions(key)
 
 
@@ -106,7 +108,7 @@ def cluster_captions(gold: DataFrame, rules: Rules = DEFAULT_RULES) -> Clusterin
         return Clustering(features.withColumn("cluster", F.lit(0)), rows, None)
     model = KMeans(
         k=k, seed=rules.seed, featuresCol="features", predictionCol="cluster"
-    ).fit(evenly_placed(features, "hashtag"))
+    ).fit(evenly_placed(features, "hashtag", rows))
     assigned = model.transform(features)
     score = None
     if sum(size > 0 for size in model.summary.clusterSizes) > 1:

@@ -113,7 +113,11 @@ def headline_metrics(gold: DataFrame, gaps: DataFrame, suggestions: DataFrame) -
 
 
 def look_up_status(ids: DataFrame, suggestions: DataFrame) -> DataFrame:
-    """Status and video link per requested id; unknown ids say so."""
+    """Status and video link per requested id; unknown ids say so.
+
+    Requests may repeat one id very often. With a stored table as `suggestions`, both
+    join inputs are plain shuffles and adaptive execution splits the overfull one.
+    """
     known = suggestions.select("suggestion_id", "status", "video_url")
     return ids.join(known, "suggestion_id", "left").withColumn(
         "status", F.coalesce("status", F.lit(NOT_FOUND))

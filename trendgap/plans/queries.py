@@ -631,7 +631,8 @@ SELECT p_partkey::VARCHAR AS suggestion_id, coalesce(status, 'not_found') AS sta
 FROM part LEFT JOIN state ON p_partkey::VARCHAR = suggestion_id"""
 )
 def suggestion_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.look_up_status(_part_ids(spark, sf_dir), _state(spark, sf_dir))
+    state = materialise(_state(spark, sf_dir), "state")
+    return serving.look_up_status(_part_ids(spark, sf_dir), state)
 
 
 @query(
