@@ -183,6 +183,11 @@ def test_brand_fit(spark):
     assert got == {"#t": 1.0, "#engaged": 0.7, "#weak": 0.3}
 
 
+def test_brand_without_target_tags(spark):
+    insight = gold.gold(silver.silver(posts(spark, dict())), BrandConfig("Own")).first()
+    assert insight.brand_fit_score == 0.3
+
+
 def test_top_caption_ties_go_to_the_smallest_id(spark):
     frame = silver.silver(
         posts(

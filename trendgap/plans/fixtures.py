@@ -145,12 +145,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cycle(*options: Column | None) -> Column:
     """A different option on every doc_id in turn."""
-    n = len(options)
-    chosen = F.lit(None).cast("string")
-    for i, option in enumerate(options):
-        if option is not None:
-            chosen = F.when(F.col("doc_id") % n == i, option).otherwise(chosen)
-    return chosen
+    turn = (F.col("doc_id") % len(options) + 1).cast("int")
+    return F.elt(turn, *[F.lit(None).cast("string") if o is None else o for o in options])
 
 
 def scrapes_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
