@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 2 << 20
@@ -57,7 +58,7 @@ def chunks(
 ) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text, at least one row each."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0)) + 64
+        sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)) + 64
         group = np.cumsum(sizes) // limit
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):

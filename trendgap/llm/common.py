@@ -1,9 +1,34 @@
-"""Reading the input tables of the training-text queries."""
+"""Reading the input tables, and what queries keep between their steps."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that the cluster names for shared files, as a URI. Where
+    none is named, as in tests on one machine, a temporary folder becomes that folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        base = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    if "://" not in base:
+        base = f"file://{base}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame, label: str) -> DataFrame:
+    """Written once and read back: later steps do not compute it again, nor need the
+    executors that made it."""
+    path = shared_folder(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trendgap.llm.common import read
+from trendgap.llm.common import read, shared_folder, stored
 from trendgap.llm.merkle import merkle_fingerprints
 from trendgap.llm.token_counts import token_counts
+from trendgap.llm.token_files import read_token_files, write_token_files
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +19,21 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), model)
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    folder = shared_folder(spark, "token-ids")
+    documents = read(spark, sf_dir, "documents")
+    files = stored(write_token_files(documents, model, folder), "token-files")
+    return read_token_files(files, folder)
+
+
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_fingerprints(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
+    "op5_token_files": op5_token_files,
     "op10_merkle": op10_merkle,
 }
 
