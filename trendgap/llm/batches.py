@@ -12,6 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from trendgap.llm.common import ship
 
 CHUNK_BYTES = 2 << 20
 
@@ -74,8 +77,7 @@ def map_texts(
     limit: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Apply a function of a chunk that returns its output columns by name."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    ship(frame.sparkSession)
     typed = frame.sparkSession.createDataFrame([], schema).schema
     arrow = to_arrow_schema(typed)
 
@@ -89,6 +91,23 @@ def map_texts(
     return frame.mapInArrow(run, typed)
 
 
+def arrow_map(
+    frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], schema: str
+) -> DataFrame:
+    """mapInArrow for a generator that yields lists of columns."""
+    ship(frame.sparkSession)
+    typed = frame.sparkSession.createDataFrame([], schema).schema
+    arrow = to_arrow_schema(typed)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in run(parts):
+            yield pa.RecordBatch.from_arrays(
+                [as_array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow
+            )
+
+    return frame.mapInArrow(batches, typed)
+
+
 def as_array(values: object, kind: pa.DataType) -> pa.Array:
     if isinstance(values, (pa.Array, pa.ChunkedArray)):
         return values.cast(kind)

@@ -4,9 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's modules, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="package-")) / "trendgap_modules.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for module in sorted(package.rglob("*.py")):
+            archive.write(module, str(module.relative_to(package.parent)))
+    context.addPyFile(str(target))
+    _SHIPPED.add(context.applicationId)
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

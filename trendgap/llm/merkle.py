@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from trendgap.llm.common import ship
 from trendgap.llm.order import bucket_bounds, bucket_of
 
 LEAF = re.compile(r"[^.!?]{1,40}[.!?]*|[.!?]+")
@@ -103,6 +104,7 @@ def with_next(documents: DataFrame) -> DataFrame:
     """Every document once in its key range, and the first one of the next range again
     (`is_tail`), so that each task has the successor of its last row. The first of all
     follows the last."""
+    ship(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
     bounds = bucket_bounds(docs, "doc_id")
 

@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from trendgap.llm.common import read, shared_folder, stored
+from trendgap.llm.licenses import license_scan
 from trendgap.llm.merkle import merkle_fingerprints
+from trendgap.llm.simhash import near_duplicates
 from trendgap.llm.token_counts import token_counts
 from trendgap.llm.token_files import read_token_files, write_token_files
 
@@ -27,6 +29,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(files, folder)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_fingerprints(read(spark, sf_dir, "documents"))
 
@@ -34,6 +44,8 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
+    "op6_license_scan": op6_license_scan,
+    "op8_simhash": op8_simhash,
     "op10_merkle": op10_merkle,
 }
 

@@ -22,24 +22,24 @@ file by the same bytes. Null and empty texts hold the end id alone.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from trendgap.llm.batches import chunks
+from trendgap.llm.batches import Texts, arrow_map, chunks, row_sums
 from trendgap.llm.order import bucket_bounds, bucket_of
 
 HEAD = struct.Struct("<4s4I")
 MAGIC = b"TIDS"
 BLOCK_TOKENS = 1 << 20
-MAX_WORDS = 300_000  # words kept per worker with their ids
+MAX_UNITS = 600_000  # units kept per worker with their ids
 END_ID = 2
 
 # For each control byte the lengths of its four tokens.
@@ -49,11 +49,12 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.ui
 def encode_block(doc_ids: list[int | None], tokens: list[np.ndarray]) -> bytes:
     """One block of whole documents; `tokens` are uint32 arrays."""
     flat = np.concatenate([np.zeros(0, np.uint32), *tokens])
-    ids, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    order = np.lexsort((ids, -counts))
-    rank_of = np.empty(len(ids), np.uint32)
-    rank_of[order] = np.arange(len(ids), dtype=np.uint32)
-    ranks = rank_of[inverse].astype("<u4")
+    counts = np.bincount(flat)
+    ids = np.flatnonzero(counts)
+    order = np.lexsort((ids, -counts[ids]))
+    rank_of = np.zeros(len(counts), "<u4")
+    rank_of[ids[order]] = np.arange(len(ids))
+    ranks = rank_of[flat]
     sizes = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     bits = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     bits[: len(ranks)] = sizes - 1
@@ -105,46 +106,99 @@ def decode_file(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray,
 
 
 class Tokenizer:
-    """A tokenizers model with the ids of the words met so far.
-
-    The model drops white space before anything else, so the ids of a text are those of
-    its words in order; a special string is found inside a word as it is in a text.
+    """A tokenizers model with the ids of the units met so far.
+
+    The model lower-cases a text, drops white space and cuts the rest into units (letters,
+    single digits, other signs) that it encodes one by one. A word is what stands between
+    ASCII white space. Words of ASCII and Latin-1 letters, digits and signs are cut here,
+    for a whole chunk at once, and each distinct unit is given to the model once. Any
+    other word is one unit that goes through the whole model: with an apostrophe (its
+    pattern has endings like 's), with < (special strings), or with other characters.
     """
 
     def __init__(self, model: str) -> None:
         from tokenizers import Tokenizer as Model
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.model = Model.from_str(model)
-        self.wide = self.model.get_vocab_size() > 0x10000
-        self.words: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned numbers of two or four bytes."""
-        split = [plain(t).split(" ") if t else [] for t in texts]
-        new = list({w for words in split for w in words if w not in self.words})
-        if len(self.words) + len(new) > MAX_WORDS:
-            self.words.clear()
-            new = list({w for words in split for w in words})
-        kind = "<u4" if self.wide else "<u2"
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, found in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                self.words[word] = np.array(found.ids, kind).tobytes()
-        known = self.words
-        return [b"".join([known[w] for w in words]) for words in split]
-
-
-# White space of the tokenizer's pattern other than the blank: Unicode's White_Space.
-SPACES = {
-    ord(c): " "
-    for c in "\t\n\v\f\r\u0085      　"
-    + "".join(map(chr, range(0x2000, 0x200B)))
-}
-PLAIN_SPACES = str.maketrans({c: " " for c in "\t\n\v\f\r"})
-
-
-def plain(text: str) -> str:
-    return text.translate(PLAIN_SPACES) if text.isascii() else text.translate(SPACES)
+        if any("<" not in t.content for t in self.model.get_added_tokens_decoder().values()):
+            raise ValueError("special strings without < are not supported")
+        self.kind = "<u4" if self.model.get_vocab_size() > 0x10000 else "<u2"
+        self.units: dict[str, bytes] = {}
+        # The characters that stand for the bytes of each plain character.
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        plain = [chr(c) for c in (*range(0x21, 0x7F), *range(0xC0, 0x100))]
+        self.signs = {ord(c): level.pre_tokenize_str(c)[0][0] for c in plain}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def encode(self, unit: str) -> bytes:
+        if PLAIN(unit):
+            return self.packed([t.id for t in self.model.model.tokenize(unit.translate(self.signs))])
+        return self.packed(self.model.encode(unit, add_special_tokens=False).ids)
+
+    def ids(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunk in order, and how many each text has."""
+        data = texts.bytes
+        kinds = KIND[data]
+        # The second byte of a Latin-1 letter (not the signs × and ÷) after its first one.
+        lead = data == 0xC3
+        second = np.zeros(len(data), bool)
+        second[1:] = lead[:-1] & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        kinds[second] = LETTER
+        kinds[lead & ~np.append(second[1:], False)] = OTHER
+        first = np.zeros(len(data) + 1, bool)
+        first[texts.starts] = True
+        first = first[:-1]
+        # Words that hold any other byte become one unit.
+        edge = first | (kinds == SPACE)
+        edge[1:] |= kinds[:-1] == SPACE
+        words = np.append(np.flatnonzero(edge), len(data))
+        hard = row_sums(kinds == OTHER, words) > 0
+        if hard.any():
+            kinds[np.repeat(hard, np.diff(words))] = OTHER
+        begins = first | (kinds == DIGIT)
+        begins[1:] |= kinds[1:] != kinds[:-1]
+        solid = kinds != SPACE
+        begins &= solid
+        small = np.where(kinds == OTHER, data, SMALL[data])
+        small[second & (kinds == LETTER) & (data < 0x9F)] += 0x20
+        kept = small[solid]
+        offsets = np.append(np.flatnonzero(begins[solid]), len(kept)).astype(np.int32)
+        units = pa.StringArray.from_buffers(
+            len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(kept)
+        ).dictionary_encode()
+        if len(self.units) > MAX_UNITS:
+            self.units.clear()
+        known, parts = self.units, []
+        for unit in units.dictionary.to_pylist():
+            found = known.get(unit)
+            if found is None:
+                found = known[unit] = self.encode(unit)
+            parts.append(found)
+        table = np.frombuffer(b"".join(parts), self.kind)
+        sizes = np.array([len(x) for x in parts], np.int64) // table.itemsize
+        firsts = np.cumsum(sizes) - sizes
+        which = np.asarray(units.indices)
+        size = sizes[which]
+        at = np.repeat(firsts[which] - np.cumsum(size) + size, size)
+        at += np.arange(len(at))
+        per_text = np.append(0, np.cumsum(row_sums(begins, texts.starts)))
+        return table[at], row_sums(size, per_text)
+
+
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[0x21:0x7F] = SIGN
+KIND[[ord("'"), ord("<")]] = OTHER
+KIND[[9, 10, 11, 12, 13, 32]] = SPACE
+KIND[ord("0") : ord("9") + 1] = DIGIT
+KIND[ord("A") : ord("Z") + 1] = KIND[ord("a") : ord("z") + 1] = LETTER
+KIND[0xC3] = LETTER
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[ord("A") : ord("Z") + 1] += 32
+PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+").fullmatch
 
 
 _KEPT: dict[int, Tokenizer] = {}
@@ -159,34 +213,21 @@ def tokenizer(model: str) -> Tokenizer:
     return _KEPT[key]
 
 
-def arrow_map(
-    frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], schema: str
-) -> DataFrame:
-    """mapInArrow for a generator that yields lists of columns."""
-    typed = frame.sparkSession.createDataFrame([], schema).schema
-    arrow = to_arrow_schema(typed)
-
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in run(parts):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow
-            )
-
-    return frame.mapInArrow(batches, typed)
-
-
 def tokenised(documents: DataFrame, model: str, bounds: np.ndarray) -> DataFrame:
     """bucket, doc_id and ids of every document, the end id last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         own = tokenizer(model)
-        end = np.array([END_ID], "<u4" if own.wide else "<u2").tobytes()
+        end = own.packed([END_ID])
         for part in chunks(batches):
             keys = part.column("doc_id")
             buckets = bucket_of(
                 keys.fill_null(0).to_numpy(), keys.is_null().to_numpy(zero_copy_only=False), bounds
             )
-            yield [buckets, keys, [x + end for x in own.ids(part.column("text").to_pylist())]]
+            ids, sizes = own.ids(Texts(part))
+            raw = ids.tobytes()
+            ends = (np.cumsum(sizes) * ids.itemsize).tolist()
+            yield [buckets, keys, [raw[a:b] + end for a, b in zip([0, *ends], ends)]]
 
     return arrow_map(
         documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"),
@@ -206,7 +247,7 @@ def write_token_files(documents: DataFrame, model: str, folder: str) -> DataFram
         .repartition(len(bounds) + 2, "bucket")
         .sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "ids")
     )
-    kind = "<u4" if tokenizer(model).wide else "<u2"
+    kind = tokenizer(model).kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         from pyarrow import fs
