@@ -12,6 +12,7 @@ from trendgap.llm.common import read, shared_folder, stored
 from trendgap.llm.licenses import license_scan
 from trendgap.llm.merkle import merkle_fingerprints
 from trendgap.llm.simhash import near_duplicates
+from trendgap.llm.suffixes import remove_repeats
 from trendgap.llm.token_counts import token_counts
 from trendgap.llm.token_files import read_token_files, write_token_files
 
@@ -37,6 +38,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_fingerprints(read(spark, sf_dir, "documents"))
 
@@ -46,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_license_scan": op6_license_scan,
     "op8_simhash": op8_simhash,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_merkle": op10_merkle,
 }
 
