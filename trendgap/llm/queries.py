@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from trendgap.llm.common import read, shared_folder, stored
+from trendgap.llm.language import identify, learn
 from trendgap.llm.licenses import license_scan
 from trendgap.llm.merkle import merkle_fingerprints
 from trendgap.llm.simhash import near_duplicates
@@ -17,6 +18,11 @@ from trendgap.llm.token_counts import token_counts
 from trendgap.llm.token_files import read_token_files, write_token_files
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return identify(documents, learn(documents))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts(read(spark, sf_dir, "documents"), model)
@@ -48,6 +54,7 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
     "op6_license_scan": op6_license_scan,
