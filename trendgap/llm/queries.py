@@ -12,6 +12,7 @@ from trendgap.llm.common import read, shared_folder, stored
 from trendgap.llm.language import identify, learn
 from trendgap.llm.licenses import license_scan
 from trendgap.llm.merkle import merkle_fingerprints
+from trendgap.llm.quality import learn as learn_quality, score
 from trendgap.llm.simhash import near_duplicates
 from trendgap.llm.suffixes import remove_repeats
 from trendgap.llm.token_counts import token_counts
@@ -23,6 +24,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents, learn(documents))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return score(documents, learn_quality(documents, read(spark, sf_dir, "labels")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts(read(spark, sf_dir, "documents"), model)
@@ -55,6 +61,7 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_quality": op2_quality,
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
     "op6_license_scan": op6_license_scan,
