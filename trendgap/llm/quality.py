@@ -76,7 +76,7 @@ def passages(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     end[:-1] &= blank[1:] | (row[1:] != row[:-1])
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
     if len(starts):
-        word = Hashes(data).of(starts, ends, 0)
+        word = Hashes(data, 1).of(starts, ends, 0)
         home = passage[starts]
         words = np.maximum(np.bincount(home, minlength=total), 1)
         same = np.append(False, (word[1:] == word[:-1]) & (home[1:] == home[:-1]))

@@ -45,6 +45,7 @@ from trendgap.llm.common import stored
 LENGTH = 200
 GRAM = 100
 CELL = 8
+MOST_POWERS = 4 << 20
 
 # Odd bases of the two polynomials, modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -52,24 +53,31 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 BYTES = [mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (3, 5)]
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, count: int) -> np.ndarray:
-    """base^0, base^1, ... modulo 2^64."""
-    out = np.ones(max(1, count), np.uint64)
-    done = 1
-    while done < count:
-        more = min(done, count - done)
-        out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
-        done += more
+    """base^0, base^1, ... modulo 2^64; kept, as every chunk needs the same ones."""
+    out = _POWERS.get(base)
+    if out is None or len(out) < count:
+        out = np.ones(max(count, 1 << 16), np.uint64)
+        done = 1
+        while done < len(out):
+            more = min(done, len(out) - done)
+            out[done : done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
+            done += more
+        if count <= MOST_POWERS:
+            _POWERS[base] = out
     return out[:count]
 
 
 class Hashes:
     """Prefix hashes of a byte array; `of` hashes many of its substrings at once."""
 
-    def __init__(self, data: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, bases: int = 2) -> None:
         n = len(data) + 1
         self.powers, self.sums = [], []
-        for base, table in zip(BASES, BYTES):
+        for base, table in list(zip(BASES, BYTES))[:bases]:
             sums = np.zeros(n, np.uint64)
             np.cumsum(table[data] * powers(pow(base, -1, 1 << 64), n - 1), out=sums[1:])
             self.powers.append(powers(base, n))
