@@ -14,6 +14,7 @@ from trendgap.llm.language import identify, learn
 from trendgap.llm.licenses import license_scan
 from trendgap.llm.merkle import merkle_fingerprints
 from trendgap.llm.quality import learn as learn_quality, score
+from trendgap.llm.segmentation import sample_segmentations
 from trendgap.llm.simhash import near_duplicates
 from trendgap.llm.suffixes import remove_repeats
 from trendgap.llm.token_counts import token_counts
@@ -51,6 +52,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
+def op7_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = sample_segmentations(read(spark, sf_dir, "documents"), model, ids=False)
+    return found.drop("ids")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
     "op6_license_scan": op6_license_scan,
+    "op7_segmentation": op7_segmentation,
     "op8_simhash": op8_simhash,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_merkle": op10_merkle,
