@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trendgap.llm.batches import MIX, Texts, arrow_map, chunks, mixed, row_sums
+from trendgap.llm.batches import MIX, Texts, arrow_map, chunks, keep_rows, mixed, row_sums
 from trendgap.llm.licenses import WORDS
 from trendgap.llm.suffixes import Hashes
 
@@ -193,3 +193,21 @@ def contaminated(
         one = look(block)
         found = one if found is None else found.union(one)
     return spark.createDataFrame([], OUT) if found is None else found
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents, unchanged, that overlap no benchmark item."""
+
+    def without(frame: DataFrame, block: Block) -> DataFrame:
+        sent = frame.sparkSession.sparkContext.broadcast(block)  # bounded by block_words
+
+        def wanted(texts: Texts) -> np.ndarray:
+            keep = np.ones(len(texts), bool)
+            keep[[t for t, *_ in sent.value.overlaps(*word_hashes(texts))]] = False
+            return keep
+
+        return keep_rows(frame, wanted)
+
+    for block in blocks(benchmark, block_words):
+        documents = without(documents, block)
+    return documents

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from trendgap.llm.batches import Texts, arrow_map, chunks, row_sums
+from trendgap.llm.batches import Texts, arrow_map, chunks, keep_rows, row_sums
 from trendgap.llm.language import held_out
 from trendgap.llm.suffixes import Hashes
 
@@ -121,13 +121,16 @@ class Model:
         return {"x": x, "h": h, "v": v, "u": u, "bag": bag, "attention": attention, "z": z,
                 "score": sigmoid(z @ w["c"] + w["d"])}
 
-    def scores(self, features: np.ndarray, first: np.ndarray) -> np.ndarray:
-        out = np.full(len(first) - 1, self.share)
+    def judge(self, features: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and largest attention of every bag; bags may be empty."""
+        scores, top = np.full(len(first) - 1, self.share), np.zeros(len(first) - 1)
         full = np.diff(first) > 0
         if self.weights and full.any():
             bounds = np.append(first[:-1][full], first[-1])
-            out[full] = self.forward(features, bounds)["score"]
-        return out
+            found = self.forward(features.astype(np.float64), bounds)
+            scores[full] = found["score"]
+            top[full] = np.maximum.reduceat(found["attention"], bounds[:-1])
+        return scores, top
 
 
 def gradients(model: Model, f: dict[str, np.ndarray], error: np.ndarray, first: np.ndarray) -> dict:
@@ -236,36 +239,26 @@ OUT = (
 )
 
 
-def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns as in OUT for every row, and the columns of `keep` unchanged."""
+def score(documents: DataFrame, model: Model) -> DataFrame:
+    """Columns as in OUT for every row."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for part in chunks(batches):
-            texts = Texts(part)
-            features, first = passages(texts)
-            scores = model.scores(features.astype(np.float64), first)
-            top = np.zeros(len(texts))
-            full = np.diff(first) > 0
-            if model.weights and full.any():
-                bounds = np.append(first[:-1][full], first[-1])
-                attention = model.forward(features.astype(np.float64), bounds)["attention"]
-                top[full] = np.maximum.reduceat(attention, bounds[:-1])
+            features, first = passages(Texts(part))
+            scores, top = model.judge(features, first)
             yield [
                 part.column("doc_id"), part.column("held_out"), scores,
                 (scores >= 0.5).astype(np.int32), np.diff(first), top,
-                *(part.column(f"_keep_{i}") for i in range(len(keep))),
             ]
 
     rows = documents.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         held_out(F.col("doc_id")).alias("held_out"),
         "text",
-        *(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)),
-    )
-    kinds = dict(documents.dtypes)
-    extra = "".join(f", `_keep_{i}` {kinds[c]}" for i, c in enumerate(keep))
-    out = arrow_map(rows, emit, OUT + extra)
-    return out.select(
-        *(c.split()[0] for c in OUT.split(", ")),
-        *(F.col(f"_keep_{i}").alias(f"kept_{c}") for i, c in enumerate(keep)),
     )
+    return arrow_map(rows, emit, OUT)
+
+
+def accepted(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The documents, unchanged, whose score is at least `least`."""
+    return keep_rows(documents, lambda texts: model.judge(*passages(texts))[0] >= least)

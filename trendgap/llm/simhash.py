@@ -215,3 +215,21 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """One document of each component, all columns unchanged: the one with the smallest
+    doc_id (null ids last); of repeated ids any one."""
+    numbered = stored(
+        documents.withColumn("_row", F.monotonically_increasing_id()), "numbered-documents"
+    )
+    found = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"))
+    ids = numbered.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("place"))
+    kept = (
+        found.select(F.col("doc_id").alias("_row"), "component_id")
+        .join(ids, "_row")
+        .groupBy("component_id")
+        .agg(F.min("place").alias("place"))
+        .select(F.col("place._row").alias("_row"))
+    )
+    return numbered.join(stored(kept, "kept-rows"), "_row", "left_semi").select(*documents.columns)

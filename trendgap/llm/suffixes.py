@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from trendgap.llm.batches import Texts, arrow_map, chunks, mixed
-from trendgap.llm.common import stored
+from trendgap.llm.common import ship, stored
 
 LENGTH = 200
 GRAM = 100
@@ -226,6 +226,28 @@ def removed_spans(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.
     return first[begins], end[np.append(np.flatnonzero(begins)[1:] - 1, len(end) - 1)]
 
 
+def repeated_blocks(numbered: DataFrame, length: int, gram: int, cell: int) -> DataFrame:
+    """row and the blocks (first and last window) that are repeated, for rows with any."""
+    blocks = stored(first_level(numbered, length, gram), "runs")
+    found, still_open = judge(blocks, "runs")
+    for size in (cell, 1):
+        blocks = stored(next_level(numbered, still_open, length, size), f"cells-{size}")
+        repeated, still_open = judge(blocks, f"cells-{size}")
+        found = found.union(repeated)
+    return found.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("blocks"))
+
+
+def kept_parts(texts: Texts, lists: pa.Array, length: int) -> Iterator[tuple]:
+    """For every text (removed starts, removed ends, bytes kept)."""
+    for text, blocks in zip(texts.each(), lists):
+        start = end = np.zeros(0, np.int64)
+        if blocks.is_valid:
+            first, last = (np.asarray(blocks.values.field(i)).astype(np.int64) for i in (0, 1))
+            start, end = removed_spans(first, last, length)
+        edges = [0, *np.stack((start, end), 1).ravel().tolist(), len(text)]
+        yield start, end, b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
 def remove_repeats(
     documents: DataFrame, length: int = LENGTH, gram: int = GRAM, cell: int = CELL
 ) -> DataFrame:
@@ -239,32 +261,57 @@ def remove_repeats(
         ),
         "numbered",
     )
-    blocks = stored(first_level(numbered, length, gram), "runs")
-    found, still_open = judge(blocks, "runs")
-    for size in (cell, 1):
-        blocks = stored(next_level(numbered, still_open, length, size), f"cells-{size}")
-        repeated, still_open = judge(blocks, f"cells-{size}")
-        found = found.union(repeated)
-    spans = found.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("blocks"))
-    joined = numbered.join(spans, "row", "left").select("doc_id", "text", "blocks")
+    blocks = repeated_blocks(numbered, length, gram, cell)
+    joined = numbered.join(blocks, "row", "left").select("doc_id", "text", "blocks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for part in chunks(batches):
             texts = Texts(part)
-            columns: list[list] = [[] for _ in range(7)]
-            for text, blocks in zip(texts.each(), part.column("blocks")):
-                start = end = np.zeros(0, np.int64)
-                if blocks.is_valid:
-                    first, last = (np.asarray(blocks.values.field(i)).astype(np.int64) for i in (0, 1))
-                    start, end = removed_spans(first, last, length)
-                edges = [0, *np.stack((start, end), 1).ravel().tolist(), len(text)]
-                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                row = (
-                    len(text), len(text) - len(kept), len(start),
-                    hashlib.sha256(kept).hexdigest(), kept, start.tolist(), end.tolist(),
+            rows = [
+                (size, size - len(kept), len(start), hashlib.sha256(kept).hexdigest(), kept, start, end)
+                for size, (start, end, kept) in zip(
+                    texts.lengths.tolist(), kept_parts(texts, part.column("blocks"), length)
                 )
-                for column, value in zip(columns, row):
-                    column.append(value)
-            yield [part.column("doc_id"), *columns]
+            ]
+            yield [part.column("doc_id"), *zip(*rows)]
 
     return arrow_map(joined, cut, OUT)
+
+
+def without_repeats(
+    documents: DataFrame, length: int = LENGTH, gram: int = GRAM, cell: int = CELL
+) -> DataFrame:
+    """All documents with the repeated passages taken out of their texts, where characters
+    cut in two go too. n_chars, if there is one, is counted again; other columns stay."""
+    columns = documents.columns
+    numbered = stored(
+        documents.select(
+            F.monotonically_increasing_id().alias("row"),
+            "text",
+            F.struct(*(F.col(c) for c in columns)).alias("document"),
+        ).withColumn("document", F.col("document").dropFields("text")),
+        "numbered-documents",
+    )
+    blocks = repeated_blocks(numbered.select("row", "text"), length, gram, cell)
+    joined = numbered.join(blocks, "row", "left").drop("row")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            left = [
+                kept.decode("utf-8", "ignore")
+                for _, _, kept in kept_parts(Texts(part), part.column("blocks"), length)
+            ]
+            given = part.column("text").is_null().to_pylist()
+            texts = pa.array([None if gone else t for gone, t in zip(given, left)], pa.string())
+            yield pa.RecordBatch.from_arrays([texts, part.column("document")], names=["text", "document"])
+
+    ship(documents.sparkSession)
+    kept = joined.mapInArrow(cut, joined.drop("blocks").schema)
+    return kept.select(
+        *(
+            F.col("text") if c == "text"
+            else F.length("text").cast(documents.schema[c].dataType).alias(c) if c == "n_chars"
+            else F.col("document").getField(c).alias(c)
+            for c in columns
+        )
+    )
