@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -44,9 +45,51 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """Written once and read back: later steps do not compute it again, nor need the
-    executors that made it."""
-    path = shared_folder(frame.sparkSession, label)
+    executors that made it. The shuffle files of its making are let go."""
+    spark = frame.sparkSession
+    path = shared_folder(spark, label)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    # Spark deletes shuffle files when the driver's JVM finds their plan unused.
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(frame.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what `stored` wrote for these frames, once nothing reads it any more."""
+    for frame in frames:
+        path = _PATHS.pop(frame, None)
+        if path is not None:
+            context = frame.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def numbered(documents: DataFrame) -> DataFrame:
+    """Stored with a number of its own for each row: row, text, and all other columns in
+    the struct `document`, where their names clash with nothing."""
+    others = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
+    return stored(
+        documents.select(
+            F.monotonically_increasing_id().alias("row"), "text", F.struct(*others).alias("document")
+        ),
+        "numbered",
+    )
+
+
+def restored(frame: DataFrame, documents: DataFrame, **changed) -> DataFrame:
+    """The columns of `documents` again, some of them computed anew."""
+    return frame.select(
+        *(
+            changed[c].cast(documents.schema[c].dataType).alias(c) if c in changed
+            else F.col("text") if c == "text"
+            else F.col("document").getField(c).alias(c)
+            for c in documents.columns
+        )
+    )

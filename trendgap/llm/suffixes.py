@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from trendgap.llm.batches import Texts, arrow_map, chunks, mixed
-from trendgap.llm.common import ship, stored
+from trendgap.llm.common import discard, numbered, restored, ship, stored
 
 LENGTH = 200
 GRAM = 100
@@ -119,14 +119,15 @@ def runs(texts: Texts, hashes: Hashes, length: int, gram: int) -> tuple[np.ndarr
     return owner[begins], windows[begins], windows[lasts]
 
 
-BLOCK = "inner bigint, outer bigint, row bigint, anchor int, first int, last int"
+# `place` packs the first window, how far the anchor is from it (16 bits), and the last one.
+BLOCK = "inner bigint, outer bigint, row bigint, place bigint"
 
 
 def blocks_of(
     hashes: Hashes, at: np.ndarray, rows: np.ndarray, inner: tuple, outer: tuple,
     anchor: np.ndarray, first: np.ndarray, last: np.ndarray,
 ) -> list:
-    """Columns of BLOCK. `at` is where each text begins; places are stored from there.
+    """Columns of BLOCK. `at` is where each text begins; places count from there.
     How a block lies about its anchor is part of both strings."""
     near, far = mixed((anchor - first).astype(np.uint64)), mixed((last - anchor + 512).astype(np.uint64))
     lies = mixed((anchor - inner[0]).astype(np.uint64))
@@ -134,13 +135,17 @@ def blocks_of(
         (hashes.of(*inner, 0) ^ lies).view(np.int64),
         (hashes.of(*outer, 1) ^ near ^ (far * np.uint64(3))).view(np.int64),
         rows,
-        (anchor - at).astype(np.int32),
-        (first - at).astype(np.int32),
-        (last - at).astype(np.int32),
+        ((first - at) << 32) | ((anchor - first) << 16) | (last - first),
     ]
 
 
-def first_level(numbered: DataFrame, length: int, gram: int) -> DataFrame:
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, last window) of packed places."""
+    first = place >> 32
+    return first + ((place >> 16) & 0xFFFF), first, first + (place & 0xFFFF)
+
+
+def first_level(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """A block for every run of windows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -149,19 +154,19 @@ def first_level(numbered: DataFrame, length: int, gram: int) -> DataFrame:
             hashes = Hashes(texts.bytes)
             anchor, first, last = runs(texts, hashes, length, gram)
             text = np.searchsorted(texts.starts, anchor, side="right") - 1
-            rows = np.asarray(part.column("row"))[text]
+            number = np.asarray(part.column("row"))[text]
             yield blocks_of(
-                hashes, texts.starts[text], rows, (anchor, anchor + gram),
+                hashes, texts.starts[text], number, (anchor, anchor + gram),
                 (first, last + length), anchor, first, last,
             )
 
-    return arrow_map(numbered.select("row", "text"), emit, BLOCK)
+    return arrow_map(rows.select("row", "text"), emit, BLOCK)
 
 
-def next_level(numbered: DataFrame, open_blocks: DataFrame, length: int, cell: int) -> DataFrame:
+def next_level(rows: DataFrame, open_blocks: DataFrame, length: int, cell: int) -> DataFrame:
     """The open blocks cut into cells of `cell` windows, counted from their anchor."""
     wanted = open_blocks.groupBy("row").agg(
-        F.collect_list(F.struct("anchor", "first", "last")).alias("blocks")
+        F.collect_list("place").alias("blocks")
     )  # of one text: as many as it has blocks
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -170,9 +175,8 @@ def next_level(numbered: DataFrame, open_blocks: DataFrame, length: int, cell: i
             hashes = Hashes(texts.bytes)
             lists = part.column("blocks")
             text = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lists)))
-            flat = lists.flatten()
             at = texts.starts[text]
-            anchor, first, last = (np.asarray(flat.field(i)).astype(np.int64) for i in range(3))
+            anchor, first, last = unpacked(np.asarray(lists.flatten()))
             # Cells by distance from the anchor: number of the first and of the last one.
             far, near = (anchor - first) // cell, (anchor - last) // cell
             count = far - near + 1
@@ -183,33 +187,38 @@ def next_level(numbered: DataFrame, open_blocks: DataFrame, length: int, cell: i
             end = np.minimum(anchor - number * cell, last[block] + at)
             # What all windows of a whole cell share.
             inner = (anchor - number * cell, anchor - number * cell - cell + 1 + length)
-            rows = np.asarray(part.column("row"))[text[block]]
-            yield blocks_of(hashes, at, rows, inner, (begin, end + length), anchor, begin, end)
+            row = np.asarray(part.column("row"))[text[block]]
+            yield blocks_of(hashes, at, row, inner, (begin, end + length), anchor, begin, end)
 
-    joined = numbered.select("row", "text").join(wanted, "row")
+    joined = rows.select("row", "text").join(wanted, "row")
     return arrow_map(joined, emit, BLOCK)
 
 
 def judge(blocks: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """(repeated blocks, open blocks) of one level; `blocks` are stored."""
-    counted = stored(
-        blocks.groupBy("inner", "outer").agg(
-            F.count("*").alias("n"),
-            *(F.first(c).alias(c) for c in ("row", "anchor", "first", "last")),
+    """(repeated blocks, open blocks) of one level, each stored as row and place."""
+    inner = blocks.groupBy("inner").agg(
+        F.count("*").alias("n"), F.min("outer").alias("low"), F.max("outer").alias("high")
+    )
+    inner = stored(
+        inner.where("n > 1").select("inner", F.expr("low = high").alias("whole")), f"{label}-inner"
+    )
+    met = stored(blocks.join(inner, "inner"), f"{label}-met")
+    mixed_ = met.where("NOT whole")
+    outer = stored(
+        mixed_.groupBy("inner", "outer").agg(
+            F.count("*").alias("n"), F.first("row").alias("row"), F.first("place").alias("place")
         ),
-        f"{label}-counted",
+        f"{label}-outer",
     )
-    groups = stored(
-        counted.groupBy("inner")
-        .agg(F.sum("n").alias("members"), F.min("n").alias("least"))
-        .where("members > 1 AND least = 1")
-        .select("inner"),
-        f"{label}-groups",
+    twice = stored(outer.where("n > 1").select("inner", "outer"), f"{label}-twice")
+    single = stored(outer.where("n = 1").select("inner").distinct(), f"{label}-single")
+    still_open = stored(outer.join(single, "inner").select("row", "place"), f"{label}-open")
+    repeated = met.where("whole").select("row", "place").union(
+        mixed_.join(twice, ["inner", "outer"]).select("row", "place")
     )
-    twice = stored(counted.where("n > 1").select("inner", "outer"), f"{label}-twice")
-    repeated = blocks.join(twice, ["inner", "outer"]).select("row", "first", "last")
-    still_open = counted.join(groups, "inner").select("row", "anchor", "first", "last")
-    return stored(repeated, f"{label}-repeated"), stored(still_open, f"{label}-open")
+    repeated = stored(repeated, f"{label}-repeated")
+    discard(inner, met, outer, twice, single)
+    return repeated, still_open
 
 
 OUT = (
@@ -226,15 +235,18 @@ def removed_spans(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.
     return first[begins], end[np.append(np.flatnonzero(begins)[1:] - 1, len(end) - 1)]
 
 
-def repeated_blocks(numbered: DataFrame, length: int, gram: int, cell: int) -> DataFrame:
-    """row and the blocks (first and last window) that are repeated, for rows with any."""
-    blocks = stored(first_level(numbered, length, gram), "runs")
-    found, still_open = judge(blocks, "runs")
+def repeated_blocks(rows: DataFrame, length: int, gram: int, cell: int) -> DataFrame:
+    """row and the packed places of its repeated blocks, for rows with any."""
+    # Cheap to make again for the second pass over them, and large to keep.
+    found, still_open = judge(first_level(rows, length, gram), "runs")
     for size in (cell, 1):
-        blocks = stored(next_level(numbered, still_open, length, size), f"cells-{size}")
+        blocks = stored(next_level(rows, still_open, length, size), f"cells-{size}")
+        discard(still_open)
         repeated, still_open = judge(blocks, f"cells-{size}")
+        discard(blocks)
         found = found.union(repeated)
-    return found.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("blocks"))
+    discard(still_open)
+    return found.groupBy("row").agg(F.collect_list("place").alias("blocks"))
 
 
 def kept_parts(texts: Texts, lists: pa.Array, length: int) -> Iterator[tuple]:
@@ -242,7 +254,7 @@ def kept_parts(texts: Texts, lists: pa.Array, length: int) -> Iterator[tuple]:
     for text, blocks in zip(texts.each(), lists):
         start = end = np.zeros(0, np.int64)
         if blocks.is_valid:
-            first, last = (np.asarray(blocks.values.field(i)).astype(np.int64) for i in (0, 1))
+            _, first, last = unpacked(np.asarray(blocks.values))
             start, end = removed_spans(first, last, length)
         edges = [0, *np.stack((start, end), 1).ravel().tolist(), len(text)]
         yield start, end, b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
@@ -253,27 +265,20 @@ def remove_repeats(
 ) -> DataFrame:
     """Columns as in OUT for every row: what is left (`kept`, bytes that may begin or end
     inside a character) and the removed spans."""
-    numbered = stored(
-        documents.select(
-            F.monotonically_increasing_id().alias("row"),
-            F.col("doc_id").cast("bigint").alias("doc_id"),
-            "text",
-        ),
-        "numbered",
-    )
-    blocks = repeated_blocks(numbered, length, gram, cell)
-    joined = numbered.join(blocks, "row", "left").select("doc_id", "text", "blocks")
+    rows = numbered(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    blocks = repeated_blocks(rows, length, gram, cell)
+    joined = rows.join(blocks, "row", "left").select("document.doc_id", "text", "blocks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for part in chunks(batches):
             texts = Texts(part)
-            rows = [
+            found = [
                 (size, size - len(kept), len(start), hashlib.sha256(kept).hexdigest(), kept, start, end)
                 for size, (start, end, kept) in zip(
                     texts.lengths.tolist(), kept_parts(texts, part.column("blocks"), length)
                 )
             ]
-            yield [part.column("doc_id"), *zip(*rows)]
+            yield [part.column("doc_id"), *zip(*found)]
 
     return arrow_map(joined, cut, OUT)
 
@@ -283,17 +288,9 @@ def without_repeats(
 ) -> DataFrame:
     """All documents with the repeated passages taken out of their texts, where characters
     cut in two go too. n_chars, if there is one, is counted again; other columns stay."""
-    columns = documents.columns
-    numbered = stored(
-        documents.select(
-            F.monotonically_increasing_id().alias("row"),
-            "text",
-            F.struct(*(F.col(c) for c in columns)).alias("document"),
-        ).withColumn("document", F.col("document").dropFields("text")),
-        "numbered-documents",
-    )
-    blocks = repeated_blocks(numbered.select("row", "text"), length, gram, cell)
-    joined = numbered.join(blocks, "row", "left").drop("row")
+    rows = numbered(documents)
+    blocks = repeated_blocks(rows, length, gram, cell)
+    joined = rows.join(blocks, "row", "left").drop("row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -307,11 +304,4 @@ def without_repeats(
 
     ship(documents.sparkSession)
     kept = joined.mapInArrow(cut, joined.drop("blocks").schema)
-    return kept.select(
-        *(
-            F.col("text") if c == "text"
-            else F.length("text").cast(documents.schema[c].dataType).alias(c) if c == "n_chars"
-            else F.col("document").getField(c).alias(c)
-            for c in columns
-        )
-    )
+    return restored(kept, documents, n_chars=F.length("text"))
