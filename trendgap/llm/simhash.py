@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from trendgap.llm.batches import Texts, arrow_map, map_texts
-from trendgap.llm.common import stored
+from trendgap.llm.common import discard, numbered, restored, stored
 
 POSITIONS = 8
 DISTANCE = 2
@@ -181,7 +181,7 @@ def components(edges: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        large = stored(large, "large-star")
+        before, large = now, stored(large, "large-star")
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(smallest, "u")
@@ -191,6 +191,7 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         now = stored(small, "small-star")
+        discard(before, large)
         # A round that leaves the same set of edges is the last one.
         was, signature = signature, now.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
@@ -220,16 +221,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def one_of_each(documents: DataFrame) -> DataFrame:
     """One document of each component, all columns unchanged: the one with the smallest
     doc_id (null ids last); of repeated ids any one."""
-    numbered = stored(
-        documents.withColumn("_row", F.monotonically_increasing_id()), "numbered-documents"
-    )
-    found = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"))
-    ids = numbered.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("place"))
+    rows = numbered(documents)
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
+    doc_id = F.col("document.doc_id")
+    places = rows.select("row", F.struct(doc_id.isNull(), doc_id, "row").alias("place"))
     kept = (
-        found.select(F.col("doc_id").alias("_row"), "component_id")
-        .join(ids, "_row")
+        found.select(F.col("doc_id").alias("row"), "component_id")
+        .join(places, "row")
         .groupBy("component_id")
         .agg(F.min("place").alias("place"))
-        .select(F.col("place._row").alias("_row"))
+        .select(F.col("place.row").alias("row"))
     )
-    return numbered.join(stored(kept, "kept-rows"), "_row", "left_semi").select(*documents.columns)
+    return restored(rows.join(stored(kept, "kept-rows"), "row", "left_semi"), documents)

@@ -282,6 +282,9 @@ def write_token_files(documents: DataFrame, model: str, folder: str) -> DataFram
     return arrow_map(ordered, run, "bucket int, file string, n_tokens bigint")
 
 
+OUT = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+
+
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone.
 
@@ -290,6 +293,8 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     spark = files.sparkSession
     # One row per key range, at most order.MAX_BUCKETS.
     sizes = {r["bucket"]: r["n_tokens"] for r in files.collect()}
+    if not sizes:
+        return spark.createDataFrame([], OUT)
     starts, total = {}, 0
     for bucket in sorted(sizes):
         starts[bucket] = total
@@ -312,8 +317,4 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                     at += int(lengths.sum())
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.tids").load(folder)
-    return arrow_map(
-        found.select("path", "content"),
-        run,
-        "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
-    )
+    return arrow_map(found.select("path", "content"), run, OUT)
