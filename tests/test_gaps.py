@@ -31,7 +31,7 @@ def test_clustering_invariants(spark):
     gold = varied(spark)
     found = gaps.cluster_captions(gold)
     rows = values(found.assigned, "hashtag", "cluster")
-    assert found.rows == len(rows) == len({h for h, _ in rows}) == 60
+    assert found.input_rows == len(rows) == len({h for h, _ in rows}) == 60
     assert {c for _, c in rows} <= set(range(5))
     assert -1.0 <= found.silhouette <= 1.0
 
@@ -65,7 +65,24 @@ def test_one_caption_only(spark):
 def test_no_captions_at_all(spark):
     report = gaps.detect_gaps(insights(spark, [dict(top_caption=None)]))
     assert report.summary.count() == report.gaps.count() == 0
-    assert values(report.metrics) == [(0, None, 0)]
+    assert values(report.metrics) == [(1, None, 0)]
+
+
+def test_input_rows_count_rows_without_a_caption(spark):
+    rows = [dict(hashtag="#a"), dict(hashtag="#b"), dict(hashtag="#c", top_caption=None)]
+    report = gaps.detect_gaps(insights(spark, rows))
+    assert values(report.metrics) == [(3, None, 1)]
+    assert values(report.summary, "top_hashtags") == [(["#a", "#b"],)]
+
+
+def test_mean_dominance_is_the_same_however_rows_are_dealt(spark):
+    gold = insights(
+        spark, [dict(hashtag=f"#{i}", competitor_dominance=1 / (i % 97 + 1)) for i in range(1, 500)]
+    ).withColumn("cluster", F.col("post_count") * 0)
+    found = {
+        values(gaps.cluster_rollup(gold.repartition(n)), "avg_competitor_dominance")[0] for n in (1, 3, 16)
+    }
+    assert len(found) == 1
 
 
 def test_report(spark):
@@ -120,19 +137,35 @@ def test_tfidf_terms_match_plain_loops(spark):
         for i, ws in enumerate(words)
         for w, tf in Counter(ws).items()
     }
-    for frequent_in in (1, 2, 3, 1000):
-        weights = gaps.tfidf_terms(frame, "id", "t", frequent_in)
-        assert {(i, w): (tf, d, x) for i, w, tf, d, x in values(weights)} == expected
-        assert weights.count() == len(expected)
+    weights = gaps.tfidf_terms(frame.union(spark.createDataFrame([(9, None)], frame.schema)), "id", "t")
+    assert {(i, w): (tf, d, x) for i, w, tf, d, x in values(weights)} == expected
+    assert weights.count() == len(expected)
+    assert gaps.tfidf_terms(frame.limit(0), "id", "t").isEmpty()
 
 
-def test_a_term_of_every_document_is_not_joined_by_shuffle(spark):
-    docs = spark.range(0, 20_000, 1, 4).select(
+def test_a_term_of_every_document_is_split_over_tasks(spark):
+    docs = spark.range(0, 60_000, 1, 4).select(
         "id", F.concat(F.lit("hot rare"), (F.col("id") % 2003).cast("string"))
     ).toDF("id", "t")
-    weights = gaps.tfidf_terms(docs, "id", "t")
-    rows = weights.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("df").alias("df"))
-    assert values(rows.filter("term = 'hot'")) == [("hot", 20_000, 20_000)]
-    assert rows.filter("n != df").count() == 0 and rows.count() == 2004
-    plan = weights._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        weights = gaps.tfidf_terms(docs, "id", "t")
+        rows = {r.term: (r.n, r.df) for r in weights.groupBy("term").agg(
+            F.count(F.lit(1)).alias("n"), F.max("df").alias("df")).collect()}
+        weights.collect()
+        plan = weights._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert rows["hot"] == (60_000, 60_000) and len(rows) == 2004
+    assert all(n == df for n, df in rows.values())
+    assert "skew=true" in plan and "Broadcast" not in plan
+    # The join reads what was counted, never the texts.
+    assert "UDF" not in plan and "explode" not in plan

@@ -3,6 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from trendgap.plans.queries import ORACLES, QUERIES
 from check_queries import compare, duck
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -14,7 +15,7 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     frame = queries()[name](spark, SF_DIR)
     outcome = compare(frame, con, name)
@@ -25,7 +26,8 @@ def test_query(spark, con, name):
 
 
 def test_all_but_model_fits_are_checked_by_sql():
-    assert set(queries()) - set(oracle_sql()) == MODEL_FITS
+    assert set(QUERIES) - set(ORACLES) == MODEL_FITS
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 def test_entry(spark):

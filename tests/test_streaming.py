@@ -28,18 +28,36 @@ def batch(spark, start, n):
 def test_stream_equals_batch_and_reads_each_file_once(spark, paths):
     first, second = batch(spark, 0, 60), batch(spark, 60, 40)
     files.write_posts(first, paths.landing)
-    stream.update(spark, paths, max_files=1)
+    stream.update(spark, paths, max_files=1, brand=BRAND)
     assert sorted(values(stream.read_silver(spark, paths))) == sorted(values(silver_from(first)))
-    stream.update(spark, paths)
+    assert sorted(values(stream.read_gold(spark, paths))) == sorted(values(gold(silver_from(first), BRAND)))
+    stream.update(spark, paths, brand=BRAND)
     assert stream.read_silver(spark, paths).count() == silver_from(first).count()
     files.write_posts(second, paths.landing)
-    stream.update(spark, paths)
+    stream.update(spark, paths, brand=BRAND)
     both = silver_from(first.union(second))
     assert sorted(values(stream.read_silver(spark, paths))) == sorted(values(both))
+    want = sorted(values(gold(both, BRAND)))
+    assert sorted(values(stream.read_gold(spark, paths))) == want
+    assert sorted(values(stream.refresh_gold(spark, paths, BRAND))) == want
+    assert sorted(values(stream.recomputed_gold(spark, paths, BRAND))) == want
+
+
+def test_a_replayed_batch_replaces_itself_and_silver_is_not_read_again(spark, paths):
+    parts = [silver_from(batch(spark, 0, 50)), silver_from(batch(spark, 50, 50))]
+    for number in (0, 1, 1):
+        stream.write_partials(parts[number], paths, number)
+    # There is no silver folder at all: a refresh needs the partials only.
     got = stream.refresh_gold(spark, paths, BRAND)
-    assert sorted(values(got)) == sorted(values(gold(both, BRAND)))
-    again = stream.refresh_gold(spark, paths, BRAND)
-    assert sorted(values(again)) == sorted(values(gold(both, BRAND)))
+    assert sorted(values(got)) == sorted(values(gold(parts[0].union(parts[1]), BRAND)))
+
+
+def test_landing_folder_is_made(spark, tmp_path):
+    fresh = stream.Paths(str(tmp_path / "not" / "yet"), str(tmp_path / "layers"))
+    stream.start_bronze(spark, fresh).awaitTermination()
+    files.write_posts(batch(spark, 0, 5), fresh.landing)
+    stream.start_bronze(spark, fresh).awaitTermination()
+    assert spark.read.parquet(fresh.table("bronze")).count() > 0
 
 
 def test_malformed_lines_do_not_stop_the_stream(spark, paths):

@@ -125,8 +125,33 @@ def test_storing_replies(spark, tables):
     rows = stored.collect()
     assert {(r.status, r.brand, r.video_url, r.reject_reason) for r in rows} == {("pending", "Own", None, None)}
     assert len({r.suggestion_id for r in rows}) == 3 and all(r.created_at for r in rows)
-    medallion.store_replies(replies(spark, content), BRAND, tables=tables)
-    assert spark.table(tables.full("suggestions")).count() == 6
+    again = medallion.store_replies(replies(spark, content, "bad"), BRAND, tables=tables)
+    assert spark.table(tables.full("suggestions")).count() == 3
+    assert values(again, "response_id", "reason") == [(1, "not JSON")]
+
+
+def test_decisions_end_to_end(spark, tables):
+    medallion.store_replies(replies(spark, [item()] * 3), BRAND, tables=tables)
+    ids = sorted(i for (i,) in values(spark.table(tables.full("suggestions")), "suggestion_id"))
+    at = F.lit(datetime(2024, 1, 1))
+
+    def one(i):
+        return spark.createDataFrame([(ids[i],)], "suggestion_id string")
+
+    def state():
+        rows = values(medallion.current_suggestions(spark, tables), "suggestion_id", "status", "video_url", "reject_reason")
+        return [r[1:] for r in sorted(rows)]
+
+    assert state() == [("pending", None, None)] * 3
+    for _ in range(2):
+        medallion.record_decisions(feedback.approve(one(0), at, F.lit(1)), tables)
+        medallion.record_decisions(feedback.reject(one(1), F.lit("dull"), at, F.lit(2)), tables)
+        medallion.record_decisions(feedback.video_ready(one(0), F.lit("http://v"), at, F.lit(3)), tables)
+    assert spark.table(tables.full("events")).count() == 3
+    assert state() == [("video_ready", "http://v", None), ("rejected", None, "dull"), ("pending", None, None)]
+    assert values(medallion.dashboard(spark, tables)) == [(0, 0, 3, 1)]
+    prompt = medallion.director_prompt(spark, BRAND, "#none", tables).first().prompt
+    assert "null" not in prompt and "(engagement score 0.00)" in prompt
 
 
 # --- Serving --------------------------------------------------------------------------

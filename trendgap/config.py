@@ -59,6 +59,7 @@ class TableNames:
     gaps: str = "competitor_gaps"
     suggestions: str = "content_suggestions"
     events: str = "suggestion_events"
+    refused: str = "refused_replies"
 
     def full(self, short: str) -> str:
         return f"{self.database}.{getattr(self, short)}"

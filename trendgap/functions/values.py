@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# ISO 8601 in extended form, with an optional offset at the end.
+# ISO 8601 in extended form, with an optional offset at the end. Fractions
+# of any length are read to the microsecond.
 ISO_TIME = (
     r"^\d{4}-\d{2}-\d{2}"
     r"([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?)?$"
 )
+# Basic form, and what has to be put between its parts.
+BASIC_DATE = r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])"
+BASIC_CLOCK = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(\d{2})(\d{2})?(?=$|[.,Z+-])"
+LONG_FRACTION = r"(:\d{2})[.,](\d{1,6})\d*"
 OFFSET = r"(Z|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)$"
 MIDNIGHT = "0000-00-00T00:00:00"
 
@@ -32,10 +37,14 @@ def iso_to_utc(text: Column, default: Column) -> Column:
 
     The offset is dropped, not applied; unreadable values give `default`.
     """
+    text = F.regexp_replace(text, BASIC_DATE, "$1-$2-$3")
+    text = F.regexp_replace(text, BASIC_CLOCK, "$1:$2:$3")
+    text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}):(?=$|[Z+-])", "$1")
+    text = F.regexp_replace(text, LONG_FRACTION, "$1.$2")
     # An offset can only follow a time of day, so a plain date keeps its last part.
     clock = F.when(
         F.length(text) > 10,
-        F.concat(F.substring(text, 1, 10), F.regexp_replace(F.substring(text, 11, 64), OFFSET, "")),
+        F.concat(F.substr(text, F.lit(1), F.lit(10)), F.regexp_replace(F.substr(text, F.lit(11)), OFFSET, "")),
     ).otherwise(text)
     filled = F.concat(clock, F.substr(F.lit(MIDNIGHT), F.length(clock) + 1))
     parsed = F.when(

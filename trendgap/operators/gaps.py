@@ -16,6 +16,7 @@ from trendgap.functions.values import round_half_up
 from trendgap.sources.storage import materialise
 
 ROWS_PER_TASK = 20_000
+BILLION = 1_000_000_000.0
 
 
 def captioned(gold: DataFrame) -> DataFrame:
@@ -41,30 +42,30 @@ def fit_text(gold: DataFrame, rules: Rules = DEFAULT_RULES) -> PipelineModel:
     return Pipeline(stages=text_stages(rules)).fit(captioned(gold))
 
 
-def tfidf_terms(docs: DataFrame, key: str, text: str, frequent_in: int = 1000) -> DataFrame:
+def tfidf_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Exact TF-IDF weight of every term in every document, without hashing.
 
-    Document frequencies come from the distinct words of each row, so they need no
-    shuffle per document. A term of most documents must not be joined by shuffle, as all
-    its rows would meet in one task (and the aggregate below the join keeps adaptive
-    execution from splitting that task). Terms found in more than one document out of
-    `frequent_in` are therefore broadcast: there are at most `frequent_in` times the mean
-    number of distinct words per document. All other terms are joined by shuffle.
+    One pass over the texts counts the terms of each document, and the document itself
+    under a term of NULL. Counts and document frequencies are stored, so both sides of
+    their join are bare shuffles and adaptive execution splits the rows of a term that
+    most documents have.
     """
-    words = tokenise(docs.select(key, text), text).select(key, "words")
+    words = tokenise(docs.select(key, text).filter(F.col(text).isNotNull()), text)
+    counted = F.concat(F.array(F.lit(None).cast("string")), "words")
     # Outer, or Spark tests the size of the list below the tokeniser and runs that again.
-    term = F.explode_outer("words").alias("term")
-    once = F.explode_outer(F.array_distinct("words")).alias("term")
-    known = F.col("term").isNotNull()
-    counts = words.select(key, term).filter(known).groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("tf")
+    counts = materialise(
+        words.select(key, F.explode_outer(counted).alias("term"))
+        .groupBy(key, "term")
+        .agg(F.count(F.lit(1)).alias("tf")),
+        "term-counts",
     )
-    found_in = words.select(once).filter(known).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n_docs = docs.agg(F.count(text)).scalar()
-    frequent = F.broadcast(found_in.filter(F.col("df") * F.lit(frequent_in) > n_docs))
-    rare = counts.join(frequent, "term", "left_anti").join(found_in, "term")
+    found_in = materialise(
+        counts.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df")),
+        "document-frequencies",
+    )
+    n_docs = counts.filter(F.col("term").isNull()).agg(F.coalesce(F.sum("tf"), F.lit(0))).scalar()
     idf = F.log((n_docs + F.lit(1)) / (F.col("df") + F.lit(1)))
-    return counts.join(frequent, "term").unionByName(rare).select(
+    return counts.join(found_in, "term").select(
         key, "term", "tf", "df", (F.col("tf") * idf).alias("tfidf")
     )
 
@@ -84,10 +85,11 @@ def evenly_placed(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Clustering:
-    """Rows with their cluster, and the quality of the split (None for one cluster)."""
+    """Captioned rows with their cluster, the number of all rows given, and the quality of
+    the split (None for one cluster)."""
 
     assigned: DataFrame
-    rows: int
+    input_rows: int
     silhouette: float | None
 
 
@@ -97,15 +99,16 @@ def cluster_captions(gold: DataFrame, rules: Rules = DEFAULT_RULES) -> Clusterin
     Passes over the data repeat, so the input and the feature vectors are each written
     once to shared storage; the fits read those.
     """
-    kept = materialise(captioned(gold), "captioned")
+    given = materialise(gold, "cluster-input")
+    kept, total = captioned(given), given.count()
     rows = kept.count()
     if rows == 0:
-        return Clustering(kept.withColumn("cluster", F.lit(0)), 0, None)
+        return Clustering(kept.withColumn("cluster", F.lit(0)), total, None)
     featured = fit_text(kept, rules).transform(kept).drop("words", "tf", "tfidf")
     features = materialise(featured, "features")
     k = usable_clusters(features, rules.clusters)
     if k < 2:
-        return Clustering(features.withColumn("cluster", F.lit(0)), rows, None)
+        return Clustering(features.withColumn("cluster", F.lit(0)), total, None)
     model = KMeans(
         k=k, seed=rules.seed, featuresCol="features", predictionCol="cluster"
     ).fit(evenly_placed(features, "hashtag", rows))
@@ -115,7 +118,7 @@ def cluster_captions(gold: DataFrame, rules: Rules = DEFAULT_RULES) -> Clusterin
         score = ClusteringEvaluator(
             predictionCol="cluster", featuresCol="features", metricName="silhouette"
         ).evaluate(assigned)
-    return Clustering(assigned, rows, score)
+    return Clustering(assigned, total, score)
 
 
 def cluster_top_tags(assigned: DataFrame, n: int = 3) -> DataFrame:
@@ -143,9 +146,14 @@ def gap_flag(rules: Rules) -> Column:
 
 
 def cluster_rollup(assigned: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """One row per cluster: leading hashtags, mean dominance, brand posts, gap flag."""
+    """One row per cluster: leading hashtags, mean dominance, brand posts, gap flag.
+
+    The mean is of whole billionths, so the order in which rows arrive does not matter.
+    """
+    share = F.round(F.col("competitor_dominance") * F.lit(BILLION)).cast("bigint")
+    mean = F.sum(share).cast("double") / F.lit(BILLION) / F.count(share)
     totals = assigned.groupBy("cluster").agg(
-        round_half_up(F.avg("competitor_dominance"), 4).alias("avg_competitor_dominance"),
+        round_half_up(mean, 4).alias("avg_competitor_dominance"),
         F.sum("brand_post_count").alias("brand_post_count"),
     )
     return (
@@ -179,7 +187,7 @@ def detect_gaps(gold: DataFrame, rules: Rules = DEFAULT_RULES) -> GapReport:
     gaps = gap_clusters(summary)
     score = None if found.silhouette is None else round(found.silhouette, 4)
     metrics = gaps.agg(F.count(F.lit(1)).alias("n_gap_clusters")).select(
-        F.lit(found.rows).cast("bigint").alias("input_rows"),
+        F.lit(found.input_rows).cast("bigint").alias("input_rows"),
         F.lit(score).cast("double").alias("silhouette"),
         "n_gap_clusters",
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from trendgap.config import DEFAULT_RULES, BrandConfig, Rules
 from trendgap.schemas import INSIGHT
@@ -68,29 +68,68 @@ def with_signals(
     )
 
 
+def best_post() -> tuple[Column, Column]:
+    """Caption and engagement of the most engaging post, ties to the smallest post id."""
+    best_first = F.struct((-F.col("engagement_rate")).alias("rate"), "post_id")
+    return (
+        F.min_by("caption", best_first).alias("top_caption"),
+        F.max("engagement_rate").alias("engagement_rate"),
+    )
+
+
 def top_caption(silver: DataFrame) -> DataFrame:
-    """Most engaging post per hashtag; ties go to the smallest post id.
+    return silver.groupBy("hashtag").agg(*best_post())
 
-    The rank filter lets Spark cut every map task's output to one row per hashtag
-    before the shuffle, so a hot hashtag does not pile up in one task.
-    """
-    best_first = Window.partitionBy("hashtag").orderBy(F.desc("engagement_rate"), F.asc("post_id"))
-    return (
-        silver.withColumn("rank", F.row_number().over(best_first))
-        .filter(F.col("rank") == 1)
-        .select("hashtag", F.col("caption").alias("top_caption"), "engagement_rate")
+
+def tag_partials(silver: DataFrame) -> DataFrame:
+    """Sums and best post per hashtag of some of silver; partials of parts of it add up
+    to the partials of the whole (`fold_partials`)."""
+    total = F.col("likes") + F.col("comments") + F.col("shares")
+    micro = F.round(F.col("sentiment_score") * F.lit(MICRO)).cast("bigint")
+    place = F.struct((-F.col("engagement_rate")).alias("rate"), "post_id")
+    return silver.groupBy("hashtag").agg(
+        F.sum(total).alias("engagement_sum"),
+        F.count(total).alias("engagement_count"),
+        F.count(F.lit(1)).alias("post_count"),
+        F.count_if(F.col("is_competitor")).alias("competitor_post_count"),
+        F.count_if(~F.col("is_competitor")).alias("brand_post_count"),
+        F.sum(micro).alias("sentiment_sum"),
+        F.count(micro).alias("sentiment_count"),
+        F.min(place).alias("place"),
+        F.min_by("caption", place).alias("top_caption"),
+        F.max("engagement_rate").alias("engagement_rate"),
     )
 
 
-def best_post() -> tuple[Column, Column]:
-    """Caption and engagement of the post `top_caption` picks, as aggregates."""
-    best_first = F.struct((-F.col("engagement_rate")).alias("rate"), "post_id")
-    return (
-        F.min_by("caption", best_first).alias("top_caption"),
+SUMS = (
+    "engagement_sum", "engagement_count", "post_count", "competitor_post_count",
+    "brand_post_count", "sentiment_sum", "sentiment_count",
+)
+
+
+def fold_partials(partials: DataFrame) -> DataFrame:
+    """One partial per hashtag from any number of them."""
+    return partials.groupBy("hashtag").agg(
+        *[F.sum(c).alias(c) for c in SUMS],
+        F.min("place").alias("place"),
+        F.min_by("top_caption", "place").alias("top_caption"),
         F.max("engagement_rate").alias("engagement_rate"),
     )
 
 
+def gold_from_partials(
+    partials: DataFrame, brand: BrandConfig, rules: Rules = DEFAULT_RULES
+) -> DataFrame:
+    """The rows of `gold` over all silver that the partials came from."""
+    folded = fold_partials(partials)
+    mean = F.col("engagement_sum").cast("double") / F.col("engagement_count")
+    feeling = F.col("sentiment_sum").cast("double") / F.lit(MICRO) / F.col("sentiment_count")
+    totals = folded.withColumns(
+        {"avg_engagement": mean / F.lit(rules.engagement_scale), "avg_sentiment": feeling}
+    )
+    return with_signals(totals, brand, rules).select(*INSIGHT.names)
+
+
 def gold(silver: DataFrame, brand: BrandConfig, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """All insight columns from one scan and one shuffle.
 

@@ -63,12 +63,15 @@ def prompt_context(
             )
         ).alias("best")
     )
-    second = brand.hashtags[1] if len(brand.hashtags) > 1 else None
+    first = brand.hashtags[0] if brand.hashtags else FALLBACK_TAG
+    top = F.coalesce(_nth(F.col("best"), 0, "hashtag"), F.lit(first))
+    rising = F.lit(brand.hashtags[1]) if len(brand.hashtags) > 1 else top
+    engagement = F.coalesce(-_nth(F.col("best"), 0, "engagement"), F.lit(0.0))
     return ranked.select(
         F.lit(brand.name).alias("brand"),
-        _nth(F.col("best"), 0, "hashtag").alias("top_hashtag"),
-        F.format_string("%.2f", -_nth(F.col("best"), 0, "engagement")).alias("top_engagement"),
-        F.coalesce(_nth(F.col("best"), 1, "hashtag"), F.lit(second)).alias("rising_hashtag"),
+        top.alias("top_hashtag"),
+        F.format_string("%.2f", engagement).alias("top_engagement"),
+        F.coalesce(_nth(F.col("best"), 1, "hashtag"), rising).alias("rising_hashtag"),
         serving.top_gap(gaps, default_gap).scalar().alias("gap_hashtag"),
         F.lit(", ".join(brand.competitors)).alias("competitors"),
     )

@@ -15,8 +15,10 @@ def by_engagement() -> tuple[Column, ...]:
 
 
 def newest_first() -> tuple[Column, ...]:
-    """Spark rows have no order of arrival to go by."""
-    return F.desc_nulls_last("timestamp"), F.asc("post_id")
+    """By the time the feed's text stands for; texts that are no time come last. Spark
+    rows have no order of arrival to go by."""
+    time = values.iso_to_utc(F.col("timestamp"), F.lit(None).cast("timestamp"))
+    return time.desc_nulls_last(), F.asc("post_id")
 
 
 def with_mentions(posts: DataFrame, brand: BrandConfig) -> DataFrame:
@@ -95,8 +97,8 @@ def preview(posts: DataFrame, n: int = 6, tags: int = 3) -> DataFrame:
 
 
 def share_of_max(top: DataFrame) -> DataFrame:
-    """Bar length of each top tag in percent of the longest. `top` is a handful of rows."""
-    longest = F.coalesce(F.nullif(F.max("avg_engagement").over(Window.partitionBy()), F.lit(0)), F.lit(1))
+    """Bar length of each tag in percent of the longest."""
+    longest = top.agg(F.coalesce(F.nullif(F.max("avg_engagement"), F.lit(0)), F.lit(1))).scalar()
     return top.withColumn("share", F.col("avg_engagement") / longest * F.lit(100.0))
 
 

@@ -37,20 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores where the input is one file that Spark cannot split.
-
-    Inputs with at least one partition per core are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 # --- Posts from order lines -----------------------------------------------------------
 
 
 def posts_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part")
     word = [F.split_part("p_name", F.lit(" "), F.lit(n)) for n in (1, 2)]
     hash_ = F.lit("#")
@@ -140,7 +131,7 @@ event_posts AS (
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def _cycle(*options: Column | None) -> Column:

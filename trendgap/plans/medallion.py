@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trendgap.config import DEFAULT_RULES, DEFAULT_TABLES, BrandConfig, Rules, TableNames
-from trendgap.operators import gaps, quality, suggestions
+from trendgap.operators import feedback, gaps, quality, serving, suggestions
 from trendgap.operators.gold import gold
 from trendgap.operators.silver import silver
-from trendgap.schemas import INSIGHT
+from trendgap.schemas import GAP_CLUSTER, INSIGHT, STATUS_EVENT, SUGGESTION
 from trendgap.sources import storage
 
 
@@ -57,10 +57,54 @@ def store_replies(
     created_at: Column | None = None,
     tables: TableNames = DEFAULT_TABLES,
 ) -> DataFrame:
-    """Append the suggestions of well-formed replies; return the refused ones."""
-    storage.ensure_database(replies.sparkSession, tables)
+    """Append the suggestions of well-formed replies and, to a table of their own, the
+    refused replies with the reason; return the table of those. Ids follow from reply and
+    position, so storing a batch again adds nothing."""
+    spark = replies.sparkSession
+    storage.ensure_database(spark, tables)
     judged = storage.materialise(suggestions.judge_strict(replies), "judged")
     at = F.current_timestamp() if created_at is None else created_at
     rows = suggestions.as_table_rows(suggestions.accepted(judged), F.lit(brand.name), at)
-    storage.append_table(rows, tables.full("suggestions"))
-    return suggestions.quarantined(judged)
+    storage.append_new(rows, tables.full("suggestions"), "suggestion_id")
+    storage.append_new(suggestions.quarantined(judged), tables.full("refused"), "response_id")
+    storage.discard(judged)
+    return spark.table(tables.full("refused"))
+
+
+def record_decisions(events: DataFrame, tables: TableNames = DEFAULT_TABLES) -> None:
+    """Append status events (`feedback.approve`, `reject`, `video_ready`) to the log; the
+    same events again add nothing."""
+    storage.ensure_database(events.sparkSession, tables)
+    storage.append_new(
+        events.select(*STATUS_EVENT.names), tables.full("events"), "suggestion_id", "ts", "seq", "status"
+    )
+
+
+def current_suggestions(spark: SparkSession, tables: TableNames = DEFAULT_TABLES) -> DataFrame:
+    """The suggestion table with the latest decision laid over each row."""
+    return feedback.current_state(
+        storage.read_table(spark, tables.full("suggestions"), schema=SUGGESTION),
+        storage.read_table(spark, tables.full("events"), schema=STATUS_EVENT),
+    )
+
+
+def dashboard(spark: SparkSession, tables: TableNames = DEFAULT_TABLES) -> DataFrame:
+    """The headline figures from the stored tables; missing tables count as empty."""
+    return serving.headline_metrics(
+        storage.read_table(spark, tables.full("gold"), schema=INSIGHT),
+        storage.read_table(spark, tables.full("gaps"), schema=GAP_CLUSTER),
+        current_suggestions(spark, tables),
+    )
+
+
+def director_prompt(
+    spark: SparkSession, brand: BrandConfig, default_gap: str, tables: TableNames = DEFAULT_TABLES
+) -> DataFrame:
+    """The prompt for the next suggestions from the stored tables."""
+    context = suggestions.prompt_context(
+        storage.read_table(spark, tables.full("gold"), schema=INSIGHT),
+        storage.read_table(spark, tables.full("gaps"), schema=GAP_CLUSTER),
+        brand,
+        default_gap,
+    )
+    return suggestions.render_prompt(context, brand)

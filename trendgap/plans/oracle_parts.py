@@ -143,6 +143,9 @@ feed AS (
          {_count('"commentsCount"')} AS comments,
          greatest(trunc({_count('"likesCount"')} * 0.05::DOUBLE)::BIGINT, 0) AS shares,
          coalesce(timestamp, '') AS timestamp,
+         TRY_CAST(substring(timestamp, 1, 10)
+                  || regexp_replace(substring(timestamp, 11), '(Z|[+-][0-9:]+)$', '') AS TIMESTAMP)
+           AS posted_at,
          coalesce(nullif("displayUrl", ''), nullif("previewUrl", ''), '') AS thumbnail,
          CASE WHEN "shortCode" <> '' THEN 'https://instagram.com/p/' || "shortCode" ELSE '' END
            AS post_url
@@ -187,7 +190,8 @@ cluster_tags AS (
 ),
 cluster_totals AS (
   SELECT cluster,
-         floor(avg(competitor_dominance) * 10000 + 0.5) / 10000 AS avg_competitor_dominance,
+         floor(sum(round(competitor_dominance * 1000000000)::BIGINT)::DOUBLE / 1000000000::DOUBLE
+               / count(competitor_dominance) * 10000 + 0.5) / 10000 AS avg_competitor_dominance,
          sum(brand_post_count)::BIGINT AS brand_post_count
   FROM assigned GROUP BY cluster
 ),

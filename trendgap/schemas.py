@@ -41,6 +41,14 @@ INSIGHT = _struct(
     top_caption=TEXT, engagement_rate=DOUBLE,
 )
 
+# What insights add up from (operators/gold.py).
+PARTIAL = _struct(
+    hashtag=TEXT, engagement_sum=LONG, engagement_count=LONG, post_count=LONG,
+    competitor_post_count=LONG, brand_post_count=LONG, sentiment_sum=LONG,
+    sentiment_count=LONG, place=_struct(rate=DOUBLE, post_id=TEXT), top_caption=TEXT,
+    engagement_rate=DOUBLE,
+)
+
 GAP_CLUSTER = _struct(
     cluster_id=INT, top_hashtags=TEXTS, avg_competitor_dominance=DOUBLE,
     brand_post_count=LONG, is_gap_cluster=FLAG,

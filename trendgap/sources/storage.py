@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -12,21 +12,41 @@ from trendgap.config import DEFAULT_TABLES, TableNames
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder the cluster names for shared intermediate data."""
+    """A new path in the folder that the cluster names for shared intermediate data, or
+    else beside the tables."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="trendgap-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
     return f"{base.rstrip('/')}/trendgap/{label}-{uuid.uuid4().hex}"
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write once, read back: later passes neither recompute the lineage nor depend on
     the executors that produced it."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what `materialise` wrote for these frames, once nothing reads it any more."""
+    for frame in frames:
+        path = _PATHS.pop(frame, None)
+        if path is not None:
+            context = frame.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def ensure_folder(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).mkdirs(place)
 
 
 def ensure_database(spark: SparkSession, tables: TableNames = DEFAULT_TABLES) -> None:
@@ -38,6 +58,22 @@ def overwrite_table(df: DataFrame, table: str) -> None:
     df.write.mode("overwrite").format("parquet").saveAsTable(table)
 
 
+def append_new(df: DataFrame, table: str, *keys: str) -> None:
+    """Append the rows whose key is not stored yet, each key once: the same batch stored
+    twice leaves the rows of one. The batch should be stored already, as it is read after
+    the table has been looked up."""
+    rows = df.dropDuplicates(list(keys))
+    if df.sparkSession.catalog.tableExists(table):
+        known = df.sparkSession.table(table).select(*keys)
+        rows = rows.join(known, list(keys), "left_anti").select(*df.columns)
+        # Written apart first: a table cannot be read and appended to in one job.
+        rows = materialise(rows, "new-rows")
+        append_table(rows, table)
+        discard(rows)
+    else:
+        append_table(rows, table)
+
+
 def append_table(df: DataFrame, table: str) -> None:
     df.write.mode("append").format("parquet").saveAsTable(table)
 

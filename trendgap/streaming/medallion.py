@@ -1,18 +1,19 @@
-"""Post files -> bronze -> silver as streams, gold recomputed after each update."""
+"""Post files -> bronze -> silver -> partial insights as streams, gold folded from those."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from trendgap.config import DEFAULT_RULES, BrandConfig, Rules
 from trendgap.operators import quality
-from trendgap.operators.gold import gold
+from trendgap.operators.gold import gold, gold_from_partials, tag_partials
 from trendgap.operators.silver import hashtag_posts
-from trendgap.schemas import HASHTAG_POST, POST
+from trendgap.schemas import HASHTAG_POST, INSIGHT, PARTIAL, POST
 from trendgap.sources.posts import read_posts_stream
+from trendgap.sources.storage import ensure_folder
 
 
 # Files per micro-batch. A backlog is worked off in steps that can each be repeated.
@@ -33,25 +34,24 @@ class Paths:
         return f"{self.root}/_checkpoints/{layer}"
 
 
-def _append(df: DataFrame, paths: Paths, layer: str, every: str | None) -> StreamingQuery:
-    """Append to a layer: one run over what is there, or a run `every` so often."""
+def _writer(df: DataFrame, paths: Paths, layer: str, every: str | None) -> DataStreamWriter:
+    """One run over what is there, or a run `every` so often."""
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
     return (
-        df.writeStream.format("parquet")
-        .outputMode("append")
+        df.writeStream.outputMode("append")
         .option("checkpointLocation", paths.checkpoint(layer))
         .queryName(f"{layer}:{paths.root}")
         .trigger(**trigger)
-        .start(paths.table(layer))
     )
 
 
 def start_bronze(
     spark: SparkSession, paths: Paths, every: str | None = None, max_files: int = MAX_FILES
 ) -> StreamingQuery:
+    ensure_folder(spark, paths.landing)
     posts = read_posts_stream(spark, paths.landing, max_files)
     valid = quality.expect(posts, quality.BRONZE_RULES, "bronze_rules")
-    return _append(valid, paths, "bronze", every)
+    return _writer(valid, paths, "bronze", every).format("parquet").start(paths.table("bronze"))
 
 
 def start_silver(
@@ -64,21 +64,60 @@ def start_silver(
     reader = spark.readStream.schema(POST).option("maxFilesPerTrigger", max_files)
     enriched = hashtag_posts(reader.parquet(paths.table("bronze")), rules)
     valid = quality.expect(enriched, quality.SILVER_RULES, "silver_rules")
-    return _append(valid, paths, "silver", every)
+    return _writer(valid, paths, "silver", every).format("parquet").start(paths.table("silver"))
 
 
 def read_silver(spark: SparkSession, paths: Paths) -> DataFrame:
     return spark.read.schema(HASHTAG_POST).parquet(paths.table("silver"))
 
 
+def write_partials(silver: DataFrame, paths: Paths, batch: int) -> None:
+    """Partial insights of one micro-batch in a folder of its own: a replayed batch
+    replaces what it wrote before."""
+    folder = f"{paths.table('partials')}/batch={batch}"
+    tag_partials(silver).write.mode("overwrite").parquet(folder)
+
+
+def start_gold(
+    spark: SparkSession,
+    paths: Paths,
+    brand: BrandConfig,
+    rules: Rules = DEFAULT_RULES,
+    every: str | None = None,
+    max_files: int = MAX_FILES,
+) -> StreamingQuery:
+    """Reads each silver row once. After each micro-batch gold is folded anew from the
+    partials, whose number of rows is hashtags times batches, not posts."""
+    reader = spark.readStream.schema(HASHTAG_POST).option("maxFilesPerTrigger", max_files)
+
+    def refresh(rows: DataFrame, batch: int) -> None:
+        write_partials(rows, paths, batch)
+        refresh_gold(spark, paths, brand, rules)
+
+    writer = _writer(reader.parquet(paths.table("silver")), paths, "gold", every)
+    return writer.foreachBatch(refresh).start()
+
+
 def refresh_gold(
     spark: SparkSession, paths: Paths, brand: BrandConfig, rules: Rules = DEFAULT_RULES
 ) -> DataFrame:
-    """Insights over all of silver, written anew. Ranking per hashtag needs all rows, so
-    this part is a batch job."""
-    insights = gold(read_silver(spark, paths), brand, rules)
+    """Insights folded from all partials, written anew. Readers should expect a moment
+    without files while the new ones replace the old."""
+    partials = spark.read.schema(PARTIAL).parquet(paths.table("partials"))
+    insights = gold_from_partials(partials, brand, rules)
     insights.write.mode("overwrite").parquet(paths.table("gold"))
-    return spark.read.schema(insights.schema).parquet(paths.table("gold"))
+    return read_gold(spark, paths)
+
+
+def read_gold(spark: SparkSession, paths: Paths) -> DataFrame:
+    return spark.read.schema(INSIGHT).parquet(paths.table("gold"))
+
+
+def recomputed_gold(
+    spark: SparkSession, paths: Paths, brand: BrandConfig, rules: Rules = DEFAULT_RULES
+) -> DataFrame:
+    """The same insights from all of silver, as a check of the folded ones."""
+    return gold(read_silver(spark, paths), brand, rules)
 
 
 def update(
@@ -86,7 +125,10 @@ def update(
     paths: Paths,
     rules: Rules = DEFAULT_RULES,
     max_files: int = MAX_FILES,
+    brand: BrandConfig | None = None,
 ) -> None:
-    """Bring bronze and silver up to date with the files that have landed."""
+    """Bring bronze and silver, and for a brand gold, up to date with what has landed."""
     start_bronze(spark, paths, max_files=max_files).awaitTermination()
     start_silver(spark, paths, rules, max_files=max_files).awaitTermination()
+    if brand is not None:
+        start_gold(spark, paths, brand, rules, max_files=max_files).awaitTermination()
