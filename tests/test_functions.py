@@ -218,3 +218,22 @@ def test_prompt_pieces(spark):
     assert branded.startswith(". Brand: Acme Co. Tone: Bold. Vertical")
     assert one(spark, text.reel_file_name(F.col("b")), b="Acme Co") == "acme_co_reel.mp4"
     assert one(spark, text.post_text(F.col("c"), F.col("t")), c="Hi", t=["#a", "#b"]) == "Hi\n\n#a #b"
+
+
+@pytest.mark.parametrize(
+    "text, clock",
+    [
+        ("2024-01-02T03:04:05.123456789Z", "2024-01-02 03:04:05.123456"),
+        ("2024-01-02T03:04:05,5+01:00", "2024-01-02 03:04:05.500000"),
+        ("20240102T030405Z", "2024-01-02 03:04:05"),
+        ("20240102T0304", "2024-01-02 03:04:00"),
+        ("20240102", "2024-01-02 00:00:00"),
+        ("2024-01-02T030405.25-0800", "2024-01-02 03:04:05.250000"),
+        ("2024-01-02T03:04:05" + "x" * 80, None),
+        ("202401", None),
+    ],
+)
+def test_further_forms_of_time(spark, text, clock):
+    frame = spark.createDataFrame([(text,)], "t string")
+    got = frame.select(numbers.iso_to_utc(F.col("t"), F.lit(None).cast("timestamp")).cast("timestamp_ntz")).first()[0]
+    assert (None if got is None else str(got)) == clock
