@@ -6,6 +6,7 @@ chunks of a few megabytes first; a single text is never cut. Null texts count as
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from trendgap.llm.common import ship
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 class Texts:
@@ -67,6 +68,16 @@ def chunks(
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Spark keeps the worker, and
+    what it holds would stand beside the memory of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # the GNU C library has it
+        trim(0)
 
 
 def map_texts(
