@@ -128,6 +128,8 @@ class Index:
     postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=dict)
     words: list[list[bytes]] = field(default_factory=list)
     mandatory: list[list[bytes]] = field(default_factory=list)
+    known: list[set[bytes]] = field(default_factory=list)
+    least: list[int] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         for number, template in enumerate(self.templates):
@@ -136,7 +138,8 @@ class Index:
             self.mandatory.append([b" ".join(words_of(m.encode())) for m in template.mandatory])
             for position, word in enumerate(words):
                 self.postings.setdefault(word, []).append((number, position))
-        self.least = [min(self.votes, len(set(words))) for words in self.words]
+        self.known = [set(words) for words in self.words]
+        self.least = [min(self.votes, len(known)) for known in self.known]
 
     def find(self, words: list[bytes]) -> dict[str, float]:
         """Labels of the templates found, with the best score of each."""
@@ -145,9 +148,17 @@ class Index:
             if word in self.postings:
                 places.setdefault(word, []).append(at)
         rare = sorted(places, key=lambda w: (-self.idf[w], w))[: self.rarest]
+        # A template cannot get more votes than it has words among the rare ones.
+        enough = {
+            number
+            for number, known in enumerate(self.known)
+            if len(known.intersection(rare)) >= self.least[number]
+        }
         votes: dict[tuple[int, int], set[bytes]] = {}
-        for word in rare:
+        for word in rare if enough else ():
             for number, position in self.postings[word]:
+                if number not in enough:
+                    continue
                 for at in places[word]:
                     votes.setdefault((number, at - position), set()).add(word)
         found: dict[str, float] = {}
