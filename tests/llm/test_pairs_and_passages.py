@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from tests.llm.conftest import PASSAGE, frame, pairs
-from trendgap.llm import decontamination, licenses, simhash, suffixes
+from trendgap.llm import decontamination, licenses, near_copies, simhash, suffixes
 
 
 def small(text):
@@ -262,3 +262,54 @@ def test_license_templates(spark):
     assert got[1]["labels"] == "mit" and got[1]["score"] == 1
     assert got[2]["labels"] == "mit" and 0.7 < got[2]["score"] < 1
     assert got[3]["labels"] == got[5]["labels"] == "" and got[4]["labels"] == "gpl-3"
+
+
+def five_word_sets(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", small(text))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def alike(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def near_copies_of(rng):
+    """Texts around the limit of similarity, a group of many copies, lines shared by all."""
+    line = "one line that stands in very many of these texts"
+    rows = []
+    for group in range(12):
+        base = [f"w{rng.randint(0, 4000)}" for _ in range(rng.choice([4, 8, 30, 120]))]
+        for _ in range(60 if group == 0 else 6):
+            own = base.copy()
+            for at in rng.sample(range(len(own)), min(len(own), rng.choice([0, 1, 1, 2, 3, 6]))):
+                own[at] = f"new{rng.randint(0, 10**6)}"
+            rows.append((len(rows) + 100, " ".join([*own, line] if group % 2 else own)))
+    return rows
+
+
+@pytest.mark.parametrize("table", ["odd", "documents", "nothing", "near"])
+def test_one_of_each_class_of_near_copies(spark, request, table):
+    if table == "near":
+        df = frame(spark, near_copies_of(random.Random(4))).repartition(3)
+    else:
+        df = request.getfixturevalue(table)
+    rows = pairs(df)
+    roots = classes([five_word_sets(t) for _, t in rows], alike)
+    best = {}
+    for (i, _), root in zip(rows, roots):
+        best[root] = min(best.get(root, (True, 0)), (i is None, i or 0))
+    kept = near_copies.one_of_each(df)
+    assert kept.schema == df.schema and kept.count() == len(best)
+    assert sorted(i for i, _ in pairs(kept) if i is not None) == sorted(i for gone, i in best.values() if not gone)
+    if table == "near":
+        assert len(best) < len(rows)
+
+
+def test_the_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(150)]
+    rows = [(k, " ".join(words[: 7 * k] + [f"changed{k}"] + words[7 * k + 1 :])) for k in range(1, 9)]
+    rows.append((20, " ".join(f"v{k}" for k in range(150))))
+    left = corpus_pipeline.simhash_near_dedup(spark, frame(spark, rows), "")
+    assert sorted(i for i, _ in pairs(left)) == [1, 20]
