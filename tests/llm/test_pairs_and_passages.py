@@ -313,3 +313,34 @@ def test_the_pipeline_drops_near_copies(spark):
     rows.append((20, " ".join(f"v{k}" for k in range(150))))
     left = corpus_pipeline.simhash_near_dedup(spark, frame(spark, rows), "")
     assert sorted(i for i, _ in pairs(left)) == [1, 20]
+
+
+def brute_labels(text, votes=4, slack=3):
+    """Every template at every place, all of its words counted."""
+    w, out = words(text), set()
+    for template in licenses.TEMPLATES:
+        own = words(template.text)
+        for shift in range(-len(own), len(w) + 1):
+            voters = {
+                x for p, x in enumerate(own)
+                if any(0 <= p + shift + d < len(w) and w[p + shift + d] == x for d in range(slack + 1))
+            }
+            part = " ".join(w[max(0, shift - slack) : max(0, shift + len(own) + slack)])
+            if len(voters) >= min(votes, len(set(own))) and all(
+                f" {' '.join(words(m))} " in f" {part} " for m in template.mandatory
+            ):
+                out.add(template.label)
+    return out | {label for phrase, label in licenses.BASE_PHRASES if f" {phrase} " in f" {' '.join(w)} "}
+
+
+def test_several_licenses_in_one_text(spark):
+    rng, texts = random.Random(5), [t.text for t in licenses.TEMPLATES]
+    vocabulary = [w.decode() for w in licenses.template_words(licenses.TEMPLATES)]
+    rows = [(0, " ".join(texts))]
+    rows += [(k, texts[0] + " and then " + t) for k, t in enumerate(texts, 1)]
+    for k in range(20, 30):  # every template word is in the text, templates are worn
+        some = [" ".join(w for w in t.split() if rng.random() < 0.97) for t in rng.sample(texts, 3)]
+        rows.append((k, " ".join([*rng.choices(vocabulary, k=400), *some, *rng.choices(vocabulary, k=400)])))
+    got = {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in licenses.license_scan(frame(spark, rows)).collect()}
+    assert got == {i: brute_labels(t) for i, t in rows}
+    assert got[0] == {t.label for t in licenses.TEMPLATES}

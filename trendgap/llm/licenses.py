@@ -6,12 +6,13 @@ lower-cased. Two things are looked for in every text.
 Base phrases: all places where the words of a phrase stand one after another.
 
 Templates: an index holds every template's words with their positions and their inverse
-document frequency (IDF), counted over all documents. Of a text's words that occur in any
-template the `rarest` highest-IDF ones are looked up; each meeting of a template posting
-(word, position) with the text's own position votes for the relative position of text and
-template. A template with at least `votes` distinct words at one relative position (within
-`slack` words, as words may be missing or added) is a candidate. It is verified around
-that place: all its mandatory phrases must stand within its length and slack. The score is
+document frequency (IDF), counted over all documents. Templates with all their mandatory
+phrases somewhere in the text are looked up, by all of their words, common or rare; each
+meeting of a template posting (word, position) with the text's own position votes for the
+relative position of text and template. A template with at least `votes` distinct words at
+one relative position (within `slack` words, as words may be missing or added) is a
+candidate. It is verified around that place: all its mandatory phrases must stand within
+its length and slack. The score is
 the IDF-weighted share of the template's words that stand at their place, 1 for a whole
 copy; a text with base labels alone scores BASE_SCORE.
 
@@ -122,7 +123,6 @@ class Index:
 
     templates: tuple[Template, ...]
     idf: dict[bytes, float]
-    rarest: int
     votes: int
     slack: int
     postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=dict)
@@ -141,25 +141,25 @@ class Index:
         self.known = [set(words) for words in self.words]
         self.least = [min(self.votes, len(known)) for known in self.known]
 
-    def find(self, words: list[bytes]) -> dict[str, float]:
-        """Labels of the templates found, with the best score of each."""
-        places: dict[bytes, list[int]] = {}
-        for at, word in enumerate(words):
-            if word in self.postings:
-                places.setdefault(word, []).append(at)
-        rare = sorted(places, key=lambda w: (-self.idf[w], w))[: self.rarest]
-        # A template cannot get more votes than it has words among the rare ones.
+    def find(self, words: list[bytes], joined: bytes) -> dict[str, float]:
+        """Labels of the templates found, with the best score of each; `joined` are the
+        words with blanks between and at either end."""
         enough = {
             number
-            for number, known in enumerate(self.known)
-            if len(known.intersection(rare)) >= self.least[number]
+            for number, phrases in enumerate(self.mandatory)
+            if all(b" " + m + b" " in joined for m in phrases)
         }
+        wanted = set().union(*(self.known[number] for number in enough))
+        places: dict[bytes, list[int]] = {}
+        for at, word in enumerate(words) if wanted else ():
+            if word in wanted:
+                places.setdefault(word, []).append(at)
         votes: dict[tuple[int, int], set[bytes]] = {}
-        for word in rare if enough else ():
+        for word, found_at in places.items():
             for number, position in self.postings[word]:
                 if number not in enough:
                     continue
-                for at in places[word]:
+                for at in found_at:
                     votes.setdefault((number, at - position), set()).add(word)
         found: dict[str, float] = {}
         for (number, shift), voters in votes.items():
@@ -217,14 +217,11 @@ def license_scan(
     documents: DataFrame,
     templates: tuple[Template, ...] = TEMPLATES,
     phrases: tuple[tuple[str, str], ...] = BASE_PHRASES,
-    rarest: int = 24,
     votes: int = 4,
     slack: int = 3,
 ) -> DataFrame:
     """Phrases and licences of every text; columns as in OUT."""
-    index = Index(
-        templates, inverse_document_frequencies(documents, templates), rarest, votes, slack
-    )
+    index = Index(templates, inverse_document_frequencies(documents, templates), votes, slack)
     base = [(b" ".join(words_of(p.encode())), label) for p, label in phrases]
 
     def scan(texts: Texts) -> dict[str, object]:
@@ -239,7 +236,7 @@ def license_scan(
                     labels[label] = BASE_SCORE
                     places += hits
             known = sorted(labels)
-            for label, score in index.find(words).items():
+            for label, score in index.find(words, joined).items():
                 labels[label] = max(score, labels.get(label, 0.0))
             row = (
                 len(words),
