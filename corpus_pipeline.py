@@ -3,8 +3,8 @@
 Every stage takes the documents that its predecessor left, and its decisions take effect:
 
 1. quality: documents scored below 0.5 go;
-2. near duplicates: of every class of texts linked by a Jaccard similarity of 0.8 or more
-   of their five-word shingles the smallest doc_id stays;
+2. near duplicates: of every component of SimHash fingerprints, with the shingle length
+   and bit distance of the operator, the document with the smallest doc_id stays;
 3. repeated passages: bytes of 200-byte strings that start elsewhere too are taken out of
    the texts; the rows stay, with whatever text is left;
 4. decontamination: documents that overlap a benchmark item go;
@@ -16,7 +16,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trendgap.llm import decontamination, near_copies, quality, segmentation, suffixes
+from trendgap.llm import decontamination, quality, segmentation, simhash, suffixes
 from trendgap.llm.common import discard, read, stored
 
 
@@ -26,7 +26,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
