@@ -6,10 +6,11 @@ from collections.abc import Callable
 from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trendgap.llm.common import read, shared_folder, stored
 from trendgap.llm.decontamination import contaminated
+from trendgap.llm.fill_middle import fill_in_middle, restored
 from trendgap.llm.language import identify, learn
 from trendgap.llm.licenses import license_scan
 from trendgap.llm.merkle import merkle_fingerprints
@@ -71,6 +72,15 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(read(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
@@ -82,6 +92,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_merkle": op10_merkle,
+    "op12_fill_middle": op12_fill_middle,
 }
 
-ORACLES: dict[str, str] = {}
+# Lines, draws and digests of the fill-in-middle texts.
+FILL_MIDDLE_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS t,
+           sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+           regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units
+    FROM documents
+), draws AS (
+    SELECT doc_id, t, units, CAST(len(units) AS BIGINT) AS n,
+           CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(units) + 1) AS one,
+           CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(units) + 1) AS two,
+           CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 AS suffix_first,
+           t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain
+    FROM texts
+), parts AS (
+    SELECT doc_id, t, n, CASE WHEN plain THEN 'plain' WHEN suffix_first THEN 'spm' ELSE 'psm' END AS form,
+           array_to_string(units[1:least(one, two)], '') AS p,
+           array_to_string(units[least(one, two) + 1:greatest(one, two)], '') AS m,
+           array_to_string(units[greatest(one, two) + 1:], '') AS s
+    FROM draws
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+                        WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+ORACLES: dict[str, str] = {"op12_fill_middle": FILL_MIDDLE_SQL}
