@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trendgap.llm.common import read, shared_folder, stored
+from trendgap.llm.debruijn import remove_repeated_spans
 from trendgap.llm.decontamination import contaminated
 from trendgap.llm.fill_middle import fill_in_middle, restored
 from trendgap.llm.language import identify, learn
@@ -81,6 +82,11 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_spans(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeated_passages": op9_repeated_passages,
     "op10_merkle": op10_merkle,
     "op12_fill_middle": op12_fill_middle,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 # Lines, draws and digests of the fill-in-middle texts.
@@ -126,4 +133,34 @@ SELECT doc_id, n, form,
 FROM parts
 """
 
-ORACLES: dict[str, str] = {"op12_fill_middle": FILL_MIDDLE_SQL}
+# Windows of 13 words, the smallest document of each, and the words that are left.
+SUBSTRING_SQL = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS row, doc_id,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), windows AS (
+    SELECT row, doc_id, place, array_to_string(words[place:place + 12], ' ') AS window_words
+    FROM (SELECT row, doc_id, words, unnest(range(1, len(words) - 11)) AS place FROM texts)
+), smallest AS (
+    SELECT window_words, min(doc_id) AS source FROM windows GROUP BY window_words
+), gone AS (
+    SELECT DISTINCT row, place + step AS place
+    FROM (SELECT row, place, unnest(range(13)) AS step
+          FROM windows JOIN smallest USING (window_words) WHERE doc_id > source)
+), single AS (
+    SELECT row, unnest(range(1, len(words) + 1)) AS place, unnest(words) AS word FROM texts
+), kept AS (
+    SELECT row, string_agg(word, ' ' ORDER BY place) AS words, count(*) AS n
+    FROM single ANTI JOIN gone USING (row, place) GROUP BY row
+)
+SELECT doc_id, CAST(len(t.words) AS BIGINT) AS n_words,
+       CAST(len(t.words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.words, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept USING (row)
+"""
+
+ORACLES: dict[str, str] = {
+    "op12_fill_middle": FILL_MIDDLE_SQL,
+    "op13_substring_dedup": SUBSTRING_SQL,
+}
