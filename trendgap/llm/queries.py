@@ -15,6 +15,7 @@ from trendgap.llm.fill_middle import fill_in_middle, restored
 from trendgap.llm.language import identify, learn
 from trendgap.llm.licenses import license_scan
 from trendgap.llm.merkle import merkle_fingerprints
+from trendgap.llm.prefix_trie import prefix_trie, rebuilt, sequences
 from trendgap.llm.quality import learn as learn_quality, score
 from trendgap.llm.segmentation import sample_segmentations
 from trendgap.llm.simhash import near_duplicates
@@ -73,6 +74,11 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    return prefix_trie(rebuilt(sequences(conversations))).drop("turn_id")
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(read(spark, sf_dir, "documents"))
     return made.select(
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_merkle": op10_merkle,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_fill_middle": op12_fill_middle,
     "op13_substring_dedup": op13_substring_dedup,
 }
@@ -160,7 +167,66 @@ SELECT doc_id, CAST(len(t.words) AS BIGINT) AS n_words,
 FROM texts t LEFT JOIN kept USING (row)
 """
 
+# All prefixes of all rebuilt conversations, grouped; subtrees by pairing each node of a
+# conversation with those below it. The CRC-32 of an id is worked out bit by bit.
+PREFIX_TRIE_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, length(coalesce(text, '')) AS chars, turn,
+           md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS name
+    FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, name || ':' || chars AS name, chars,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, name, chars) AS place
+    FROM turns
+), ids AS (
+    SELECT conv_id, conv_id - conv_id % 100 AS first, xor(list_reduce(
+        [4294967295::BIGINT] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ord(x)::BIGINT),
+        lambda crc, byte: list_reduce(
+            [xor(crc, byte)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+            lambda value, step: xor(value >> 1, 3988292384 * (value & 1))
+        )
+    ), 4294967295) % 6 AS h
+    FROM (SELECT DISTINCT conv_id FROM own)
+), joined AS (
+    SELECT ids.conv_id, 0 AS part, place, name, chars FROM ids JOIN own ON own.conv_id = first WHERE place <= h
+    UNION ALL
+    SELECT ids.conv_id, 1, place, name, chars FROM ids JOIN own ON own.conv_id = ids.conv_id WHERE place > h
+), prefixes AS (
+    SELECT conv_id, row_number() OVER turns_before AS depth, chars,
+           md5(string_agg(name, ',') OVER turns_before) AS node
+    FROM joined WINDOW turns_before AS (PARTITION BY conv_id ORDER BY part, place)
+    UNION ALL
+    SELECT conv_id, 0, 0, '' FROM ids
+), ends AS (
+    SELECT node, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS digest
+    FROM (SELECT conv_id, max_by(node, depth) AS node FROM prefixes GROUP BY conv_id) GROUP BY node
+), nodes AS (
+    SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars
+    FROM prefixes GROUP BY node, depth
+), parents AS (
+    SELECT DISTINCT below.node, above.node AS parent
+    FROM prefixes below JOIN prefixes above ON above.conv_id = below.conv_id AND above.depth = below.depth - 1
+), children AS (
+    SELECT parent, count(*) AS n FROM parents GROUP BY parent
+), subtrees AS (
+    SELECT top, sum(CAST(n IS NULL AS BIGINT)) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+    FROM (SELECT DISTINCT above.node AS top, below.node
+          FROM prefixes above JOIN prefixes below
+            ON above.conv_id = below.conv_id AND above.depth <= below.depth)
+    JOIN nodes USING (node) LEFT JOIN children ON children.parent = node
+    GROUP BY top
+)
+SELECT nodes.conv_id, nodes.depth, up.conv_id AS parent_conv_id, nodes.n_convs,
+       coalesce(children.n, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
+FROM nodes
+LEFT JOIN parents USING (node) LEFT JOIN nodes up ON up.node = parents.parent
+LEFT JOIN children ON children.parent = nodes.node
+JOIN subtrees ON top = nodes.node LEFT JOIN ends ON ends.node = nodes.node
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_prefix_trie": PREFIX_TRIE_SQL,
     "op12_fill_middle": FILL_MIDDLE_SQL,
     "op13_substring_dedup": SUBSTRING_SQL,
 }
