@@ -118,8 +118,9 @@ def paths(rows: DataFrame, size: int, gram: int) -> DataFrame:
 
 
 def single_edges(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """Every window of the wanted paths (inner, outer, row, place, n): its hash (a, b), which
-    path it is from, how far into it, and how often that path occurs."""
+    """Every window of the wanted paths (inner, outer, row, place, n): its hash (a, b), that of
+    it and one more word (link, check; null at the end of the path), which path it is from,
+    how far into it, and how often that path occurs."""
     lists = wanted.groupBy("row").agg(
         F.collect_list(F.struct("place", "inner", "outer", "n")).alias("paths")
     )  # of one text
@@ -136,18 +137,71 @@ def single_edges(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             of = np.repeat(np.arange(len(first)), count)
             step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
             at = first[of] + step + words.bounds[text[of]]
+            last = step + 1 == count[of]
+            more = np.where(last, at + size, at + size + 1)
             yield [
                 words.of(at, at + size, 0).view(np.int64), words.of(at, at + size, 1).view(np.int64),
+                pa.array(words.of(at, more, 0).view(np.int64), mask=last),
+                pa.array(words.of(at, more, 1).view(np.int64), mask=last),
                 inner[of], outer[of], step, n[of],
             ]
 
     joined = rows.select("row", "text").join(lists, "row")
-    return arrow_map(joined, emit, "a bigint, b bigint, inner bigint, outer bigint, step int, n bigint")
+    return arrow_map(
+        joined, emit,
+        "a bigint, b bigint, link bigint, check bigint, inner bigint, outer bigint, step int, n bigint",
+    )
+
+
+def paths_between_branches(edges: DataFrame) -> DataFrame:
+    """inner, outer, and the repeated windows of that path as an array of (step, windows, a, b,
+    total): successive windows are one where neither ever occurs without the other."""
+    often = edges.groupBy("a", "b").agg(F.sum("n").alias("total")).where("total > 1")
+    links = (
+        edges.where("link IS NOT NULL").groupBy("link", "check").agg(F.sum("n").alias("linked")).where("linked > 1")
+    )
+    known = edges.join(often.hint("shuffle_hash"), ["a", "b"])
+    lists = (
+        known.join(links.hint("shuffle_hash"), ["link", "check"], "left")
+        .groupBy("inner", "outer")
+        .agg(F.collect_list(F.struct("step", "a", "b", "total", "linked")).alias("edges"))
+    )  # of one path: at most size - gram + 1
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for part in batches:
+            lists = part.column("edges")
+            of = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(lists)))
+            edge = lists.flatten()
+            linked = np.asarray(edge.field("linked").fill_null(0))
+            step, a, b, total = (np.asarray(edge.field(f)) for f in ("step", "a", "b", "total"))
+            order = np.lexsort((step, of))
+            of, step, a, b, total, linked = (x[order] for x in (of, step, a, b, total, linked))
+            plain = np.append(False, (
+                (of[1:] == of[:-1]) & (step[1:] == step[:-1] + 1)
+                & (total[1:] == total[:-1]) & (linked[:-1] == total[1:])
+            )) if len(of) else np.zeros(0, bool)
+            begins = np.flatnonzero(~plain)
+            windows = np.diff(np.append(begins, len(of)))
+            bounds = np.searchsorted(of[begins], np.arange(part.num_rows + 1))
+            merged = pa.StructArray.from_arrays(
+                [pa.array(step[begins]), pa.array(windows.astype(np.int32)), *map(pa.array, (a[begins], b[begins], total[begins]))],
+                ["step", "windows", "a", "b", "total"],
+            )
+            yield [
+                part.column("inner"), part.column("outer"),
+                pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), merged),
+            ]
+
+    return arrow_map(
+        lists, merge,
+        "inner bigint, outer bigint, edges array<struct<step:int,windows:int,a:bigint,b:bigint,total:bigint>>",
+    )
 
 
-def repeated_edges(rows: DataFrame, size: int, gram: int) -> DataFrame:
+def repeated_edges(rows: DataFrame, size: int, gram: int) -> tuple[DataFrame, list[DataFrame]]:
     """row, first (window), windows, a, b (identity of the edge or path), n (how often it
-    occurs) for every occurrence of what occurs more than once; no two of a row overlap."""
+    occurs) for every occurrence of what occurs more than once; no two of a row overlap.
+    Also the stored frames that it reads."""
     found = paths(rows, size, gram)  # cheap to make again, and large to keep
     anchors = found.groupBy("inner").agg(
         F.count("*").alias("n"), F.min("outer").alias("low"), F.max("outer").alias("high")
@@ -155,42 +209,34 @@ def repeated_edges(rows: DataFrame, size: int, gram: int) -> DataFrame:
     anchors = stored(
         anchors.where("n > 1").select("inner", "n", F.expr("low = high").alias("whole")), "anchors"
     )
-    met = stored(found.join(anchors, "inner"), "met-paths")
+    met = stored(found.join(anchors.hint("shuffle_hash"), "inner"), "met-paths")
     discard(anchors)
     several = met.where("NOT whole").drop("whole", "n")
     different = several.groupBy("inner", "outer").agg(
         F.count("*").alias("n"), F.first("row").alias("row"), F.first("place").alias("place")
     )
     edges = stored(single_edges(rows, different, size), "single-edges")
-    often = edges.groupBy("a", "b").agg(F.sum("n").alias("total")).where("total > 1")
-    lists = (
-        edges.join(often, ["a", "b"])
-        .groupBy("inner", "outer")
-        .agg(F.collect_list(F.struct("step", "a", "b", "total")).alias("edges"))
-    )  # of one path: at most size - gram + 1
-    lists = stored(lists, "edges-of-paths")
+    lists = stored(paths_between_branches(edges), "edges-of-paths")
     discard(edges)
     first = F.expr("cast(shiftright(place, 32) as int)")
     whole = met.where("whole").select(
         "row", first.alias("first"), F.expr("cast(place & 65535 as int) + 1").alias("windows"),
         F.col("inner").alias("a"), F.col("outer").alias("b"), "n",
     )
-    single = (
-        several.join(lists, ["inner", "outer"])
+    parts = (
+        several.join(lists.hint("shuffle_hash"), ["inner", "outer"])
         .select("row", first.alias("first"), F.explode("edges").alias("e"))
         .select(
-            "row", (F.col("first") + F.col("e.step")).alias("first"), F.lit(1).alias("windows"),
+            "row", (F.col("first") + F.col("e.step")).alias("first"), "e.windows",
             "e.a", "e.b", F.col("e.total").alias("n"),
         )
     )
-    out = stored(whole.unionByName(single), "repeated-edges")
-    discard(met, lists)
-    return out
+    return whole.unionByName(parts), [met, lists]
 
 
-def compacted(edges: DataFrame) -> DataFrame:
+def compacted(edges: DataFrame, read: list[DataFrame]) -> DataFrame:
     """row and its edges as an array of (first, windows, inside): `inside` says that it
-    belongs to one path with the edge before it."""
+    belongs to one path with the edge before it. Discards what the edges are read from."""
     order = Window.partitionBy("row").orderBy("first")
     follows = (F.lag(F.expr("first + windows")).over(order) == F.col("first")) & (
         F.lag("n").over(order) == F.col("n")
@@ -201,25 +247,36 @@ def compacted(edges: DataFrame) -> DataFrame:
         F.when(follows, F.xxhash64(F.lag("b").over(order), "b")).alias("check"),
     )
     linked = stored(linked, "linked-edges")
+    discard(*read)
+    tested = linked.where("link IS NOT NULL")
     plain = (
-        linked.where("link IS NOT NULL")
-        .groupBy("link", "check")
+        tested.groupBy("link", "check")
         .agg(F.count("*").alias("met"), F.min("n").alias("n"))
         .where("met = n")
-        .select("link", "check", F.lit(True).alias("inside"))
+        .select("link", "check")
     )
-    joined = linked.join(stored(plain, "plain-links"), ["link", "check"], "left")
-    return joined.groupBy("row").agg(
-        F.collect_list(F.struct("first", "windows", F.coalesce("inside", F.lit(False)).alias("inside"))).alias("edges")
+    plain = stored(plain, "plain-links")
+    inside = tested.join(plain.hint("shuffle_hash"), ["link", "check"]).select(
+        "row", "first", "windows", F.lit(True).alias("inside")
+    )
+    inside = stored(inside, "inside-edges")
+    # The same edges once more, not marked; where both are met the mark counts.
+    every = linked.select("row", "first", "windows", F.lit(False).alias("inside")).union(inside)
+    return every.groupBy("row").agg(
+        F.collect_list(F.struct("first", "windows", "inside")).alias("edges")
     )  # of one text
 
 
 def spans_of(edges: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
     """(first window, number of windows) of the paths that a row's edges make up."""
     first, windows = np.asarray(edges.field("first")), np.asarray(edges.field("windows"))
+    inside = np.asarray(edges.field("inside").cast(pa.int8())).astype(bool)
+    joined = first[inside]
+    first, windows = first[~inside], windows[~inside]
     order = np.argsort(first)
-    begins = np.flatnonzero(~np.asarray(edges.field("inside").cast(pa.int8()))[order].astype(bool))
-    return first[order][begins], np.add.reduceat(windows[order], begins) if len(begins) else begins
+    first, windows = first[order], windows[order]
+    begins = np.flatnonzero(~np.isin(first, joined, assume_unique=True))
+    return first[begins], np.add.reduceat(windows, begins) if len(begins) else begins
 
 
 def normal(text: bytes) -> tuple[bytes, list[int], list[int]]:
@@ -299,9 +356,7 @@ def remove_repeated_spans(documents: DataFrame, size: int = SIZE, gram: int = GR
     if not 1 <= gram <= size < 256:
         raise ValueError("windows hold at most 255 words, and at least the words of a gram")
     rows = numbered(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    edges = repeated_edges(rows, size, gram)
-    found = stored(sources(rows, compacted(edges), size), "removed-spans")
-    discard(edges)
+    found = stored(sources(rows, compacted(*repeated_edges(rows, size, gram)), size), "removed-spans")
     return arrow_map(
         rows.join(found, "row", "left").select("document.doc_id", "text", "spans"), cut, OUT
     )
