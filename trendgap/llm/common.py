@@ -48,14 +48,24 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
+# While it is set, Spark deletes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """Written once and read back: later steps do not compute it again, nor need the
-    executors that made it. The shuffle files of its making are let go."""
+    executors that made it. The shuffle files of its making are let go at once."""
     spark = frame.sparkSession
     path = shared_folder(spark, label)
-    frame.write.parquet(path)
-    # Spark deletes shuffle files when the driver's JVM finds their plan unused.
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     out = spark.read.schema(frame.schema).parquet(path)
     _PATHS[out] = path
     return out
