@@ -54,7 +54,7 @@ def test_substring_dedup(request, table):
 
 
 @pytest.mark.parametrize(
-    "seed,vocabulary,size,gram", [(1, 2, 5, 2), (2, 5, 6, 3), (3, 1, 4, 4), (4, 400, 13, 6), (5, 3, 13, 1), (6, 50, 1, 1)]
+    "seed,vocabulary,size,gram", [(1, 2, 5, 2), (3, 1, 4, 4), (4, 400, 13, 6), (6, 50, 1, 1)]
 )
 def test_dense_text(spark, seed, vocabulary, size, gram):
     rows = dense(seed, vocabulary, 90)

@@ -160,6 +160,8 @@ def paths_between_branches(edges: DataFrame) -> DataFrame:
     links = (
         edges.where("link IS NOT NULL").groupBy("link", "check").agg(F.sum("n").alias("linked")).where("linked > 1")
     )
+    # Stored, so that the joins get exchanges of their own, whose hot keys Spark can split.
+    often, links = stored(often, "often"), stored(links, "often-linked")
     known = edges.join(often.hint("shuffle_hash"), ["a", "b"])
     lists = (
         known.join(links.hint("shuffle_hash"), ["link", "check"], "left")
@@ -315,9 +317,10 @@ def sources(rows: DataFrame, edges: DataFrame, size: int) -> DataFrame:
     smallest = found.groupBy("digest", "check").agg(
         F.min("doc_id").alias("source"), F.max("doc_id").alias("largest")
     )
-    smallest = smallest.where("source < largest").drop("largest")
+    # Stored, so that the join gets exchanges of its own, whose hot keys Spark can split.
+    smallest = stored(smallest.where("source < largest").drop("largest"), "sources")
     return (
-        found.join(smallest, ["digest", "check"])
+        found.join(smallest.hint("shuffle_hash"), ["digest", "check"])
         .where("doc_id > source")
         .groupBy("row")
         .agg(F.collect_list(F.struct("first", "end", "source")).alias("spans"))

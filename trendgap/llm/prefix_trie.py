@@ -152,13 +152,9 @@ def overfull(members: DataFrame, limit: int) -> DataFrame:
 
 
 def burst(members: DataFrame, limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(settled members, bursts) of every round. A burst has the digest of the ids of the
+    """(settled members, bursts) of every round, from members in one container. A burst has the digest of the ids of the
     path that ends with its chain, if there is one."""
     settled, rounds = [], []
-    members = members.select(
-        "*", F.lit("").alias("container"), F.lit(0).alias("depth"),
-        F.lit(None).cast("bigint").alias("parent_conv_id"), F.lit(None).cast("string").alias("burst"),
-    )
     while True:
         bursts = stored(overfull(members, limit), "bursts")
         if bursts.isEmpty():
@@ -291,7 +287,11 @@ def prefix_trie(found: DataFrame, limit: int = LIMIT) -> DataFrame:
     smallest member, depth, its parent's smallest member, members, children, childless
     nodes below or at it, characters saved below and at it by storing a turn once, digest
     of the ids of the conversations that end there, and the digest of its last turn."""
-    paths = stored(distinct_paths(found), "paths")
+    paths = distinct_paths(found).select(
+        "*", F.lit("").alias("container"), F.lit(0).alias("depth"),
+        F.lit(None).cast("bigint").alias("parent_conv_id"), F.lit(None).cast("string").alias("burst"),
+    )
+    paths = stored(paths, "paths")
     settled, rounds = burst(paths, limit)
     members = settled[0]
     for more in settled[1:]:
