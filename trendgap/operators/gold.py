@@ -81,13 +81,13 @@ def top_caption(silver: DataFrame) -> DataFrame:
     return silver.groupBy("hashtag").agg(*best_post())
 
 
-def tag_partials(silver: DataFrame) -> DataFrame:
-    """Sums and best post per hashtag of some of silver; partials of parts of it add up
-    to the partials of the whole (`fold_partials`)."""
+def tag_partials(silver: DataFrame, *by: str) -> DataFrame:
+    """Sums and best post per hashtag (or other columns) of some of silver; partials of
+    parts of it add up to the partials of the whole (`fold_partials`)."""
     total = F.col("likes") + F.col("comments") + F.col("shares")
     micro = F.round(F.col("sentiment_score") * F.lit(MICRO)).cast("bigint")
     place = F.struct((-F.col("engagement_rate")).alias("rate"), "post_id")
-    return silver.groupBy("hashtag").agg(
+    return silver.groupBy(*(by or ("hashtag",))).agg(
         F.sum(total).alias("engagement_sum"),
         F.count(total).alias("engagement_count"),
         F.count(F.lit(1)).alias("post_count"),

@@ -37,6 +37,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- Brands as tables -----------------------------------------------------------------
+
+
+def brand_table(spark: SparkSession, brand: BrandConfig) -> DataFrame:
+    """Competitors before the own brand, in the order given."""
+    rows = list(enumerate((*brand.competitors, brand.name)))
+    return spark.createDataFrame(rows, "priority bigint, name string").select("name", "priority")
+
+
+def part_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts, and the parts of their types, as brands; shorter ones first."""
+    parts = table(spark, sf_dir, "part")
+    names = parts.select(F.explode(F.array_append(F.split("p_type", " "), F.col("p_name"))).alias("name"))
+    return names.distinct().select("name", F.length("name").cast("bigint").alias("priority"))
+
+
+PART_BRANDS_SQL = """
+part_brands AS (
+  SELECT DISTINCT name, length(name)::BIGINT AS priority
+  FROM (SELECT unnest(list_append(string_split(p_type, ' '), p_name)) AS name FROM part)
+)"""
+
+
 # --- Posts from order lines -----------------------------------------------------------
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from trendgap.config import BrandConfig, TableNames
 from trendgap.functions import text, values
 from trendgap.operators import (
+    brands,
     feedback,
     gaps,
     gold,
@@ -306,6 +307,85 @@ def detect_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("username", "brand", "is_competitor").agg(F.count(F.lit(1)).alias("posts"))
 
 
+@query(
+    with_(fx.SCRAPES_SQL, sql.TAGGED, sql.DETECTED)
+    + """
+SELECT username, brand, brand <> 'src5' AND brand <> 'Unknown' AS is_competitor,
+       count(*)::BIGINT AS posts
+FROM detected GROUP BY username, brand"""
+)
+def detect_brand_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of `detect_brand`, the brands being a table."""
+    usable = normalise.with_usable_caption(fx.scrapes_from_documents(spark, sf_dir), 10)
+    user = text.first_filled(F.col("ownerUsername"), F.col("ownerId"), "")
+    posts = usable.select(user.alias("username"), "caption")
+    known = fx.brand_table(spark, fx.FEED_BRAND)
+    found = brands.first_brands(posts, text.lowered(F.col("caption"), F.col("username")), known)
+    own = F.col("brand").isin(fx.FEED_BRAND.name, "Unknown")
+    return found.groupBy("username", "brand", (~own).alias("is_competitor")).agg(F.count(F.lit(1)).alias("posts"))
+
+
+@query(
+    with_(fx.POSTS_SQL, fx.PART_BRANDS_SQL)
+    + """,
+hits AS (
+  SELECT post_id, min(struct_pack(p := priority, n := name)) AS hit
+  FROM posts JOIN part_brands ON contains(lower(caption), lower(name)) GROUP BY post_id
+)
+SELECT coalesce(hit.n, 'Unknown') AS brand, count(*)::BIGINT AS posts, min(post_id) AS first_post
+FROM posts LEFT JOIN hits USING (post_id) GROUP BY ALL"""
+)
+def detect_long_brand_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part name, type and container word is a brand; shorter names come first."""
+    found = brands.first_brands(
+        _posts(spark, sf_dir).select("post_id", "caption"), F.lower("caption"), fx.part_brands(spark, sf_dir)
+    )
+    return found.groupBy("brand").agg(
+        F.count(F.lit(1)).alias("posts"), F.min("post_id").alias("first_post")
+    )
+
+
+@query(
+    with_(*sql.TO_SILVER)
+    + """,
+brand_table AS (SELECT DISTINCT p_brand AS name FROM part),
+viewed AS (
+  SELECT name, s.* EXCLUDE (is_competitor), s.brand <> name AND s.brand <> 'Unknown' AS is_competitor
+  FROM silver s, brand_table
+),
+totals AS (
+  SELECT name, hashtag,
+         sum(likes + comments + shares)::DOUBLE / count(likes + comments + shares)
+           / 1000::DOUBLE AS avg_engagement,
+         count(*)::BIGINT AS post_count,
+         sum(CASE WHEN is_competitor THEN 1 ELSE 0 END)::BIGINT AS competitor_post_count,
+         sum(CASE WHEN NOT is_competitor THEN 1 ELSE 0 END)::BIGINT AS brand_post_count,
+         sum(round(sentiment_score * 1000000)::BIGINT)::DOUBLE / 1000000::DOUBLE
+           / count(*) AS avg_sentiment
+  FROM viewed GROUP BY name, hashtag
+),
+ranked AS (
+  SELECT hashtag, caption AS top_caption, engagement_rate,
+         row_number() OVER (PARTITION BY hashtag ORDER BY engagement_rate DESC, post_id) AS place
+  FROM silver
+)
+SELECT name AS brand, t.hashtag, avg_engagement, post_count, competitor_post_count, brand_post_count,
+       avg_sentiment, post_count / 24::DOUBLE AS trend_velocity,
+       competitor_post_count / greatest(post_count, 1)::DOUBLE AS competitor_dominance,
+       CASE WHEN t.hashtag = '#' || lower(replace(name, 'Brand#', 'red')) OR t.hashtag = '#red' THEN 1::DOUBLE
+            WHEN avg_engagement > 0.5::DOUBLE THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END AS brand_fit_score,
+       competitor_post_count / greatest(post_count, 1)::DOUBLE > 0.6::DOUBLE
+         AND brand_post_count < 2 AS opportunity_gap,
+       top_caption, engagement_rate
+FROM totals t JOIN ranked r ON r.hashtag = t.hashtag AND place = 1"""
+)
+def gold_for_all_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The insights of each of the brands that parts have."""
+    known = fx.table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct()
+    tags = F.array(F.lit("#red"), F.concat(F.lit("#"), F.lower(F.replace("name", F.lit("Brand#"), F.lit("red")))))
+    return brands.gold_for_brands(_silver(spark, sf_dir), known.withColumn("hashtags", tags), fx.POST_RULES)
+
+
 @query(
     with_(fx.SCRAPES_SQL)
     + f"""
