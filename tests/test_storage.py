@@ -73,3 +73,87 @@ def test_gap_job_replaces_its_table(spark, tables):
     first = spark.table(tables.full("gaps")).count()
     medallion.refresh_gaps(spark, tables=tables)
     assert spark.table(tables.full("gaps")).count() == first
+
+
+def rows(spark, *given):
+    return spark.createDataFrame(list(given), "k int, l string, v string")
+
+
+def test_appends_lose_and_double_nothing(spark, tables):
+    storage.ensure_database(spark, tables)
+    name = tables.full("events")
+    batch = [(None, "x", "a"), (None, "x", "b"), (1, "x", "c"), (1, None, "d"), (1, None, "d"), (None, None, None)]
+    for given in (batch, batch, batch[1:] + [(2, "x", "e")], list(reversed(batch))):
+        storage.append_new(rows(spark, *given), name, "k", "l")
+    stored = spark.table(name)
+    assert stored.columns == ["k", "l", "v"]
+    assert sorted(map(repr, values(stored))) == sorted(map(repr, {*batch, (2, "x", "e")}))
+    assert not spark.catalog.tableExists(f"{name}_clashes")
+
+
+def test_rows_of_one_key_and_another_content_are_kept_apart(spark, tables):
+    storage.ensure_database(spark, tables)
+    name = tables.full("events")
+    storage.append_new(rows(spark, (1, "x", "first")), name, "k", "l", volatile=("v",))
+    storage.append_new(rows(spark, (1, "x", "later")), name, "k", "l", volatile=("v",))
+    assert values(spark.table(name)) == [(1, "x", "first")] and not spark.catalog.tableExists(f"{name}_clashes")
+    for _ in range(2):
+        storage.append_new(rows(spark, (1, "x", "a"), (2, "x", "b"), (2, "x", "c"), (2, "x", "d")), name, "k", "l")
+    kept = sorted(values(spark.table(name)))
+    clashes = sorted(values(spark.table(f"{name}_clashes"), "k", "l", "v"))
+    assert [k for k, *_ in kept] == [1, 2] and kept[0] == (1, "x", "first")
+    assert sorted({*kept, *clashes}) == [(1, "x", "a"), (1, "x", "first"), (2, "x", "b"), (2, "x", "c"), (2, "x", "d")]
+    assert len(kept) + len(clashes) == 5
+
+
+def test_an_append_reads_only_the_folders_of_its_keys(spark, tables):
+    storage.ensure_database(spark, tables)
+    name = tables.full("events")
+    storage.append_new(rows(spark, *[(k, "x", "v") for k in range(300)]), name, "k")
+    ledger = spark.table(f"{name}_ledger")
+    assert ledger.select(storage.BUCKET).distinct().count() == storage.BUCKETS
+    met = storage._marked(rows(spark, (7, "x", "v")), ("k",), ()).first()[storage.BUCKET]
+    plan = ledger.filter(ledger[storage.BUCKET].isin([met])).select("k")._jdf.queryExecution().executedPlan().toString()
+    assert f"PartitionFilters: [isnotnull({storage.BUCKET}" in plan and "ReadSchema: struct<k:int>" in plan
+    read = ledger.filter(ledger[storage.BUCKET].isin([met])).inputFiles()
+    before = set(ledger.inputFiles())
+    storage.append_new(rows(spark, (7, "x", "v"), (1007, "x", "v")), name, "k")
+    added = set(spark.table(f"{name}_ledger").inputFiles()) - before
+    assert len(added) == 1 and read and spark.table(name).count() == 301
+
+
+def test_rows_of_a_plain_table_are_taken_in(spark, tables):
+    storage.ensure_database(spark, tables)
+    name = tables.full("events")
+    storage.append_table(rows(spark, (1, "x", "a"), (None, "x", "b")), name)
+    for _ in range(2):
+        storage.append_new(rows(spark, (1, "x", "a"), (None, "x", "b"), (3, "x", "c")), name, "k")
+    assert sorted(map(repr, values(spark.table(name)))) == sorted(
+        map(repr, [(1, "x", "a"), (None, "x", "b"), (3, "x", "c")])
+    )
+    with pytest.raises(ValueError, match="append_new"):
+        storage.append_table(rows(spark, (4, "x", "d")), name)
+
+
+def test_readers_see_old_rows_or_new_ones(spark, tables):
+    storage.ensure_database(spark, tables)
+    name = tables.full("gaps")
+    storage.append_table(spark.createDataFrame([(0,)], "a int"), name)  # a plain table gives way
+    for n in (1, 2, 3):
+        storage.overwrite_table(spark.createDataFrame([(n,)], "a int"), name)
+        reader = spark.table(name)
+        storage.overwrite_table(reader.selectExpr("a * 10 AS a"), name)  # from the table itself
+        assert values(reader) == [(n,)] and values(spark.table(name)) == [(10 * n,)]
+    folder = storage._versions(spark, name)
+    assert len(storage.finished_folders(spark, folder)) == storage.KEPT_VERSIONS
+
+
+def test_an_unfinished_version_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "v")
+    assert storage.newest_version(spark, path) is None
+    first = storage.write_version(spark.createDataFrame([(1,)], "a int"), path)
+    (tmp_path / "v" / "version-000000000001").mkdir()
+    (tmp_path / "v" / "_draft-x").mkdir()
+    assert storage.newest_version(spark, path) == first
+    second = storage.write_version(spark.createDataFrame([(2,)], "a int"), path)
+    assert storage.newest_version(spark, path) == second and values(spark.read.parquet(second)) == [(2,)]

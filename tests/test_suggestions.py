@@ -130,6 +130,22 @@ def test_storing_replies(spark, tables):
     assert values(again, "response_id", "reason") == [(1, "not JSON")]
 
 
+def test_replies_of_other_brands_and_without_numbers(spark, tables):
+    given = replies(spark, [item(caption="one"), item(caption="two"), item(caption="three")], "bad")
+    none = given.withColumn("response_id", F.lit(None).cast(given.schema["response_id"].dataType))
+    for _ in range(2):
+        for rows, brand in ((given, BRAND), (given, BrandConfig("Other")), (none, BRAND)):
+            refused = medallion.store_replies(rows, brand, tables=tables)
+    stored = spark.table(tables.full("suggestions")).collect()
+    assert len(stored) == len({r.suggestion_id for r in stored}) == 9
+    assert sorted({(r.brand, r.caption) for r in stored}) == [(b, c) for b in ("Other", "Own") for c in ("one", "three", "two")]
+    assert sorted(map(repr, values(refused, "response_id"))) == ["(1,)", "(None,)"]
+    # The same number with another text later is another suggestion.
+    later = replies(spark, [item(caption="new"), item(caption="two"), item(caption="three")])
+    medallion.store_replies(later, BRAND, tables=tables)
+    assert spark.table(tables.full("suggestions")).count() == 10
+
+
 def test_decisions_end_to_end(spark, tables):
     medallion.store_replies(replies(spark, [item()] * 3), BRAND, tables=tables)
     ids = sorted(i for (i,) in values(spark.table(tables.full("suggestions")), "suggestion_id"))

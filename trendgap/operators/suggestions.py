@@ -271,12 +271,23 @@ def score_summary(suggestions: DataFrame, key: str = "response_id") -> DataFrame
     )
 
 
+def suggestion_id(brand: Column, key: Column, position: Column) -> Column:
+    """Digest of brand, reply, position and content: a repeated run yields the same ids,
+    and replies of one number, or of none, differ by what they say and for whom."""
+    texts = [F.coalesce(c, F.lit("")) for c in ("caption", "image_prompt", "rationale")]
+    reply = F.when(key.isNull(), "none").otherwise(F.concat(F.lit("reply "), key.cast("string")))
+    parts = (
+        brand, reply, position.cast("string"), *texts, F.col("viral_score").cast("string"),
+        F.array_join("hashtags", "\x1e"),
+    )
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
+
+
 def as_table_rows(
     suggestions: DataFrame, brand: Column, created_at: Column, key: str = "response_id"
 ) -> DataFrame:
-    """Rows ready to append. The id follows from reply and position: a repeated run
-    yields the same ids."""
-    identity = F.sha2(F.concat_ws("-", F.col(key).cast("string"), F.col("position").cast("string")), 256)
+    """Rows ready to append, with their ids."""
+    identity = suggestion_id(brand, F.col(key), F.col("position"))
     added = {
         "suggestion_id": identity,
         "status": F.lit(PENDING),

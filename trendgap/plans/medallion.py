@@ -58,15 +58,16 @@ def store_replies(
     tables: TableNames = DEFAULT_TABLES,
 ) -> DataFrame:
     """Append the suggestions of well-formed replies and, to a table of their own, the
-    refused replies with the reason; return the table of those. Ids follow from reply and
-    position, so storing a batch again adds nothing."""
+    refused replies with the reason; return the table of those. Ids follow from brand,
+    reply, position and content, so storing a batch again adds nothing, and another brand's
+    replies of the same numbers are others."""
     spark = replies.sparkSession
     storage.ensure_database(spark, tables)
     judged = storage.materialise(suggestions.judge_strict(replies), "judged")
     at = F.current_timestamp() if created_at is None else created_at
     rows = suggestions.as_table_rows(suggestions.accepted(judged), F.lit(brand.name), at)
-    storage.append_new(rows, tables.full("suggestions"), "suggestion_id")
-    storage.append_new(suggestions.quarantined(judged), tables.full("refused"), "response_id")
+    storage.append_new(rows, tables.full("suggestions"), "suggestion_id", volatile=("created_at",))
+    storage.append_new(suggestions.quarantined(judged), tables.full("refused"), "response_id", "content")
     storage.discard(judged)
     return spark.table(tables.full("refused"))
 

@@ -1024,14 +1024,20 @@ def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggestions.score_summary(suggestions.accepted(judged))
 
 
-SUGGESTION_ROWS = with_(fx.REPLIES_SQL, sql.ACCEPTED) + f"""
-SELECT sha256(response_id::VARCHAR || '-' || position::VARCHAR) AS suggestion_id, caption,
+def _suggestion_rows_sql(brand: str = "'Brand#1'", reply: str = "'reply ' || response_id::VARCHAR") -> str:
+    return f"""
+SELECT sha256(concat_ws(chr(31), {brand}, {reply}, position::VARCHAR, coalesce(caption, ''),
+                        coalesce(image_prompt, ''), coalesce(rationale, ''), coalesce(viral_score::VARCHAR, ''),
+                        coalesce(array_to_string(hashtags, chr(30)), ''))) AS suggestion_id, caption,
        array_to_string(hashtags, ',') AS hashtags, image_prompt, viral_score, rationale,
-       'pending' AS status, NULL::VARCHAR AS video_url, 'Brand#1' AS brand,
+       'pending' AS status, NULL::VARCHAR AS video_url, {brand} AS brand,
        TIMESTAMP '{fx.DEFAULT_TIME}' AS created_at, NULL::VARCHAR AS reject_reason
 FROM accepted"""
 
 
+SUGGESTION_ROWS = with_(fx.REPLIES_SQL, sql.ACCEPTED) + _suggestion_rows_sql()
+
+
 @query(SUGGESTION_ROWS)
 def suggestion_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = suggestions.judge_strict(fx.replies_from_customers(spark, sf_dir))
@@ -1078,6 +1084,34 @@ def stored_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    with_(fx.REPLIES_SQL, sql.ACCEPTED)
+    + " UNION ALL ".join(
+        [
+            _suggestion_rows_sql(),
+            _suggestion_rows_sql("'Brand#2'"),
+            # Without numbers, replies of one wording are one; customers' names keep them apart.
+            _suggestion_rows_sql(reply="'none'"),
+        ]
+    )
+)
+def stored_suggestions_of_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of the same numbers for two brands, and replies without numbers, each stored
+    twice: every suggestion is there once."""
+    replies = fx.replies_from_customers(spark, sf_dir)
+    unnumbered = replies.withColumn("response_id", F.lit(None).cast("bigint"))
+    with _own_tables(spark) as tables:
+        for _ in range(2):
+            for given, brand in (
+                (replies, fx.POST_BRAND), (replies, BrandConfig("Brand#2")), (unnumbered, fx.POST_BRAND)
+            ):
+                store_replies(given, brand, _default_time(), tables)
+        rows = materialise(spark.table(tables.full("suggestions")), "suggestions")
+    return rows.withColumns(
+        {"hashtags": joined("hashtags"), "created_at": plain_time("created_at")}
+    )
+
+
 @query(
     with_(fx.REPLIES_SQL)
     + "SELECT response_id, content, reason FROM judged WHERE reason IS NOT NULL"

@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.java_gateway import JavaObject
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from trendgap.config import DEFAULT_TABLES, TableNames
@@ -38,44 +39,191 @@ def discard(*frames: DataFrame) -> None:
     for frame in frames:
         path = _PATHS.pop(frame, None)
         if path is not None:
-            context = frame.sparkSession.sparkContext
-            place = context._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+            delete_folder(frame.sparkSession, path)
 
 
-def ensure_folder(spark: SparkSession, path: str) -> None:
+# --- Folders, in whatever file system their paths name ----------------------------------
+
+
+def _place(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
     context = spark.sparkContext
     place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).mkdirs(place)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()), place
+
+
+def ensure_folder(spark: SparkSession, path: str) -> None:
+    files, place = _place(spark, path)
+    files.mkdirs(place)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    files, place = _place(spark, path)
+    files.delete(place, True)
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Give a finished folder its name; what had that name goes first."""
+    files, place = _place(spark, source)
+    _, to = _place(spark, target)
+    files.delete(to, True)
+    if not files.rename(place, to):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def finished_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders that a write to Parquet has finished, sorted."""
+    files, place = _place(spark, path)
+    if not files.exists(place):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(place) if f.isDirectory()]
+    return sorted(
+        n for n in names if n[0] not in "_." and files.exists(_place(spark, f"{path}/{n}/_SUCCESS")[1])
+    )
+
+
+# --- Versions: readers see the old rows or the new ones ----------------------------------
+
+KEPT_VERSIONS = 2
+
+
+def write_version(df: DataFrame, path: str) -> str:
+    """Write the rows to a new folder under `path`, after which readers of the newest one see
+    them. The version before stays for those who still read it; older ones go."""
+    spark = df.sparkSession
+    before = finished_folders(spark, path)
+    number = int(before[-1].removeprefix("version-")) + 1 if before else 0
+    draft = f"{path}/_draft-{uuid.uuid4().hex}"
+    df.write.parquet(draft)
+    move_folder(spark, draft, target := f"{path}/version-{number:012d}")
+    for old in before[: 1 - KEPT_VERSIONS]:
+        delete_folder(spark, f"{path}/{old}")
+    return target
+
+
+def newest_version(spark: SparkSession, path: str) -> str | None:
+    found = finished_folders(spark, path)
+    return f"{path}/{found[-1]}" if found else None
 
 
 def ensure_database(spark: SparkSession, tables: TableNames = DEFAULT_TABLES) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {tables.database}")
 
 
+def _is_view(spark: SparkSession, table: str) -> bool:
+    return spark.catalog.tableExists(table) and spark.catalog.getTable(table).tableType == "VIEW"
+
+
+def _versions(spark: SparkSession, table: str) -> str:
+    database, _, name = table.rpartition(".")
+    where = spark.catalog.getDatabase(database or spark.catalog.currentDatabase()).locationUri
+    return f"{where.rstrip('/')}/_versions/{name}"
+
+
 def overwrite_table(df: DataFrame, table: str) -> None:
-    """Replace rows and schema. A frame without rows leaves an empty table of its schema."""
-    df.write.mode("overwrite").format("parquet").saveAsTable(table)
-
-
-def append_new(df: DataFrame, table: str, *keys: str) -> None:
-    """Append the rows whose key is not stored yet, each key once: the same batch stored
-    twice leaves the rows of one. The batch should be stored already, as it is read after
-    the table has been looked up."""
-    rows = df.dropDuplicates(list(keys))
-    if df.sparkSession.catalog.tableExists(table):
-        known = df.sparkSession.table(table).select(*keys)
-        rows = rows.join(known, list(keys), "left_anti").select(*df.columns)
-        # Written apart first: a table cannot be read and appended to in one job.
-        rows = materialise(rows, "new-rows")
-        append_table(rows, table)
-        discard(rows)
-    else:
-        append_table(rows, table)
+    """Replace rows and schema without a gap: the rows are written beside the old ones, then
+    the name, a view, is switched to them. Readers that began before go on with the old
+    rows. A frame without rows leaves an empty table of its schema."""
+    spark = df.sparkSession
+    path = write_version(df, _versions(spark, table))
+    if spark.catalog.tableExists(table) and not _is_view(spark, table):
+        spark.sql(f"DROP TABLE {table}")  # made by a plain append
+    spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM parquet.`{path}`")
 
 
 def append_table(df: DataFrame, table: str) -> None:
-    df.write.mode("append").format("parquet").saveAsTable(table)
+    spark = df.sparkSession
+    if not _is_view(spark, table):
+        df.write.mode("append").format("parquet").saveAsTable(table)
+    elif path := newest_version(spark, _versions(spark, table)):
+        df.write.mode("append").parquet(path)
+        spark.catalog.refreshTable(table)
+    else:
+        raise ValueError(f"{table} has keys: use append_new")
+
+
+# Columns of a ledger besides those of its table.
+BUCKET, CONTENT = "_bucket", "_content"
+BUCKETS = 16
+
+
+def append_new(df: DataFrame, table: str, *keys: str, volatile: tuple[str, ...] = ()) -> None:
+    """Append the rows that are not stored yet: the same batch stored twice leaves the rows
+    of one, and no row is lost. A table has the same keys at every append.
+
+    A row is known by its keys, NULL being equal to NULL; where a key is NULL, by its whole
+    content as well (but for `volatile` columns, such as the time of storing). Rows that
+    share all their keys with a row of another content go to `<table>_clashes`; of several
+    such rows in one batch the one with the smallest digest is stored.
+
+    Rows live in `<table>_ledger`, in folders by a hash of their keys, and `table` is a view
+    of it: an append reads the keys and digests of the folders that its own keys fall in,
+    nothing else.
+    """
+    spark, ledger = df.sparkSession, f"{table}_ledger"
+    _take_in(spark, table, keys, volatile)
+    marked = _marked(df, keys, volatile)
+    # Written apart first: a table cannot be read and appended to in one job.
+    rows = materialise(
+        marked.groupBy(BUCKET, CONTENT, *keys).agg(F.first(F.struct(*df.columns)).alias("given")), "new-rows"
+    )
+    identity = F.when(_complete(keys), F.lit("")).otherwise(F.col(CONTENT))
+    least = rows.groupBy(BUCKET, *keys, identity.alias("other")).agg(F.min(CONTENT).alias("least"))
+    stored = least.limit(0).withColumnRenamed("least", "held")
+    if spark.catalog.tableExists(ledger):
+        met = sorted(r[BUCKET] for r in rows.select(BUCKET).distinct().collect())  # BUCKETS at most
+        stored = spark.table(ledger).filter(F.col(BUCKET).isin(met)).select(
+            BUCKET, *keys, identity.alias("other"), F.col(CONTENT).alias("held")
+        )
+
+    def same(left: str, right: str) -> Column:
+        pairs = [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in (*keys, "other")]
+        return (F.col(f"{left}.{BUCKET}") == F.col(f"{right}.{BUCKET}")) & _all(pairs)
+
+    rows_ = rows.withColumn("other", identity).alias("r")
+    judged = rows_.join(least.alias("l"), same("r", "l")).join(stored.alias("s"), same("r", "s"), "left").select(
+        f"r.{BUCKET}", f"r.{CONTENT}", F.col("r.given").alias("given"), F.col("l.least").alias("least"),
+        F.col("s.held").alias("held"),
+    )
+    judged = materialise(judged, "judged-rows")
+    fresh = judged.filter(f"held IS NULL AND {CONTENT} = least").select("given.*", CONTENT, BUCKET)
+    fresh.hint("rebalance", BUCKET).write.mode("append").partitionBy(BUCKET).format("parquet").saveAsTable(ledger)
+    shown = ", ".join(f"`{c}`" for c in df.columns)
+    spark.sql(f"CREATE VIEW IF NOT EXISTS {table} AS SELECT {shown} FROM {ledger}")
+    clashes = judged.filter(f"{CONTENT} <> coalesce(held, least)")
+    if not clashes.isEmpty():
+        clashes = clashes.select("given.*", F.col(CONTENT).alias("clash"))
+        append_new(clashes, f"{table}_clashes", *keys, "clash", volatile=volatile)
+    discard(rows, judged)
+
+
+def _all(tests: list[Column]) -> Column:
+    out = F.lit(True)
+    for test in tests:
+        out = out & test
+    return out
+
+
+def _complete(keys: tuple[str, ...]) -> Column:
+    return _all([F.col(k).isNotNull() for k in keys])
+
+
+def _marked(df: DataFrame, keys: tuple[str, ...], volatile: tuple[str, ...]) -> DataFrame:
+    """With the folder and the digest of the content of each row."""
+    content = F.to_json(F.struct(*sorted(set(df.columns) - set(volatile))), {"ignoreNullFields": "false"})
+    return df.withColumns(
+        {
+            CONTENT: F.sha2(content, 256),
+            BUCKET: F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(BUCKETS)).cast("int"),
+        }
+    )
+
+
+def _take_in(spark: SparkSession, table: str, keys: tuple[str, ...], volatile: tuple[str, ...]) -> None:
+    """Rows that a plain append has stored under the name go to the ledger as they are."""
+    if spark.catalog.tableExists(table) and not _is_view(spark, table):
+        found = _marked(spark.table(table), keys, volatile)
+        found.write.mode("append").partitionBy(BUCKET).format("parquet").saveAsTable(f"{table}_ledger")
+        spark.sql(f"DROP TABLE {table}")
 
 
 def empty(spark: SparkSession, schema: StructType) -> DataFrame:
