@@ -9,11 +9,12 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from trendgap.config import DEFAULT_RULES, BrandConfig, Rules
 from trendgap.operators import quality
-from trendgap.operators.gold import gold, gold_from_partials, tag_partials
+from trendgap.operators.gold import fold_partials, gold, gold_from_partials, tag_partials
 from trendgap.operators.silver import hashtag_posts
 from trendgap.schemas import HASHTAG_POST, INSIGHT, PARTIAL, POST
+from trendgap.sources import storage
 from trendgap.sources.posts import read_posts_stream
-from trendgap.sources.storage import ensure_folder
+from trendgap.streaming import runs
 
 
 # Files per micro-batch. A backlog is worked off in steps that can each be repeated.
@@ -48,7 +49,7 @@ def _writer(df: DataFrame, paths: Paths, layer: str, every: str | None) -> DataS
 def start_bronze(
     spark: SparkSession, paths: Paths, every: str | None = None, max_files: int = MAX_FILES
 ) -> StreamingQuery:
-    ensure_folder(spark, paths.landing)
+    storage.ensure_folder(spark, paths.landing)
     posts = read_posts_stream(spark, paths.landing, max_files)
     valid = quality.expect(posts, quality.BRONZE_RULES, "bronze_rules")
     return _writer(valid, paths, "bronze", every).format("parquet").start(paths.table("bronze"))
@@ -74,10 +75,24 @@ def read_silver(spark: SparkSession, paths: Paths) -> DataFrame:
 def write_partials(silver: DataFrame, paths: Paths, batch: int) -> None:
     """Partial insights of one micro-batch in a folder of its own: a replayed batch
     replaces what it wrote before."""
-    folder = f"{paths.table('partials')}/batch={batch}"
+    folder = f"{paths.table('partials')}/{runs.name(batch, batch)}"
     tag_partials(silver).write.mode("overwrite").parquet(folder)
 
 
+def read_partials(spark: SparkSession, paths: Paths) -> DataFrame:
+    """Partials of all batches, each batch once."""
+    folder = paths.table("partials")
+    return runs.read(spark, folder, runs.standing(spark, folder), PARTIAL)
+
+
+def compact_partials(
+    spark: SparkSession, paths: Paths, before: int, fan_out: int = runs.FAN_OUT
+) -> None:
+    """Fold the partials of batches below `before`, which must be committed, into runs of
+    `fan_out`, `fan_out`^2, ... batches."""
+    runs.compact(spark, paths.table("partials"), before, fold_partials, PARTIAL, fan_out)
+
+
 def start_gold(
     spark: SparkSession,
     paths: Paths,
@@ -85,13 +100,17 @@ def start_gold(
     rules: Rules = DEFAULT_RULES,
     every: str | None = None,
     max_files: int = MAX_FILES,
+    fan_out: int = runs.FAN_OUT,
 ) -> StreamingQuery:
     """Reads each silver row once. After each micro-batch gold is folded anew from the
-    partials, whose number of rows is hashtags times batches, not posts."""
+    partials. Those of earlier batches are merged in tiers, so a refresh reads a few rows
+    per hashtag, however many batches there were. A batch begins only when the one before
+    is committed, so what is merged is never replayed."""
     reader = spark.readStream.schema(HASHTAG_POST).option("maxFilesPerTrigger", max_files)
 
     def refresh(rows: DataFrame, batch: int) -> None:
         write_partials(rows, paths, batch)
+        compact_partials(spark, paths, batch, fan_out)
         refresh_gold(spark, paths, brand, rules)
 
     writer = _writer(reader.parquet(paths.table("silver")), paths, "gold", every)
@@ -101,16 +120,17 @@ def start_gold(
 def refresh_gold(
     spark: SparkSession, paths: Paths, brand: BrandConfig, rules: Rules = DEFAULT_RULES
 ) -> DataFrame:
-    """Insights folded from all partials, written anew. Readers should expect a moment
-    without files while the new ones replace the old."""
-    partials = spark.read.schema(PARTIAL).parquet(paths.table("partials"))
-    insights = gold_from_partials(partials, brand, rules)
-    insights.write.mode("overwrite").parquet(paths.table("gold"))
+    """Insights folded from all partials, as a new version: whoever reads gold meanwhile
+    has the version before."""
+    insights = gold_from_partials(read_partials(spark, paths), brand, rules)
+    storage.write_version(insights, paths.table("gold"))
     return read_gold(spark, paths)
 
 
 def read_gold(spark: SparkSession, paths: Paths) -> DataFrame:
-    return spark.read.schema(INSIGHT).parquet(paths.table("gold"))
+    """The newest version; before the first one there are no insights."""
+    path = storage.newest_version(spark, paths.table("gold"))
+    return storage.empty(spark, INSIGHT) if path is None else spark.read.schema(INSIGHT).parquet(path)
 
 
 def recomputed_gold(
