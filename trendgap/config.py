@@ -54,6 +54,7 @@ class TableNames:
 
     database: str = "trendgap"
     bronze: str = "raw_social_posts"
+    unique: str = "unique_social_posts"
     silver: str = "cleaned_trend_metrics"
     gold: str = "brand_insights"
     gaps: str = "competitor_gaps"

@@ -38,7 +38,7 @@ from trendgap.plans.oracle_parts import with_
 from trendgap.sources import posts as post_files
 from trendgap.schemas import SUGGESTION
 from trendgap.sources.storage import append_table, ensure_database, materialise, shared_path
-from trendgap.streaming import medallion as stream
+from trendgap.streaming import audit, medallion as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1203,3 +1203,79 @@ def stream_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
         post_files.write_posts(_posts(spark, sf_dir).filter(part), paths.landing)
         stream.update(spark, paths, fx.POST_RULES, brand=fx.POST_BRAND)
     return stream.read_gold(spark, paths)
+
+
+@query(GOLD_CHECK)
+def stream_gold_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold folded from seven batches, merged by twos; the batches after a merge run again."""
+    paths = stream.Paths(shared_path(spark, "landing"), shared_path(spark, "layers"))
+    rows = _silver(spark, sf_dir)
+    for number in range(7):
+        for _ in range(2 if number in (2, 4, 6) else 1):
+            stream.write_partials(rows.filter(F.col("comments") == number + 1), paths, number)
+            stream.compact_partials(spark, paths, number, fan_out=2)
+    return stream.refresh_gold(spark, paths, fx.POST_BRAND, fx.POST_RULES)
+
+
+def _landed_with_damage(spark: SparkSession, sf_dir: str) -> stream.Paths:
+    """Posts that land in two parts, with broken lines among those of the second one."""
+    paths = stream.Paths(shared_path(spark, "landing"), shared_path(spark, "layers"))
+    early = F.col("comments") < 4
+    for part in (early, ~early):
+        posts = _posts(spark, sf_dir).filter(part)
+        post_files.write_posts(posts, paths.landing)
+        broken = posts.filter("comments = 7").select(F.concat(F.lit('{"post_id": "'), "post_id"))
+        broken.write.mode("append").text(paths.landing)
+        stream.start_bronze(spark, paths).awaitTermination()
+        audit.update(spark, paths, fx.POST_RULES)
+    return paths
+
+
+@query(
+    with_(fx.POSTS_SQL)
+    + """SELECT '{"post_id": "' || post_id AS line, true AS has_file, count(*)::BIGINT AS lines
+FROM posts WHERE comments = 7 GROUP BY line"""
+)
+def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = audit.read_dead_letters(spark, _landed_with_damage(spark, sf_dir))
+    placed = F.contains("file", F.lit("/landing-")) & (F.col("block_start") >= 0)
+    return lines.groupBy("line", placed.alias("has_file")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(
+    with_(
+        fx.POSTS_SQL, sql.BRONZE, sql.EXPLODED,
+        "landed AS (SELECT true AS is_post FROM posts UNION ALL SELECT false FROM posts WHERE comments = 7)",
+    )
+    + _report_sql("landed", ("is_post", "drop", "is_post"))
+    + " UNION ALL "
+    + _report_sql(
+        "posts",
+        ("valid_engagement", "warn", "likes >= 0 AND comments >= 0 AND shares >= 0"),
+        ("has_caption", "drop", "caption IS NOT NULL AND length(caption) > 10"),
+    )
+    + " UNION ALL "
+    + _report_sql(
+        "exploded",
+        ("has_hashtag", "drop", "hashtag IS NOT NULL"),
+        ("valid_sentiment", "warn", "sentiment_score BETWEEN 0 AND 1"),
+    )
+)
+def stream_rule_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts kept per batch, added up; every landed line is kept or refused."""
+    paths = _landed_with_damage(spark, sf_dir)
+    return audit.read_figures(spark, paths, "bronze").union(audit.read_figures(spark, paths, "silver"))
+
+
+@query(with_(fx.POSTS_SQL, sql.BRONZE) + """
+SELECT * REPLACE (array_to_string(hashtags, ',') AS hashtags) FROM bronze""")
+def stream_unique_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts that land in three parts which share many of them."""
+    paths = stream.Paths(shared_path(spark, "landing"), shared_path(spark, "layers"))
+    with _own_tables(spark) as tables:
+        for part in ("comments < 5", "comments > 2", "comments IN (1, 7)"):
+            post_files.write_posts(_posts(spark, sf_dir).filter(part), paths.landing)
+            stream.start_bronze(spark, paths).awaitTermination()
+            stream.start_unique(spark, paths, tables).awaitTermination()
+        rows = materialise(spark.table(tables.full("unique")), "unique")
+    return rows.withColumns({"hashtags": joined("hashtags"), "timestamp": plain_time("timestamp")})

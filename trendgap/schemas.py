@@ -63,3 +63,8 @@ SUGGESTION = _struct(
 STATUS_EVENT = _struct(
     suggestion_id=TEXT, ts=TIME, seq=LONG, status=TEXT, reject_reason=TEXT, video_url=TEXT,
 )
+
+# What a rule found, and lines that are no posts (streaming/audit.py).
+FIGURE = _struct(rule=TEXT, action=TEXT, checked=LONG, violations=LONG, kept=LONG)
+
+DEAD_LETTER = _struct(file=TEXT, block_start=LONG, line=TEXT)

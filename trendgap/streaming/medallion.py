@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from trendgap.config import DEFAULT_RULES, BrandConfig, Rules
+from trendgap.config import DEFAULT_RULES, DEFAULT_TABLES, BrandConfig, Rules, TableNames
 from trendgap.operators import quality
 from trendgap.operators.gold import fold_partials, gold, gold_from_partials, tag_partials
 from trendgap.operators.silver import hashtag_posts
@@ -72,6 +72,27 @@ def read_silver(spark: SparkSession, paths: Paths) -> DataFrame:
     return spark.read.schema(HASHTAG_POST).parquet(paths.table("silver"))
 
 
+def start_unique(
+    spark: SparkSession,
+    paths: Paths,
+    tables: TableNames = DEFAULT_TABLES,
+    every: str | None = None,
+    max_files: int = MAX_FILES,
+) -> StreamingQuery:
+    """Bronze posts into a table that holds every post once, whatever batches it came in and
+    however far apart. There is no watermark: the ids of all time are looked up, but only
+    in the folders that the ids of the batch fall in. A replayed batch adds nothing. The
+    first of several posts with one id stays, later ones of another content are kept apart."""
+    storage.ensure_database(spark, tables)
+    reader = spark.readStream.schema(POST).option("maxFilesPerTrigger", max_files)
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        storage.append_new(rows, tables.full("unique"), "post_id")
+
+    writer = _writer(reader.parquet(paths.table("bronze")), paths, "unique", every)
+    return writer.foreachBatch(keep).start()
+
+
 def write_partials(silver: DataFrame, paths: Paths, batch: int) -> None:
     """Partial insights of one micro-batch in a folder of its own: a replayed batch
     replaces what it wrote before."""
