@@ -169,3 +169,44 @@ def test_a_term_of_every_document_is_split_over_tasks(spark):
     assert "skew=true" in plan and "Broadcast" not in plan
     # The join reads what was counted, never the texts.
     assert "UDF" not in plan and "explode" not in plan
+
+
+def points(spark, *rows):
+    """(key, cluster, vector) as terms and members; zeros are not terms."""
+    terms = [(k, i, float(w)) for k, _, v in rows for i, w in enumerate(v) if w]
+    return (
+        spark.createDataFrame(terms, "key int, term int, weight double"),
+        spark.createDataFrame([(k, c) for k, c, _ in rows], "key int, cluster int"),
+    )
+
+
+def test_silhouettes_equal_the_evaluator(spark):
+    import random
+
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.linalg import Vectors
+
+    rng = random.Random(8)
+    rows = [(k, rng.choice([0, 0, 0, 1, 3]), [rng.choice([0, 0, rng.random()]) for _ in range(6)]) for k in range(80)]
+    rows += [(80, 7, [1.0, 0, 0, 0, 0, 0]), (81, 0, [0.0] * 6)]  # alone in its cluster; no terms
+    terms, members = points(spark, *rows)
+    found = gaps.silhouettes(terms, members, "key")
+    assert found.count() == len(rows)
+    vectors = spark.createDataFrame([(float(c), Vectors.dense(v)) for _, c, v in rows], ["prediction", "features"])
+    want = ClusteringEvaluator().evaluate(vectors)
+    assert abs(found.selectExpr("avg(silhouette)").first()[0] - want) < 1e-9
+    assert {r["key"]: r["silhouette"] for r in found.collect()}[80] == 0
+
+
+def test_nearest_centres(spark):
+    terms, keys = points(spark, (1, 0, [1, 0]), (2, 0, [0, 1]), (3, 0, [0, 0]), (4, 0, [1, 1]), (5, 0, [0, 3]))
+    centres = spark.createDataFrame(
+        [(9, 0, 1.0), (4, 1, 1.0), (6, 1, 1.0), (7, 1, 9.0)], "cluster int, term int, weight double"
+    )
+    got = dict(values(gaps.nearest_centres(terms, keys, centres, "key")))
+    assert got == {1: 9, 2: 4, 3: 4, 4: 4, 5: 4}  # ties to the smaller number
+    nothing = spark.createDataFrame([(2, None, None)], centres.schema)
+    got = dict(values(gaps.nearest_centres(terms, keys, centres.union(nothing), "key")))
+    assert got[3] == 2 and got[1] == 9
+    means = gaps.cluster_means(*points(spark, (1, 0, [1, 0]), (2, 0, [0, 1]), (3, 1, [4, 0])), "key")
+    assert sorted(values(means)) == [(0, 0, 0.5), (0, 1, 0.5), (1, 0, 4.0)]

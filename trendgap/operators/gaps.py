@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trendgap.config import DEFAULT_RULES, Rules
 from trendgap.functions.values import round_half_up
-from trendgap.sources.storage import materialise
+from trendgap.sources.storage import discard, materialise
 
 ROWS_PER_TASK = 20_000
 BILLION = 1_000_000_000.0
@@ -85,12 +85,15 @@ def evenly_placed(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Clustering:
-    """Captioned rows with their cluster, the number of all rows given, and the quality of
-    the split (None for one cluster)."""
+    """Captioned rows with their cluster, the number of all rows given, the quality of the
+    split (None for one cluster), the fitted centres, if there are any, and the stored
+    frames that `assigned` is read from."""
 
     assigned: DataFrame
     input_rows: int
     silhouette: float | None
+    centres: tuple = ()
+    stored: tuple[DataFrame, ...] = ()
 
 
 def cluster_captions(gold: DataFrame, rules: Rules = DEFAULT_RULES) -> Clustering:
@@ -103,12 +106,12 @@ def cluster_captions(gold: DataFrame, rules: Rules = DEFAULT_RULES) -> Clusterin
     kept, total = captioned(given), given.count()
     rows = kept.count()
     if rows == 0:
-        return Clustering(kept.withColumn("cluster", F.lit(0)), total, None)
+        return Clustering(kept.withColumn("cluster", F.lit(0)), total, None, stored=(given,))
     featured = fit_text(kept, rules).transform(kept).drop("words", "tf", "tfidf")
     features = materialise(featured, "features")
     k = usable_clusters(features, rules.clusters)
     if k < 2:
-        return Clustering(features.withColumn("cluster", F.lit(0)), total, None)
+        return Clustering(features.withColumn("cluster", F.lit(0)), total, None, stored=(given, features))
     model = KMeans(
         k=k, seed=rules.seed, featuresCol="features", predictionCol="cluster"
     ).fit(evenly_placed(features, "hashtag", rows))
@@ -118,7 +121,96 @@ def cluster_captions(gold: DataFrame, rules: Rules = DEFAULT_RULES) -> Clusterin
         score = ClusteringEvaluator(
             predictionCol="cluster", featuresCol="features", metricName="silhouette"
         ).evaluate(assigned)
-    return Clustering(assigned, total, score)
+    return Clustering(assigned, total, score, tuple(model.clusterCenters()), (given, features))
+
+
+# --- Clusters checked by joins ---------------------------------------------------------
+
+
+def unit_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Exact TF-IDF weights of every document, scaled to length one: key, term, weight.
+    Terms that all documents have weigh nothing and are left out."""
+    terms = tfidf_terms(docs, key, text).filter("tfidf <> 0").select(key, "term", "tfidf")
+    terms = materialise(terms, "weights")
+    lengths = terms.groupBy(key).agg(F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))).alias("length"))
+    return terms.join(lengths, key).select(key, "term", (F.col("tfidf") / F.col("length")).alias("weight"))
+
+
+def vector_terms(features: DataFrame, key: str, vector: str = "features") -> DataFrame:
+    """The parts of vectors that are not zero: key, term (their number), weight."""
+    parts = features.select(key, F.posexplode(vector_to_array(vector)).alias("term", "weight"))
+    return parts.filter("weight <> 0")
+
+
+def cluster_sums(terms: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Sums of the members' weights: cluster, term, weight."""
+    return terms.join(members, key).groupBy("cluster", "term").agg(F.sum("weight").alias("weight"))
+
+
+def cluster_means(terms: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    sums = cluster_sums(terms, members, key)
+    return sums.join(sizes, "cluster").select("cluster", "term", (F.col("weight") / F.col("n")).alias("weight"))
+
+
+def _products(terms: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """Per key the products with all vectors (cluster, term, weight) that share a term with
+    it, as a map from cluster; no more entries than clusters."""
+    dots = (
+        terms.join(vectors.withColumnRenamed("weight", "other"), "term")
+        .groupBy(key, "cluster")
+        .agg(F.sum(F.col("weight") * F.col("other")).alias("dot"))
+    )
+    return dots.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "dot"))).alias("dots"))
+
+
+def nearest_centres(terms: DataFrame, keys: DataFrame, centres: DataFrame, key: str) -> DataFrame:
+    """key and the cluster whose centre (cluster, term, weight) is nearest, ties to the smaller
+    number: a join of sparse rows with the centres, instead of a pass over dense vectors.
+    `keys` names all rows, as one without weights has no terms. Every cluster of a centre
+    without weights is missing from `centres`, so give such a one a term of NULL."""
+    norms = centres.groupBy("cluster").agg(F.coalesce(F.sum(F.col("weight") * F.col("weight")), F.lit(0.0)).alias("norm"))
+    all_norms = norms.agg(F.array_sort(F.collect_list(F.struct("cluster", "norm")))).scalar()
+    # The squared length of the row itself is the same for all centres.
+    away = F.transform(
+        F.col("all_norms"),
+        lambda c: F.struct(
+            F.round(c["norm"] - 2 * F.coalesce(F.element_at("dots", c["cluster"]), F.lit(0.0)), 9).alias("d"),
+            c["cluster"].alias("cluster"),
+        ),
+    )
+    dots = _products(terms, centres, key)
+    given = keys.select(key).join(dots, key, "left").withColumn("all_norms", all_norms)
+    return given.select(key, F.array_min(away)["cluster"].alias("cluster"))
+
+
+def silhouettes(terms: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """key, cluster and silhouette (squared distances) of every member.
+
+    Mean distances to a cluster follow from its moments: number, sum of squared lengths,
+    sum of its rows. So no pair of rows is looked at; all is linear in the weights.
+    """
+    squares = terms.groupBy(key).agg(F.sum(F.col("weight") * F.col("weight")).alias("square"))
+    rows = members.select(key, "cluster").join(squares, key, "left").fillna(0.0, ["square"])
+    moments = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("square").alias("squares"))
+    every = moments.agg(F.array_sort(F.collect_list(F.struct("cluster", "n", "squares")))).scalar()
+    dots = _products(terms, cluster_sums(terms, members, key), key)
+    with_dots = rows.join(dots, key, "left").withColumn("every", every)
+
+    def mean_to(c: Column) -> Column:
+        dot = F.coalesce(F.element_at("dots", c["cluster"]), F.lit(0.0))
+        return F.col("square") + (c["squares"] - 2 * dot) / c["n"]
+
+    own = F.filter("every", lambda c: c["cluster"] == F.col("cluster"))[0]
+    others = F.transform(F.filter("every", lambda c: c["cluster"] != F.col("cluster")), mean_to)
+    found = with_dots.select(
+        key, "cluster", own["n"].alias("n"), F.array_min(others).alias("b"),
+        # The mean over the others of the own cluster leaves the row itself out.
+        F.when(own["n"] > 1, mean_to(own) * own["n"] / (own["n"] - 1)).alias("a"),
+    )
+    widest = F.greatest("a", "b")
+    score = F.when((F.col("n") == 1) | (widest == 0), 0.0).otherwise((F.col("b") - F.col("a")) / widest)
+    return found.select(key, "cluster", score.alias("silhouette"))
 
 
 def cluster_top_tags(assigned: DataFrame, n: int = 3) -> DataFrame:
@@ -184,6 +276,7 @@ def detect_gaps(gold: DataFrame, rules: Rules = DEFAULT_RULES) -> GapReport:
     """Cluster, roll up, and keep the clusters competitors own."""
     found = cluster_captions(gold, rules)
     summary = materialise(cluster_rollup(found.assigned, rules), "clusters")
+    discard(*found.stored)
     gaps = gap_clusters(summary)
     score = None if found.silhouette is None else round(found.silhouette, 4)
     metrics = gaps.agg(F.count(F.lit(1)).alias("n_gap_clusters")).select(

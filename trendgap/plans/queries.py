@@ -709,6 +709,122 @@ def kmeans_invariants_bare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kmeans_invariants(bare)
 
 
+# Captions as exact vectors of length one, and a split of them that any engine can make.
+VECTORS_SQL = """
+tokens AS (
+  SELECT hashtag, unnest(regexp_split_to_array(
+           regexp_replace(lower(top_caption), '[\\t\\n\\x0B\\f\\r ]+$', ''),
+           '[\\t\\n\\x0B\\f\\r ]')) AS term
+  FROM gold WHERE top_caption IS NOT NULL
+),
+counts AS (SELECT hashtag, term, count(*) AS tf FROM tokens GROUP BY ALL),
+found_in AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+weighed AS (
+  SELECT hashtag, term, tf * ln(((SELECT count(DISTINCT hashtag) FROM tokens) + 1) / (df + 1)::DOUBLE) AS w
+  FROM counts JOIN found_in USING (term)
+),
+vectors AS (
+  SELECT hashtag, term, w / sqrt(sum(w * w) OVER (PARTITION BY hashtag)) AS w FROM weighed WHERE w <> 0
+),
+members AS (SELECT hashtag, post_count % 4 AS cluster FROM gold WHERE top_caption IS NOT NULL),
+sums AS (SELECT cluster, term, sum(w) AS w FROM vectors JOIN members USING (hashtag) GROUP BY ALL),
+sizes AS (SELECT cluster, count(*) AS n FROM members GROUP BY cluster)"""
+
+
+def _vectors_and_members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    kept = gaps.captioned(_gold_table(spark, sf_dir))
+    terms = materialise(gaps.unit_terms(kept, "hashtag", "top_caption"), "vectors")
+    return terms, kept.select("hashtag", (F.col("post_count") % 4).alias("cluster"))
+
+
+@query(
+    with_(*sql.TO_GOLD, VECTORS_SQL)
+    + """,
+centres AS (SELECT cluster, term, s.w / n AS w FROM sums s JOIN sizes USING (cluster)),
+norms AS (SELECT cluster, sum(w * w) AS norm FROM centres GROUP BY cluster),
+dots AS (
+  SELECT v.hashtag, c.cluster, sum(v.w * c.w) AS dot FROM vectors v JOIN centres c USING (term) GROUP BY ALL
+),
+away AS (
+  SELECT m.hashtag, n.cluster, round(norm - 2 * coalesce(dot, 0), 9) AS d
+  FROM members m CROSS JOIN norms n
+  LEFT JOIN dots d ON d.hashtag = m.hashtag AND d.cluster = n.cluster
+)
+SELECT hashtag, arg_min(cluster, struct_pack(d := d, c := cluster)) AS cluster FROM away GROUP BY hashtag"""
+)
+def nearest_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step of the clustering: means of given groups, then the nearest mean of each row."""
+    terms, members = _vectors_and_members(spark, sf_dir)
+    centres = materialise(gaps.cluster_means(terms, members, "hashtag"), "centres")
+    return gaps.nearest_centres(terms, members, centres, "hashtag")
+
+
+@query(
+    with_(*sql.TO_GOLD, VECTORS_SQL)
+    + """,
+pairs AS (
+  SELECT a.hashtag, a.cluster, b.cluster AS other, b.hashtag AS other_tag
+  FROM members a CROSS JOIN members b WHERE a.hashtag <> b.hashtag
+),
+dots AS (
+  SELECT a.hashtag, b.hashtag AS other_tag, sum(a.w * b.w) AS dot
+  FROM vectors a JOIN vectors b USING (term) GROUP BY ALL
+),
+squares AS (SELECT hashtag, sum(w * w) AS square FROM vectors GROUP BY hashtag),
+means AS (
+  SELECT p.hashtag, p.cluster, p.other,
+         avg(coalesce(x.square, 0) + coalesce(y.square, 0) - 2 * coalesce(dot, 0)) AS d
+  FROM pairs p LEFT JOIN dots USING (hashtag, other_tag)
+  LEFT JOIN squares x ON x.hashtag = p.hashtag LEFT JOIN squares y ON y.hashtag = p.other_tag
+  GROUP BY ALL
+),
+sides AS (
+  SELECT hashtag, cluster, max(d) FILTER (WHERE other = cluster) AS a, min(d) FILTER (WHERE other <> cluster) AS b
+  FROM means GROUP BY ALL
+)
+SELECT hashtag, cluster,
+       round(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) + 0.0::DOUBLE AS silhouette
+FROM sides"""
+)
+def caption_silhouettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By cluster moments here, over all pairs of rows in the SQL."""
+    terms, members = _vectors_and_members(spark, sf_dir)
+    found = gaps.silhouettes(terms, members, "hashtag")
+    return found.withColumn("silhouette", F.round("silhouette", 6) + F.lit(0.0))
+
+
+@query(
+    with_(*sql.TO_GOLD)
+    + """
+SELECT hashtag, true AS in_nearest_cluster, true AS centre_is_mean, 5::BIGINT AS clusters, true AS score_from_moments
+FROM gold WHERE top_caption IS NOT NULL"""
+)
+def kmeans_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What makes a fitted clustering one: each row is in the cluster with the nearest
+    centre, the centres are the means of their rows, no cluster is empty, and the score is
+    that of the moments."""
+    found = gaps.cluster_captions(_gold(spark, sf_dir), fx.POST_RULES)
+    rows = found.assigned.select("hashtag", F.col("cluster").cast("bigint").alias("cluster"))
+    terms = materialise(gaps.vector_terms(found.assigned, "hashtag"), "vectors")
+    fitted = spark.createDataFrame(
+        [(c, i, float(w)) for c, centre in enumerate(found.centres) for i, w in enumerate(centre) if w],
+        "cluster bigint, term int, fitted double",
+    )  # clusters times features
+    nearest = gaps.nearest_centres(terms, rows, fitted.withColumnRenamed("fitted", "weight"), "hashtag")
+    nearest = nearest.withColumnRenamed("cluster", "nearest")
+    means = gaps.cluster_means(terms, rows, "hashtag")
+    both = means.join(fitted, ["cluster", "term"], "full")
+    gap = F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("fitted", F.lit(0.0)))
+    widest = both.agg(F.coalesce(F.max(gap), F.lit(1.0)) < 1e-3).scalar()  # the fit's tolerance
+    clusters = rows.agg(F.count_distinct("cluster")).scalar()
+    score = gaps.silhouettes(terms, rows, "hashtag").agg(F.avg("silhouette")).scalar()
+    return rows.join(nearest, "hashtag").select(
+        "hashtag", (F.col("nearest") == F.col("cluster")).alias("in_nearest_cluster"),
+        widest.alias("centre_is_mean"), clusters.alias("clusters"),
+        (F.abs(score - F.lit(found.silhouette)) < 1e-9).alias("score_from_moments"),
+    )
+
+
 @query()
 def kmeans_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.detect_gaps(_gold(spark, sf_dir), fx.POST_RULES).metrics
