@@ -1,5 +1,6 @@
 """Language models, quality classifier, sampled segmentations, pipeline."""
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -70,6 +71,82 @@ def test_language_id_on_held_out_documents(spark):
     assert language.identify(strange, model).first()["rejected"]
 
 
+def plain_kneser_ney(texts_, order):
+    """p(char | history) of interpolated Kneser-Ney, straight from its definition."""
+    strings = [" " * (order - 1) + t for t in texts_]
+    full = Counter(s[i : i + order] for s in strings for i in range(len(s) - order + 1))
+    levels = {order: full}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    letters = len(levels[1])
+
+    def p(char, history):
+        k = len(history) + 1
+        counts = levels[k]
+        n1, n2 = (sum(c == x for c in counts.values()) for x in (1, 2))
+        d = min(max(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.1), 0.9)
+        same = [c for g, c in counts.items() if g[:-1] == history]
+        lower = p(char, history[1:]) if history else 1 / (letters + 1)
+        if not same:
+            return lower
+        return max(counts[history + char] - d, 0) / sum(same) + d * len(same) / sum(same) * lower
+
+    return lambda t: -np.mean([
+        np.log(p(s[i + order - 1], s[i : i + order - 1]))
+        for s in [" " * (order - 1) + t] for i in range(len(s) - order + 1)
+    ])
+
+
+def small_talk(spark):
+    known = ["a cab ran", "banana bar nab", "cab ran on", "bar on a cab", "on and on"]
+    other = ["zu oz zoo", "ooze zu zoo zu", "zoo oz on", "ooze on"]
+    rows = [(i, t, lang) for lang, ts in (("x", known), ("y", other)) for i, t in enumerate(ts * 3) if zlib.crc32(str(i).encode()) % 3 != 1]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    return df, {lang: [t for _, t, own in rows if own == lang] for lang in "xy"}
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_kneser_ney_equals_its_definition(spark, order):
+    df, given = small_talk(spark)
+    model = language.learn(df, order)
+    # Only where each language has met all letters do the even spreads agree; so one at a time.
+    for lang in "xy":
+        alone = language.learn(df.where(f"lang = '{lang}'"), order)
+        entropy = plain_kneser_ney(given[lang], order)
+        for text in [*given[lang][:3], "on a bar", "zoo on", "no cab can"]:
+            if set(text) <= set(" ".join(given[lang])):
+                got = alone.entropies(*language.folded(texts([text])))[0, 0]
+                assert abs(got - entropy(text)) < 1e-5
+    assert model.languages == ["x", "y"]
+
+
+def test_a_bound_on_grams_leaves_no_language_out(spark):
+    df = spark.read.parquet(f"{BIGGER}/documents.parquet").repartition(4)
+    whole, cut = language.learn(df), language.learn(df, max_grams=400)
+    assert cut.languages == whole.languages and len(whole.languages) == 4
+    assert len(cut.keys[-1]) <= 4 * 500 and all(len(k) <= 8000 for k in cut.keys) and len(whole.keys[-1]) > 10_000
+    held = [r for r in language.identify(df, cut).join(df.select("doc_id", "lang"), "doc_id").collect() if r["held_out"]]
+    assert sum(r["lang_pred"] == r["lang"] for r in held) / len(held) > 0.95
+    # What was cut went to shorter grams: every history still spreads one whole over the letters.
+    for model in (whole, cut):
+        letters = model.keys[0][:, None].astype(np.uint64)
+        history = model.keys[2][:40]
+        codes = (history[None, :] << np.uint64(12) | letters).ravel()
+        spread = np.zeros(len(codes))
+        for at, gram in enumerate(codes.tolist()):
+            four = [gram >> 36 & 0xFFF, gram >> 24 & 0xFFF, gram >> 12 & 0xFFF, gram & 0xFFF]
+            seq = np.array([32, *four], np.uint64)
+            spread[at] = model_probability(model, seq)
+        sums = spread.reshape(len(letters), -1).sum(0)
+        assert np.all(sums <= 1 + 1e-3) and np.all(sums > 0.9)
+
+
+def model_probability(model, codes):
+    """Of the last character after the others, in the first language."""
+    both = [-model.entropies(c, np.array([0, len(c)]))[0, 0] * max(len(c) - 1, 1) for c in (codes, codes[:-1])]
+    return np.exp(both[0] - both[1])
+
+
 def test_language_id_of_odd_rows(odd, nothing):
     model = language.learn(odd)
     got = language.identify(odd, model).collect()

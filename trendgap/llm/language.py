@@ -1,7 +1,7 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Text is folded to letters and blanks: letters lower-cased, every run of other characters
-one blank, a blank at both ends. A character model of order `order` (5) is learnt for each
+one blank, a blank before the text. A character model of order `order` (5) is learnt for each
 language from the n-gram counts of all training texts (counted in tasks, summed with
 map-side combining). Below the highest order a gram counts by the number of different
 characters it has been seen after, as Kneser and Ney have it; each order is discounted by
@@ -18,9 +18,15 @@ threshold of each language are fitted on a bounded sample of the training texts
 (`calibration_rows`). A text above its language's threshold, the `reject` quantile of
 its sampled cross-entropies with a margin, is marked `rejected`, and keeps its label.
 
-The model is bounded: of each language the most frequent grams of the highest order are
-kept, down to the count at which there are no more than `max_grams`, or fewer if there are
-so many languages that the table would pass MAX_CELLS.
+Counts, discounts, continuation counts and the totals of histories are taken in Spark over
+all training texts, for every order, before anything is left out. What a task holds of
+them is bounded: per order and language the most frequent `max_grams` grams (fewer if there
+are so many languages that the table would pass MAX_CELLS; of the last count that does not
+fit whole, a share by hash), so no language is left without any. The probability of a gram
+that was left out goes to the lower orders of its history, so the model stays a whole one.
+
+Repeated ids and equal rows each count. Very long texts are never cut: a task holds about
+a hundred bytes a character of its longest text.
 
 Null texts and texts without a letter are `und` with score 0. Rows without a language are
 not learnt from. Without any training row everything is `und`.
@@ -31,8 +37,6 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +48,9 @@ from trendgap.llm.common import discard, stored
 ORDER = 5
 BITS = 12
 UNKNOWN = "und"
-MAX_GRAMS = 150_000
+MAX_GRAMS = 2_000_000
 MAX_COUNT = 65_535
+MILLION = 1_000_000
 MAX_CELLS = 32_000_000  # log-probabilities of the highest order
 CALIBRATION_ROWS = 2_000
 REJECT = 0.999
@@ -180,54 +185,107 @@ class Model:
         return -row_sums(out, starts) / lengths[:, None]
 
 
+@dataclass
+class Level:
+    """Grams of one language and order: sorted, how often each counts, how often its history
+    counts with all grams there are, and the discount of the order."""
+
+    grams: np.ndarray
+    n: np.ndarray
+    total: np.ndarray
+    discount: float
+
+
+def discount_of(once: int, twice: int) -> float:
+    return min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
+
+
 def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> Model:
     """The model from the grams of the highest order and their counts, by language."""
-    languages = sorted(counts)
-    levels: list[list[tuple[np.ndarray, np.ndarray]]] = []  # per language and order
-    for lang in languages:
-        grams_, n = counts[lang]
+    levels: dict[str, list[Level]] = {}
+    for lang, (grams_, n) in counts.items():
         place = np.argsort(grams_)
-        own = [(grams_[place], n[place].astype(np.float64))]
-        for k in range(order - 1, 0, -1):
+        grams_, n = grams_[place], n[place].astype(np.float64)
+        own: list[Level] = []
+        for k in range(order, 0, -1):
+            _, at = np.unique(grams_ >> np.uint64(BITS), return_inverse=True)
+            discount = discount_of((n == 1).sum(), (n == 2).sum())
+            own.insert(0, Level(grams_, n, np.bincount(at, n)[at], discount))
             # A shorter gram counts once for each character it has followed.
-            shorter = own[0][0] & np.uint64((1 << BITS * k) - 1)
-            keys, kinds = np.unique(shorter, return_counts=True)
-            own.insert(0, (keys, kinds.astype(np.float64)))
-        levels.append(own)
-    keys = [np.unique(np.concatenate([own[k][0] for own in levels])) for k in range(order)]
+            grams_, kinds = np.unique(grams_ & np.uint64((1 << BITS * (k - 1)) - 1), return_counts=True)
+            n = kinds.astype(np.float64)
+        levels[lang] = own
+    return assembled(levels, order)
+
+
+def assembled(by_language: dict[str, list[Level]], order: int) -> Model:
+    languages = sorted(by_language)
+    levels = [by_language[lang] for lang in languages]
+    keys: list[np.ndarray] = []
+    for k in reversed(range(order)):
+        found = [own[k].grams for own in levels]
+        if keys:  # the ending and the history of every longer one are looked up as well
+            mask = np.uint64((1 << BITS * (k + 1)) - 1)
+            found += [keys[0] & mask, keys[0] >> np.uint64(BITS)]
+        keys.insert(0, np.unique(np.concatenate(found)))
     even = 1.0 / (len(keys[0]) + 1)
     logs = [np.zeros((len(keys[k]), len(languages)), np.float32) for k in range(order)]
     backoff = [np.zeros((len(keys[k]), len(languages)), np.float32) for k in range(order - 1)]
-    floors = np.zeros(len(languages), np.float32)
+    floors = np.full(len(languages), np.log(even), np.float32)
     for column, own in enumerate(levels):
         below = np.full(len(keys[0]), even)  # probabilities of the order below, for its keys
-        for k, (grams_, n) in enumerate(own):
-            once, twice = (n == 1).sum(), (n == 2).sum()
-            discount = once / (once + 2 * twice) if once else 0.5
-            discount = min(max(discount, 0.1), 0.9)
+        for k, level in enumerate(own):
+            grams_, share = level.grams, (level.n - level.discount) / level.total
             history, at = np.unique(grams_ >> np.uint64(BITS), return_inverse=True)
-            total, kinds = np.bincount(at, n), np.bincount(at)
-            weight = discount * kinds / total
+            # All that the kept grams do not take.
+            weight = np.maximum(1 - np.bincount(at, share, len(history)), 1e-9)
             # All keys of any language, seen by this one or not.
             before = keys[k] >> np.uint64(BITS)
-            where = np.minimum(np.searchsorted(history, before), len(history) - 1)
-            p = np.where(history[where] == before, weight[where], 1.0)
+            p = np.ones(len(keys[k]))
+            if len(history):
+                where = np.minimum(np.searchsorted(history, before), len(history) - 1)
+                p = np.where(history[where] == before, weight[where], 1.0)
             if k:
                 tail = keys[k] & np.uint64((1 << BITS * k) - 1)
                 p = p * below[np.searchsorted(keys[k - 1], tail)]
-                # A history may have been met as the beginning of longer grams only.
-                place = np.minimum(np.searchsorted(keys[k - 1], history), len(keys[k - 1]) - 1)
-                same = keys[k - 1][place] == history
-                backoff[k - 1][place[same], column] = np.log(weight[same])
+                backoff[k - 1][np.searchsorted(keys[k - 1], history), column] = np.log(weight)
             else:
                 p = p * below
-                floors[column] = np.log(weight[0] * even)
-            p[np.searchsorted(keys[k], grams_)] += (n - discount) / total[at]
+                if len(history):
+                    floors[column] = np.log(weight[0] * even)
+            p[np.searchsorted(keys[k], grams_)] += share
             logs[k][:, column] = np.log(p)
             below = p
     return Model(languages, keys, logs, backoff, floors)
 
 
+def most_frequent(level: DataFrame, max_grams: int) -> tuple[dict[str, float], pa.Table]:
+    """The discount of each language over all grams of an order; and of each the most
+    frequent grams with their counts and the totals of their histories, as lang, gram, n, total."""
+    capped = F.least("n", F.lit(MAX_COUNT))
+    # How many grams have each count: at most MAX_COUNT numbers per language.
+    steps = level.groupBy("lang", capped.alias("n")).count().orderBy(F.desc("n")).collect()
+    sizes: dict[str, dict[int, int]] = defaultdict(dict)
+    for lang, n, grams_with in steps:
+        sizes[lang][n] = grams_with
+    allowed = max(1, min(max_grams, MAX_CELLS // max(1, len(sizes) ** 2)))
+    wanted = F.lit(False)
+    for lang, with_count in sizes.items():
+        left, last, share = allowed, 1, MILLION
+        for n, grams_with in with_count.items():
+            last, share = n, min(MILLION, MILLION * left // grams_with)
+            left -= grams_with
+            if left <= 0:
+                break
+        inside = (capped > last) | ((capped == last) & (F.pmod(F.xxhash64("gram"), F.lit(MILLION)) < share))
+        wanted = wanted | ((F.col("lang") == lang) & inside)
+    history = F.shiftright("gram", BITS).alias("history")
+    totals = level.groupBy("lang", history).agg(F.sum("n").alias("total"))
+    kept = level.where(wanted).select("lang", "gram", "n", history).join(totals, ["lang", "history"])
+    discounts = {lang: discount_of(c.get(1, 0), c.get(2, 0)) for lang, c in sizes.items()}
+    return discounts, kept.select("lang", "gram", "n", "total").toArrow()
+
+
 def learn(
     documents: DataFrame,
     order: int = ORDER,
@@ -235,32 +293,28 @@ def learn(
     calibration_rows: int = CALIBRATION_ROWS,
 ) -> Model | None:
     """The calibrated model of all training rows of `documents`; None without any."""
-    counts = stored(gram_counts(training(documents), order), "gram-counts")
-    # How many grams have each count, at most MAX_COUNT numbers per language.
-    steps = (
-        counts.groupBy("lang", F.least("n", F.lit(MAX_COUNT)).alias("n")).count().orderBy(F.desc("n"))
-    ).collect()
-    languages = {r["lang"] for r in steps}
-    allowed = min(max_grams, MAX_CELLS // max(1, len(languages) ** 2))
-    least: dict[str, int] = {}
-    taken: dict[str, int] = defaultdict(int)
-    for lang, n, grams_with in steps:
-        taken[lang] += grams_with
-        if taken[lang] <= allowed:
-            least[lang] = n
-    if not least:
+    level = stored(gram_counts(training(documents), order), "gram-counts")
+    levels: dict[str, list[Level]] = defaultdict(list)
+    for k in range(order, 0, -1):
+        discounts, kept = most_frequent(level, max_grams)
+        langs = kept.column("lang").combine_chunks().dictionary_encode()
+        which = np.asarray(langs.indices)
+        grams_ = np.asarray(kept.column("gram")).view(np.uint64)
+        n, total = (np.asarray(kept.column(c)).astype(np.float64) for c in ("n", "total"))
+        names = langs.dictionary.to_pylist()
+        for lang, discount in discounts.items():
+            own = np.flatnonzero(which == names.index(lang)) if lang in names else np.zeros(0, np.int64)
+            own = own[np.argsort(grams_[own])]
+            levels[lang].insert(0, Level(grams_[own], n[own], total[own], discount))
+        longer = level
+        if k > 1:
+            # A shorter gram counts once for each character it has followed.
+            shorter = F.col("gram").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1)).alias("gram")
+            level = stored(longer.groupBy("lang", shorter).agg(F.count("*").alias("n")), "shorter-grams")
+        discard(longer)
+    if not levels:
         return None
-    wanted = reduce(or_, ((F.col("lang") == x) & (F.col("n") >= n) for x, n in least.items()))
-    kept = counts.where(wanted).toArrow()
-    langs = kept.column("lang").combine_chunks().dictionary_encode()
-    which = np.asarray(langs.indices)
-    grams_ = np.asarray(kept.column("gram")).view(np.uint64)
-    n = np.asarray(kept.column("n"))
-    model = build(
-        {lang: (grams_[which == i], n[which == i]) for i, lang in enumerate(langs.dictionary.to_pylist())},
-        order,
-    )
-    discard(counts)
+    model = assembled(levels, order)
     marked = training(documents).select("lang", "text", F.xxhash64("doc_id", "text").alias("mark"))
     # The texts with the smallest marks; first the marks alone.
     smallest = marked.select("mark").orderBy("mark").limit(calibration_rows)
