@@ -288,6 +288,21 @@ def test_samples_depend_on_the_row_key_alone(odd):
     assert pick(one) == pick(many)
 
 
+def test_more_samples_than_nine(spark):
+    """Streams of one place are not those of the next; twelve different samples, in order."""
+    key = np.arange(3, dtype=np.uint64)
+    seen = [segmentation.uniform(key, np.full(3, place), stream) for place in range(40) for stream in range(120)]
+    assert len(np.unique(np.concatenate(seen))) == 3 * 40 * 120
+    rows = [(i, "unbelievable internationalisation of words") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    firsts = Counter()
+    for r in segmentation.sample_segmentations(df, PIECES, k=12).collect():
+        assert r["n_samples"] == 12 == len(set(map(bytes, r["ids"]))) and r["round_trip"]
+        assert sorted(r["perturbed"], reverse=True) == r["perturbed"]
+        firsts[bytes(r["ids"][0])] += 1
+    assert len(firsts) > 5
+
+
 def test_few_segmentations(pieces):
     sampler = segmentation.Sampler(pieces, ["", "a"], np.array([1, 2], np.uint64))
     paths, outside = sampler.sample(4)

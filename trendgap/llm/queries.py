@@ -57,8 +57,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    found = sample_segmentations(read(spark, sf_dir, "documents"), model, ids=False)
-    return found.drop("ids")
+    return sample_segmentations(read(spark, sf_dir, "documents"), model)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,7 +206,7 @@ class Lattice:
 
 def uniform(key: np.ndarray, place: np.ndarray, stream: int) -> np.ndarray:
     """Numbers in (0, 1) that depend on row key, place and stream alone."""
-    x = mixed(key ^ mixed(place.astype(np.uint64) * np.uint64(64) + np.uint64(stream)))
+    x = mixed(mixed(key ^ mixed(place.astype(np.uint64) + np.uint64(1))) + np.uint64(stream))
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
@@ -248,6 +248,8 @@ class Sampler:
         distinct = words.dictionary.to_pylist()
         bounds = np.cumsum([0, *(len(w) // 4 for w in distinct)])
         self.lattice = Lattice(pieces, np.frombuffer(b"".join(distinct), np.uint32), bounds)
+        if np.diff(self.lattice.first).max(initial=0) > 63:
+            raise ValueError("more than 63 pieces begin at one place")  # a bit each in `used`
         self.length = lengths
         self.rank = self.lattice.rank[self.word]
 
