@@ -48,7 +48,7 @@ from trendgap.llm.common import discard, stored
 ORDER = 5
 BITS = 12
 UNKNOWN = "und"
-MAX_GRAMS = 2_000_000
+MAX_GRAMS = 500_000
 MAX_COUNT = 65_535
 MILLION = 1_000_000
 MAX_CELLS = 32_000_000  # log-probabilities of the highest order
