@@ -161,39 +161,44 @@ def append_new(df: DataFrame, table: str, *keys: str, volatile: tuple[str, ...]
     """
     spark, ledger = df.sparkSession, f"{table}_ledger"
     _take_in(spark, table, keys, volatile)
-    marked = _marked(df, keys, volatile)
+    other = F.when(_complete(keys), F.lit("")).otherwise(F.col(CONTENT)).alias("_other")
+    marked = _marked(df, keys, volatile).withColumn("_other", other)
     # Written apart first: a table cannot be read and appended to in one job.
-    rows = materialise(
-        marked.groupBy(BUCKET, CONTENT, *keys).agg(F.first(F.struct(*df.columns)).alias("given")), "new-rows"
+    first = materialise(
+        marked.groupBy(BUCKET, *keys, "_other").agg(
+            F.min(CONTENT).alias("_least"), F.max(CONTENT).alias("_most"),
+            F.min_by(F.struct(*df.columns), CONTENT).alias("_given"),
+        ),
+        "new-rows",
     )
-    identity = F.when(_complete(keys), F.lit("")).otherwise(F.col(CONTENT))
-    least = rows.groupBy(BUCKET, *keys, identity.alias("other")).agg(F.min(CONTENT).alias("least"))
-    stored = least.limit(0).withColumnRenamed("least", "held")
+    judged, done = first.withColumn("_held", F.lit(None).cast("string")), [first]
     if spark.catalog.tableExists(ledger):
-        met = sorted(r[BUCKET] for r in rows.select(BUCKET).distinct().collect())  # BUCKETS at most
-        stored = spark.table(ledger).filter(F.col(BUCKET).isin(met)).select(
-            BUCKET, *keys, identity.alias("other"), F.col(CONTENT).alias("held")
+        met = sorted(r[BUCKET] for r in first.select(BUCKET).distinct().collect())  # BUCKETS at most
+        held = spark.table(ledger).filter(F.col(BUCKET).isin(met)).select(
+            BUCKET, *keys, other, F.col(CONTENT).alias("_held")
         )
-
-    def same(left: str, right: str) -> Column:
-        pairs = [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in (*keys, "other")]
-        return (F.col(f"{left}.{BUCKET}") == F.col(f"{right}.{BUCKET}")) & _all(pairs)
-
-    rows_ = rows.withColumn("other", identity).alias("r")
-    judged = rows_.join(least.alias("l"), same("r", "l")).join(stored.alias("s"), same("r", "s"), "left").select(
-        f"r.{BUCKET}", f"r.{CONTENT}", F.col("r.given").alias("given"), F.col("l.least").alias("least"),
-        F.col("s.held").alias("held"),
-    )
-    judged = materialise(judged, "judged-rows")
-    fresh = judged.filter(f"held IS NULL AND {CONTENT} = least").select("given.*", CONTENT, BUCKET)
+        judged = materialise(
+            first.alias("n").join(held.alias("s"), _same("n", "s", keys), "left").select("n.*", "s._held"),
+            "judged-rows",
+        )
+        done.append(judged)
+    fresh = judged.filter("_held IS NULL").select("_given.*", F.col("_least").alias(CONTENT), BUCKET)
     fresh.hint("rebalance", BUCKET).write.mode("append").partitionBy(BUCKET).format("parquet").saveAsTable(ledger)
     shown = ", ".join(f"`{c}`" for c in df.columns)
     spark.sql(f"CREATE VIEW IF NOT EXISTS {table} AS SELECT {shown} FROM {ledger}")
-    clashes = judged.filter(f"{CONTENT} <> coalesce(held, least)")
-    if not clashes.isEmpty():
-        clashes = clashes.select("given.*", F.col(CONTENT).alias("clash"))
+    stands = F.coalesce("_held", "_least")
+    clashing = judged.filter((F.col("_least") != stands) | (F.col("_most") != stands))
+    if not clashing.isEmpty():
+        kept = clashing.select(BUCKET, *keys, "_other", stands.alias("_stands"))
+        pairs = marked.alias("n").join(kept.alias("s"), _same("n", "s", keys)).filter(f"n.{CONTENT} <> s._stands")
+        clashes = pairs.select(*[f"n.`{c}`" for c in df.columns], F.col(f"n.{CONTENT}").alias("clash"))
         append_new(clashes, f"{table}_clashes", *keys, "clash", volatile=volatile)
-    discard(rows, judged)
+    discard(*done)
+
+
+def _same(left: str, right: str, keys: tuple[str, ...]) -> Column:
+    pairs = [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in (*keys, "_other")]
+    return (F.col(f"{left}.{BUCKET}") == F.col(f"{right}.{BUCKET}")) & _all(pairs)
 
 
 def _all(tests: list[Column]) -> Column:
