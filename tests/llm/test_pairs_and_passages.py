@@ -293,3 +293,50 @@ def test_several_licenses_in_one_text(spark):
     got = {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in licenses.license_scan(frame(spark, rows)).collect()}
     assert got == {i: brute_labels(t) for i, t in rows}
     assert got[0] == {t.label for t in licenses.TEMPLATES}
+
+
+def brute_score(text, idf, slack=3):
+    """The best score over all places with enough votes and all mandatory phrases."""
+    w, best = words(text), 0.0
+    for template in licenses.TEMPLATES:
+        own = words(template.text)
+        total = sum(idf[x] for x in own)
+        for shift in range(-len(own), len(w)):
+            near = [
+                any(0 <= p + shift + d < len(w) and w[p + shift + d] == x for d in range(slack + 1))
+                for p, x in enumerate(own)
+            ]
+            if len({x for x, hit in zip(own, near) if hit}) < min(4, len(set(own))):
+                continue
+            part = " ".join(w[max(0, shift - slack) : max(0, shift + len(own) + slack)])
+            if all(f" {' '.join(words(m))} " in f" {part} " for m in template.mandatory):
+                kept = sum(
+                    idf[x] for p, x in enumerate(own)
+                    if x in w[max(0, p + shift - slack) : max(0, p + shift + slack + 1)]
+                )
+                best = max(best, kept / total)
+    return max(best, licenses.BASE_SCORE if any(p in " ".join(w) for p, _ in licenses.BASE_PHRASES) else 0)
+
+
+def test_license_scores(spark):
+    rng, texts = random.Random(8), [t.text for t in licenses.TEMPLATES]
+    rows = [(k, "some words " + " ".join(w for w in t.split() if rng.random() < 0.9) + " more") for k, t in enumerate(texts)]
+    rows += [(90, "no licence at all"), (91, ""), (92, texts[-1] + " " + texts[2])]
+    df = frame(spark, rows)
+    idf = {w.decode(): x for w, x in licenses.inverse_document_frequencies(df).items()}
+    got = {r["doc_id"]: r["score"] for r in licenses.license_scan(df).collect()}
+    for i, text in rows:
+        assert got[i] == pytest.approx(brute_score(text, idf)), i
+    assert got[92] == 1
+
+
+def test_license_in_a_very_long_text(spark):
+    """Over several chunks long, with every common word of the templates all over it."""
+    rng = random.Random(2)
+    noise = lambda n: " ".join(rng.choices(["the", "of", "to", "and", "software", "xyz", "license"], k=n))
+    mit, bsd = licenses.TEMPLATES[0].text, licenses.TEMPLATES[4].text
+    long = f"{noise(200_000)} {mit} {noise(300_000)} {bsd} {noise(100_000)}"
+    assert len(long) > 2_500_000
+    got = {r["doc_id"]: r for r in licenses.license_scan(frame(spark, [(1, long), (2, noise(50_000)), (3, None)])).collect()}
+    assert got[1]["labels"] == "bsd,mit" and got[1]["score"] == 1 and got[1]["n_words"] == len(long.split()) + 1
+    assert got[2]["labels"] == got[3]["labels"] == ""

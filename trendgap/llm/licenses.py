@@ -6,16 +6,20 @@ lower-cased. Two things are looked for in every text.
 Base phrases: all places where the words of a phrase stand one after another.
 
 Templates: an index holds every template's words with their positions and their inverse
-document frequency (IDF), counted over all documents. Templates with all their mandatory
-phrases somewhere in the text are looked up, by all of their words, common or rare; each
-meeting of a template posting (word, position) with the text's own position votes for the
-relative position of text and template. A template with at least `votes` distinct words at
-one relative position (within `slack` words, as words may be missing or added) is a
-candidate. It is verified around that place: all its mandatory phrases must stand within
-its length and slack. The score is
-the IDF-weighted share of the template's words that stand at their place, 1 for a whole
-copy; a text with base labels alone scores BASE_SCORE.
-
+document frequency (IDF), counted over all documents. A template needs `votes` distinct
+words of the text at one relative position of text and template (within `slack` words, as
+words may be missing or added). Of the words that text and template share, all but the
+`votes - 1` most common are looked up, the ones of highest IDF: at any place with enough
+votes at least one of these stands, so nothing is lost, and a text that shares few words
+with a template is met at its rarest word alone. Each meeting of a posting (word, position)
+with the text's own position proposes a relative position; the other words vote at the
+proposed ones only, compared with the text by position. A place with enough votes is
+verified last: all mandatory phrases of the template must stand within its length and
+slack. The score is the IDF-weighted share of the template's words that stand at their
+place, 1 for a whole copy; a text with base labels alone scores BASE_SCORE.
+
+A text is read whole and by one task, whatever its length: memory grows with its words (a
+few dozen bytes each) and with the proposed places, never with pairs of them.
 Null texts count as empty: no words, no labels, empty label lists, score 0. Repeated ids
 stay separate rows. A word that no document has does not matter to any IDF.
 """
@@ -25,6 +29,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from trendgap.llm.batches import Texts, map_texts
@@ -45,7 +50,7 @@ class Template:
     mandatory: tuple[str, ...]
 
 
-# Openings of public licence notices.
+# Public licence notices, whole where they are short.
 TEMPLATES = (
     Template(
         "mit",
@@ -94,6 +99,61 @@ TEMPLATES = (
         "This is free and unencumbered software released into the public domain",
         ("free and unencumbered software", "public domain"),
     ),
+    Template(
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
+        "software and associated documentation files (the Software), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, "
+        "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+        "permit persons to whom the Software is furnished to do so, subject to the following "
+        "conditions: The above copyright notice and this permission notice shall be included in "
+        "all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, "
+        "WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN "
+        "NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+        "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT "
+        "OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+        ("permission is hereby granted", "copies or substantial portions of the software"),
+    ),
+    Template(
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are "
+        "permitted provided that the following conditions are met: 1. Redistributions of source "
+        "code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution",
+        ("source and binary forms", "redistributions in binary form must reproduce"),
+    ),
+    Template(
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+        "without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies",
+        ("with or without fee", "permission notice appear in all copies"),
+    ),
+    Template(
+        "lgpl-3",
+        "This library is free software; you can redistribute it and/or modify it under the terms "
+        "of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 3 of the License, or (at your option) any later version",
+        ("gnu lesser general public license", "version 3"),
+    ),
+    Template(
+        "agpl-3",
+        "This program is free software: you can redistribute it and/or modify it under the terms "
+        "of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version",
+        ("gnu affero general public license", "version 3"),
+    ),
+    Template(
+        "zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event "
+        "will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including "
+        "commercial applications, and to alter it and redistribute it freely",
+        ("without any express or implied warranty", "alter it and redistribute it freely"),
+    ),
 )
 
 # Bytes of words as they are, A-Z lower-cased; every other byte becomes a blank.
@@ -119,63 +179,78 @@ def phrase_places(joined: bytes, phrase: bytes) -> list[int]:
 
 @dataclass
 class Index:
-    """Postings of all template words, with the IDF of each word."""
+    """Positional postings of all template words, in the order of their IDF."""
 
     templates: tuple[Template, ...]
     idf: dict[bytes, float]
     votes: int
     slack: int
-    postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=dict)
+    code: dict[bytes, int] = field(default_factory=dict)  # by IDF, the rarest word is 0
     words: list[list[bytes]] = field(default_factory=list)
     mandatory: list[list[bytes]] = field(default_factory=list)
-    known: list[set[bytes]] = field(default_factory=list)
+    postings: list[dict[int, np.ndarray]] = field(default_factory=list)  # positions by word
     least: list[int] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        for number, template in enumerate(self.templates):
+        rarest = sorted(template_words(self.templates), key=lambda w: (-self.idf[w], w))
+        self.code = {word: number for number, word in enumerate(rarest)}
+        for template in self.templates:
             words = words_of(template.text.encode())
             self.words.append(words)
             self.mandatory.append([b" ".join(words_of(m.encode())) for m in template.mandatory])
-            for position, word in enumerate(words):
-                self.postings.setdefault(word, []).append((number, position))
-        self.known = [set(words) for words in self.words]
-        self.least = [min(self.votes, len(known)) for known in self.known]
-
-    def find(self, words: list[bytes], joined: bytes) -> dict[str, float]:
-        """Labels of the templates found, with the best score of each; `joined` are the
-        words with blanks between and at either end."""
-        enough = {
-            number
-            for number, phrases in enumerate(self.mandatory)
-            if all(b" " + m + b" " in joined for m in phrases)
-        }
-        wanted = set().union(*(self.known[number] for number in enough))
-        places: dict[bytes, list[int]] = {}
-        for at, word in enumerate(words) if wanted else ():
-            if word in wanted:
-                places.setdefault(word, []).append(at)
-        votes: dict[tuple[int, int], set[bytes]] = {}
-        for word, found_at in places.items():
-            for number, position in self.postings[word]:
-                if number not in enough:
-                    continue
-                for at in found_at:
-                    votes.setdefault((number, at - position), set()).add(word)
+            codes = np.array([self.code[w] for w in words], np.int32)
+            self.postings.append({c: np.flatnonzero(codes == c) for c in sorted(set(codes.tolist()))})
+            self.least.append(min(self.votes, len(self.postings[-1])))
+
+    def find(self, words: list[bytes]) -> dict[str, float]:
+        """Labels of the templates found, with the best score of each."""
+        shared = {self.code[w] for w in self.code.keys() & set(words)}
+        looked_up: dict[int, list[int]] = {}
+        for number, postings in enumerate(self.postings):
+            both = [c for c in postings if c in shared]  # the rarest first
+            if len(both) >= self.least[number]:
+                looked_up[number] = both[: len(both) - self.least[number] + 1]
         found: dict[str, float] = {}
-        for (number, shift), voters in votes.items():
-            for near in range(1, self.slack + 1):
-                voters = voters | votes.get((number, shift + near), set())
-            if len(voters) < self.least[number]:
-                continue
-            own = self.words[number]
-            start = max(0, shift - self.slack)
-            part = words[start : shift + len(own) + self.slack]
-            joined = b" " + b" ".join(part) + b" "
-            if all(b" " + m + b" " in joined for m in self.mandatory[number]):
-                label = self.templates[number].label
-                found[label] = max(found.get(label, 0.0), self.score(own, part, shift - start))
+        if not looked_up:
+            return found
+        codes = np.fromiter((self.code.get(w, -1) for w in words), np.int32, len(words))
+        places = {c: np.flatnonzero(codes == c) for c in set().union(*looked_up.values())}
+        for number, rare in looked_up.items():
+            own, label = self.words[number], self.templates[number].label
+            for shift in self.candidates(number, rare, places, codes).tolist():
+                start = max(0, shift - self.slack)
+                part = words[start : shift + len(own) + self.slack]
+                joined = b" " + b" ".join(part) + b" "
+                if all(b" " + m + b" " in joined for m in self.mandatory[number]):
+                    score = self.score(own, part, shift - start)
+                    found[label] = max(found.get(label, 0.0), score)
         return found
 
+    def candidates(
+        self, number: int, rare: list[int], places: dict[int, np.ndarray], codes: np.ndarray
+    ) -> np.ndarray:
+        """Relative positions of text and template with enough distinct words in place."""
+        postings, slack, length = self.postings[number], self.slack, len(self.words[number])
+        met = np.unique(
+            np.concatenate([places[c] - p for c in rare for p in postings[c].tolist()])
+        )
+        shifts = np.unique(np.concatenate([met - d for d in range(slack + 1)]))
+        framed = np.full(len(codes) + 2 * (length + slack) + 1, -1, np.int32)
+        framed[length + slack : length + slack + len(codes)] = codes
+        tally = np.zeros(len(shifts), np.int32)
+        first = np.zeros(len(shifts), bool)  # whether a word stands without any slack
+        for code, positions in postings.items():
+            here = np.zeros(len(shifts), bool)
+            for p in positions.tolist():
+                base = shifts + (p + length + slack)
+                exact = framed[base] == code
+                first |= exact
+                here |= exact
+                for d in range(1, slack + 1):
+                    here |= framed[base + d] == code
+            tally += here
+        return shifts[first & (tally >= self.least[number])]
+
     def score(self, own: list[bytes], part: list[bytes], shift: int) -> float:
         total = kept = 0.0
         for position, word in enumerate(own):
@@ -236,7 +311,7 @@ def license_scan(
                     labels[label] = BASE_SCORE
                     places += hits
             known = sorted(labels)
-            for label, score in index.find(words, joined).items():
+            for label, score in index.find(words).items():
                 labels[label] = max(score, labels.get(label, 0.0))
             row = (
                 len(words),
