@@ -8,15 +8,14 @@ Base phrases: all places where the words of a phrase stand one after another.
 Templates: an index holds every template's words with their positions and their inverse
 document frequency (IDF), counted over all documents. A template needs `votes` distinct
 words of the text at one relative position of text and template (within `slack` words, as
-words may be missing or added). Of the words that text and template share, all but the
-`votes - 1` most common are looked up, the ones of highest IDF: at any place with enough
-votes at least one of these stands, so nothing is lost, and a text that shares few words
-with a template is met at its rarest word alone. Each meeting of a posting (word, position)
-with the text's own position proposes a relative position; the other words vote at the
-proposed ones only, compared with the text by position. A place with enough votes is
-verified last: all mandatory phrases of the template must stand within its length and
-slack. The score is the IDF-weighted share of the template's words that stand at their
-place, 1 for a whole copy; a text with base labels alone scores BASE_SCORE.
+words may be missing or added). Every
+place of a template holds all its mandatory phrases, so the word of highest IDF among those
+is looked up first, in texts that hold all the others too: each of its places proposes the
+relative positions whose window it stands in. All postings (word, position) of the template
+then vote at the proposed positions, compared with the text by position. A place with
+enough votes is verified last: all mandatory phrases of the template must stand within its
+length and slack. The score is the IDF-weighted share of the template's words that stand at
+their place, 1 for a whole copy; a text with base labels alone scores BASE_SCORE.
 
 A text is read whole and by one task, whatever its length: memory grows with its words (a
 few dozen bytes each) and with the proposed places, never with pairs of them.
@@ -187,7 +186,8 @@ class Index:
     slack: int
     code: dict[bytes, int] = field(default_factory=dict)  # by IDF, the rarest word is 0
     words: list[list[bytes]] = field(default_factory=list)
-    mandatory: list[list[bytes]] = field(default_factory=list)
+    mandatory: list[list[list[int]]] = field(default_factory=list)  # phrases as codes
+    needed: list[set[int]] = field(default_factory=list)  # all words of those
     postings: list[dict[int, np.ndarray]] = field(default_factory=list)  # positions by word
     least: list[int] = field(default_factory=list)
 
@@ -197,7 +197,11 @@ class Index:
         for template in self.templates:
             words = words_of(template.text.encode())
             self.words.append(words)
-            self.mandatory.append([b" ".join(words_of(m.encode())) for m in template.mandatory])
+            phrases = [words_of(m.encode()) for m in template.mandatory]
+            self.mandatory.append([[self.code[w] for w in phrase] for phrase in phrases])
+            self.needed.append({c for phrase in self.mandatory[-1] for c in phrase})
+            if not self.needed[-1]:
+                raise ValueError(f"a template without mandatory phrase: {template.label}")
             codes = np.array([self.code[w] for w in words], np.int32)
             self.postings.append({c: np.flatnonzero(codes == c) for c in sorted(set(codes.tolist()))})
             self.least.append(min(self.votes, len(self.postings[-1])))
@@ -205,51 +209,63 @@ class Index:
     def find(self, words: list[bytes]) -> dict[str, float]:
         """Labels of the templates found, with the best score of each."""
         shared = {self.code[w] for w in self.code.keys() & set(words)}
-        looked_up: dict[int, list[int]] = {}
-        for number, postings in enumerate(self.postings):
-            both = [c for c in postings if c in shared]  # the rarest first
-            if len(both) >= self.least[number]:
-                looked_up[number] = both[: len(both) - self.least[number] + 1]
+        met = [
+            number
+            for number, needed in enumerate(self.needed)
+            if needed <= shared
+            and sum(c in shared for c in self.postings[number]) >= self.least[number]
+        ]
         found: dict[str, float] = {}
-        if not looked_up:
+        if not met:
             return found
         codes = np.fromiter((self.code.get(w, -1) for w in words), np.int32, len(words))
-        places = {c: np.flatnonzero(codes == c) for c in set().union(*looked_up.values())}
-        for number, rare in looked_up.items():
+        for number in met:
             own, label = self.words[number], self.templates[number].label
-            for shift in self.candidates(number, rare, places, codes).tolist():
+            for shift in self.candidates(number, codes).tolist():
                 start = max(0, shift - self.slack)
                 part = words[start : shift + len(own) + self.slack]
-                joined = b" " + b" ".join(part) + b" "
-                if all(b" " + m + b" " in joined for m in self.mandatory[number]):
-                    score = self.score(own, part, shift - start)
-                    found[label] = max(found.get(label, 0.0), score)
+                score = self.score(own, part, shift - start)
+                found[label] = max(found.get(label, 0.0), score)
         return found
 
-    def candidates(
-        self, number: int, rare: list[int], places: dict[int, np.ndarray], codes: np.ndarray
-    ) -> np.ndarray:
-        """Relative positions of text and template with enough distinct words in place."""
-        postings, slack, length = self.postings[number], self.slack, len(self.words[number])
-        met = np.unique(
-            np.concatenate([places[c] - p for c in rare for p in postings[c].tolist()])
+    def candidates(self, number: int, codes: np.ndarray) -> np.ndarray:
+        """Relative positions of text and template with enough distinct words in place and
+        all mandatory phrases near."""
+        slack, length = self.slack, len(self.words[number])
+        rare = np.flatnonzero(codes == min(self.needed[number]))
+        # Windows that hold one of these, as a sweep: places may be many, shifts are not.
+        begins = np.maximum(rare - length - slack + 1, 1 - length)
+        ends = np.minimum(rare + slack + 1, len(codes))
+        size = len(codes) + length
+        edges = np.bincount(begins + length - 1, minlength=size) - np.bincount(
+            ends + length - 1, minlength=size
         )
-        shifts = np.unique(np.concatenate([met - d for d in range(slack + 1)]))
-        framed = np.full(len(codes) + 2 * (length + slack) + 1, -1, np.int32)
-        framed[length + slack : length + slack + len(codes)] = codes
+        shifts = np.flatnonzero(np.cumsum(edges) > 0) - (length - 1)
+        framed = np.full(len(codes) + 2 * (length + slack), -1, np.int32)
+        framed[length : length + len(codes)] = codes
         tally = np.zeros(len(shifts), np.int32)
-        first = np.zeros(len(shifts), bool)  # whether a word stands without any slack
-        for code, positions in postings.items():
+        exact = np.zeros(len(shifts), bool)  # whether a word stands without any slack
+        for code, positions in self.postings[number].items():
             here = np.zeros(len(shifts), bool)
-            for p in positions.tolist():
-                base = shifts + (p + length + slack)
-                exact = framed[base] == code
-                first |= exact
-                here |= exact
+            for at in positions.tolist():
+                base = shifts + (at + length)
+                hit = framed[base] == code
+                exact |= hit
+                here |= hit
                 for d in range(1, slack + 1):
                     here |= framed[base + d] == code
             tally += here
-        return shifts[first & (tally >= self.least[number])]
+        shifts = shifts[exact & (tally >= self.least[number])]
+        for phrase in self.mandatory[number]:
+            if not len(shifts):
+                break
+            starts = np.flatnonzero(codes[: len(codes) - len(phrase) + 1] == phrase[0])
+            for n, code in enumerate(phrase[1:], 1):
+                starts = starts[codes[starts + n] == code]
+            ends = np.append(starts + len(phrase), len(codes) + 2 * (length + slack))
+            first = np.searchsorted(starts, np.maximum(shifts - slack, 0))
+            shifts = shifts[ends[first] <= shifts + length + slack]
+        return shifts
 
     def score(self, own: list[bytes], part: list[bytes], shift: int) -> float:
         total = kept = 0.0
@@ -262,7 +278,8 @@ class Index:
 
 
 def template_words(templates: tuple[Template, ...]) -> list[bytes]:
-    return sorted({w for t in templates for w in words_of(t.text.encode())})
+    parts = [part for t in templates for part in (t.text, *t.mandatory)]
+    return sorted({w for part in parts for w in words_of(part.encode())})
 
 
 def inverse_document_frequencies(
