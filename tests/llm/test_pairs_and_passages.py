@@ -340,3 +340,10 @@ def test_license_in_a_very_long_text(spark):
     got = {r["doc_id"]: r for r in licenses.license_scan(frame(spark, [(1, long), (2, noise(50_000)), (3, None)])).collect()}
     assert got[1]["labels"] == "bsd,mit" and got[1]["score"] == 1 and got[1]["n_words"] == len(long.split()) + 1
     assert got[2]["labels"] == got[3]["labels"] == ""
+
+
+def test_license_phrase_longer_than_the_text():
+    template = licenses.Template("x", "so so so long so so", ("so so so",))
+    index = licenses.Index((template,), {b"so": 1.0, b"long": 2.0}, 1, 3)
+    assert index.find([b"so"]) == index.find([b"so", b"long"]) == index.find([]) == {}
+    assert index.find([b"so"] * 3 + [b"long"]) != {}

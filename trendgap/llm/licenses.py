@@ -259,7 +259,8 @@ class Index:
         for phrase in self.mandatory[number]:
             if not len(shifts):
                 break
-            starts = np.flatnonzero(codes[: len(codes) - len(phrase) + 1] == phrase[0])
+            whole = max(0, len(codes) - len(phrase) + 1)
+            starts = np.flatnonzero(codes[:whole] == phrase[0])
             for n, code in enumerate(phrase[1:], 1):
                 starts = starts[codes[starts + n] == code]
             ends = np.append(starts + len(phrase), len(codes) + 2 * (length + slack))
