@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -210,3 +211,26 @@ def test_nearest_centres(spark):
     assert got[3] == 2 and got[1] == 9
     means = gaps.cluster_means(*points(spark, (1, 0, [1, 0]), (2, 0, [0, 1]), (3, 1, [4, 0])), "key")
     assert sorted(values(means)) == [(0, 0, 0.5), (0, 1, 0.5), (1, 0, 4.0)]
+
+
+def test_the_fit_goes_on_until_rows_and_centres_agree(spark):
+    """26 passes; after 20 of them centres are not yet the means of their rows."""
+    words = random.Random(5)
+    captions = [" ".join(words.choices([f"w{j}" for j in range(30)], k=5)) for _ in range(900)]
+    found = gaps.cluster_captions(
+        insights(spark, [dict(hashtag=f"#t{i:04d}", top_caption=c) for i, c in enumerate(captions)])
+    )
+    rows = values(found.assigned, vector_to_array("features"), "cluster")
+    for number, centre in enumerate(found.centres):
+        mine = [v for v, c in rows if c == number]
+        assert all(sum(xs) / len(mine) == pytest.approx(x, abs=1e-9) for xs, x in zip(zip(*mine), centre))
+
+
+def test_either_of_two_equally_near_clusters_is_nearest(spark):
+    terms = spark.createDataFrame([("a", 0, 1.0), ("b", 1, 1.0)], "k string, term int, weight double")
+    centres = spark.createDataFrame(
+        [(0, 0, 0.5), (0, 1, 0.5), (1, 0, 0.5), (1, 1, 0.5), (2, 1, 1.0)], "cluster bigint, term int, weight double"
+    )
+    members = spark.createDataFrame([("a", 1), ("b", 1)], "k string, cluster bigint")
+    found = gaps.in_nearest_cluster(terms, members, centres, "k")
+    assert sorted(values(found)) == [("a", 1, True), ("b", 1, False)]

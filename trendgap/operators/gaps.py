@@ -16,6 +16,8 @@ from trendgap.functions.values import round_half_up
 from trendgap.sources.storage import discard, materialise
 
 ROWS_PER_TASK = 20_000
+# The fit goes on until no centre moves; the number of passes only ends one that never settles.
+PASSES, STANDSTILL = 1_000, 1e-9
 BILLION = 1_000_000_000.0
 
 
@@ -100,7 +102,8 @@ def cluster_captions(gold: DataFrame, rules: Rules = DEFAULT_RULES) -> Clusterin
     """Assign every captioned hashtag to a cluster.
 
     Passes over the data repeat, so the input and the feature vectors are each written
-    once to shared storage; the fits read those.
+    once to shared storage; the fits read those. The fit ends at a standstill: cut off after
+    a number of passes, rows would be left outside the cluster nearest to them.
     """
     given = materialise(gold, "cluster-input")
     kept, total = captioned(given), given.count()
@@ -113,7 +116,7 @@ def cluster_captions(gold: DataFrame, rules: Rules = DEFAULT_RULES) -> Clusterin
     if k < 2:
         return Clustering(features.withColumn("cluster", F.lit(0)), total, None, stored=(given, features))
     model = KMeans(
-        k=k, seed=rules.seed, featuresCol="features", predictionCol="cluster"
+        k=k, seed=rules.seed, featuresCol="features", predictionCol="cluster", maxIter=PASSES, tol=STANDSTILL
     ).fit(evenly_placed(features, "hashtag", rows))
     assigned = model.transform(features)
     score = None
@@ -164,14 +167,11 @@ def _products(terms: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     return dots.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "dot"))).alias("dots"))
 
 
-def nearest_centres(terms: DataFrame, keys: DataFrame, centres: DataFrame, key: str) -> DataFrame:
-    """key and the cluster whose centre (cluster, term, weight) is nearest, ties to the smaller
-    number: a join of sparse rows with the centres, instead of a pass over dense vectors.
-    `keys` names all rows, as one without weights has no terms. Every cluster of a centre
-    without weights is missing from `centres`, so give such a one a term of NULL."""
+def _distances(terms: DataFrame, keys: DataFrame, centres: DataFrame, key: str) -> DataFrame:
+    """The columns of `keys`, and `away`: per cluster its number and the squared distance (to
+    nine digits, less the squared length of the row, which is the same for all centres)."""
     norms = centres.groupBy("cluster").agg(F.coalesce(F.sum(F.col("weight") * F.col("weight")), F.lit(0.0)).alias("norm"))
     all_norms = norms.agg(F.array_sort(F.collect_list(F.struct("cluster", "norm")))).scalar()
-    # The squared length of the row itself is the same for all centres.
     away = F.transform(
         F.col("all_norms"),
         lambda c: F.struct(
@@ -180,8 +180,26 @@ def nearest_centres(terms: DataFrame, keys: DataFrame, centres: DataFrame, key:
         ),
     )
     dots = _products(terms, centres, key)
-    given = keys.select(key).join(dots, key, "left").withColumn("all_norms", all_norms)
-    return given.select(key, F.array_min(away)["cluster"].alias("cluster"))
+    given = keys.join(dots, key, "left").withColumn("all_norms", all_norms)
+    return given.select(*keys.columns, away.alias("away"))
+
+
+def nearest_centres(terms: DataFrame, keys: DataFrame, centres: DataFrame, key: str) -> DataFrame:
+    """key and the cluster whose centre (cluster, term, weight) is nearest, ties to the smaller
+    number: a join of sparse rows with the centres, instead of a pass over dense vectors.
+    `keys` names all rows, as one without weights has no terms. Every cluster of a centre
+    without weights is missing from `centres`, so give such a one a term of NULL."""
+    away = _distances(terms, keys.select(key), centres, key)
+    return away.select(key, F.array_min("away")["cluster"].alias("cluster"))
+
+
+def in_nearest_cluster(terms: DataFrame, members: DataFrame, centres: DataFrame, key: str) -> DataFrame:
+    """key, cluster, and whether no centre is nearer than that of the row's own cluster. Of
+    centres that are equally near, any will do."""
+    away = _distances(terms, members.select(key, "cluster"), centres, key)
+    own = F.filter("away", lambda c: c["cluster"] == F.col("cluster"))
+    near = F.exists(own, lambda c: c["d"] <= F.array_min("away")["d"] + F.lit(2e-9))
+    return away.select(key, "cluster", near.alias("in_nearest_cluster"))
 
 
 def silhouettes(terms: DataFrame, members: DataFrame, key: str) -> DataFrame:

@@ -810,16 +810,15 @@ def kmeans_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(c, i, float(w)) for c, centre in enumerate(found.centres) for i, w in enumerate(centre) if w],
         "cluster bigint, term int, fitted double",
     )  # clusters times features
-    nearest = gaps.nearest_centres(terms, rows, fitted.withColumnRenamed("fitted", "weight"), "hashtag")
-    nearest = nearest.withColumnRenamed("cluster", "nearest")
+    placed = gaps.in_nearest_cluster(terms, rows, fitted.withColumnRenamed("fitted", "weight"), "hashtag")
     means = gaps.cluster_means(terms, rows, "hashtag")
     both = means.join(fitted, ["cluster", "term"], "full")
     gap = F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("fitted", F.lit(0.0)))
     widest = both.agg(F.coalesce(F.max(gap), F.lit(1.0)) < 1e-3).scalar()  # the fit's tolerance
     clusters = rows.agg(F.count_distinct("cluster")).scalar()
     score = gaps.silhouettes(terms, rows, "hashtag").agg(F.avg("silhouette")).scalar()
-    return rows.join(nearest, "hashtag").select(
-        "hashtag", (F.col("nearest") == F.col("cluster")).alias("in_nearest_cluster"),
+    return placed.select(
+        "hashtag", "in_nearest_cluster",
         widest.alias("centre_is_mean"), clusters.alias("clusters"),
         (F.abs(score - F.lit(found.silhouette)) < 1e-9).alias("score_from_moments"),
     )
