@@ -8,7 +8,7 @@ from trendgap.config import BrandConfig, Rules
 from trendgap.operators import gold, normalise, quality, silver
 from trendgap.plans import medallion
 from trendgap.schemas import FEED_POST, HASHTAG_POST, INSIGHT, POST, RAW_SCRAPE
-from trendgap.sources import posts as files
+from trendgap.sources import posts as files, storage
 
 BRAND = BrandConfig("Own", competitors=("Rival",), hashtags=("#t",))
 
@@ -220,3 +220,24 @@ def test_gold_does_not_depend_on_partitioning(spark):
     frame = silver.silver(posts(spark, *rows))
     results = {tuple(values(gold.gold(frame.repartition(n), BRAND))) for n in (1, 3, 11)}
     assert len(results) == 1
+
+
+def test_insights_are_summed_without_a_sort_of_all_rows(spark, monkeypatch):
+    """Only posts that reach the best rate of their hashtag meet an aggregate that sorts."""
+    stored = []
+    monkeypatch.setattr(gold, "materialise", lambda df, label: (stored.append(df), storage.materialise(df, label))[1])
+    rows = silver.silver(posts(spark, dict(likes=900), dict(post_id="p2", likes=30)))
+    assert values(gold.gold_in_passes(rows, BRAND)) == values(gold.gold(rows, BRAND))
+    gold.top_caption(rows).collect()
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in stored]
+    assert len(plans) == 2 and all("HashAggregate" in p and "SortAggregate" not in p for p in plans)
+
+
+def test_best_post_among_ties_and_unknown_rates(spark):
+    rows = spark.createDataFrame(
+        [("#a", 0.5, "p2", "second"), ("#a", 0.5, "p1", "first"), ("#a", 0.1, "p0", "weak"), ("#b", 0.2, "p3", "known"),
+         ("#b", None, "p4", "unknown"), (None, 0.3, "p5", "untagged")],
+        "hashtag string, engagement_rate double, post_id string, caption string",
+    )
+    want = [("#a", "first", 0.5), ("#b", "unknown", 0.2), (None, "untagged", 0.3)]
+    assert sorted(values(gold.top_caption(rows)), key=str) == sorted(want, key=str)

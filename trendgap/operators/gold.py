@@ -7,11 +7,13 @@ partial aggregates arrive, so a retried task cannot change the last digits.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trendgap.config import DEFAULT_RULES, BrandConfig, Rules
 from trendgap.schemas import INSIGHT
+from trendgap.sources.storage import materialise
 
 # Sentiment scores are summed as whole millionths.
 MICRO = 1_000_000.0
@@ -77,17 +79,41 @@ def best_post() -> tuple[Column, Column]:
     )
 
 
+def lowest_rate() -> Column:
+    """Engagement of the best post, negated; NULL (which comes first) if a post has none."""
+    rate = F.col("engagement_rate")
+    return F.when(F.count(rate) == F.count(F.lit(1)), F.min(-rate)).alias("lowest")
+
+
+def best_posts(silver: DataFrame, sums: DataFrame, *by: str) -> DataFrame:
+    """The rows of `sums` (stored, with `lowest_rate`) with rate and id of the most engaging
+    post, ties to the smallest post id, and its caption as `top_caption`.
+
+    Texts make an aggregate sort all rows that it sees. So numbers are summed first, by
+    hashing, and only the posts that reach the best rate of their group get here.
+    """
+    rates = sums.select(*[F.col(c).alias(f"_{c}") for c in by], "lowest")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    reached = reduce(lambda a, b: a & b, same) & (-F.col("engagement_rate")).eqNullSafe(F.col("lowest"))
+    leaders = silver.select(*by, "engagement_rate", "post_id", "caption").join(rates, reached)
+    place = F.struct((-F.col("engagement_rate")).alias("rate"), "post_id")
+    best = leaders.groupBy(*[F.col(f"_{c}") for c in by]).agg(
+        F.min(place).alias("place"), F.min_by("caption", place).alias("top_caption")
+    )
+    return sums.join(best, reduce(lambda a, b: a & b, same)).drop("lowest", *[f"_{c}" for c in by])
+
+
 def top_caption(silver: DataFrame) -> DataFrame:
-    return silver.groupBy("hashtag").agg(*best_post())
+    rates = silver.groupBy("hashtag").agg(F.max("engagement_rate").alias("engagement_rate"), lowest_rate())
+    found = best_posts(silver, materialise(rates, "best-rates"), "hashtag")
+    return found.select("hashtag", "top_caption", "engagement_rate")
 
 
-def tag_partials(silver: DataFrame, *by: str) -> DataFrame:
-    """Sums and best post per hashtag (or other columns) of some of silver; partials of
-    parts of it add up to the partials of the whole (`fold_partials`)."""
+def tag_sums(silver: DataFrame, *by: str) -> DataFrame:
+    """Sums per hashtag (or other columns), stored. All are numbers."""
     total = F.col("likes") + F.col("comments") + F.col("shares")
     micro = F.round(F.col("sentiment_score") * F.lit(MICRO)).cast("bigint")
-    place = F.struct((-F.col("engagement_rate")).alias("rate"), "post_id")
-    return silver.groupBy(*(by or ("hashtag",))).agg(
+    sums = silver.groupBy(*(by or ("hashtag",))).agg(
         F.sum(total).alias("engagement_sum"),
         F.count(total).alias("engagement_count"),
         F.count(F.lit(1)).alias("post_count"),
@@ -95,10 +121,19 @@ def tag_partials(silver: DataFrame, *by: str) -> DataFrame:
         F.count_if(~F.col("is_competitor")).alias("brand_post_count"),
         F.sum(micro).alias("sentiment_sum"),
         F.count(micro).alias("sentiment_count"),
-        F.min(place).alias("place"),
-        F.min_by("caption", place).alias("top_caption"),
         F.max("engagement_rate").alias("engagement_rate"),
+        lowest_rate(),
     )
+    return materialise(sums, "tag-sums")
+
+
+def tag_partials(silver: DataFrame, *by: str, sums: DataFrame | None = None) -> DataFrame:
+    """Sums and best post per hashtag (or other columns) of some of silver; partials of
+    parts of it add up to the partials of the whole (`fold_partials`). Who gives the `sums`
+    (`tag_sums`) can discard them afterwards."""
+    by = by or ("hashtag",)
+    found = best_posts(silver, tag_sums(silver, *by) if sums is None else sums, *by)
+    return found.select(*by, *SUMS, "place", "top_caption", "engagement_rate")
 
 
 SUMS = (
@@ -117,11 +152,7 @@ def fold_partials(partials: DataFrame) -> DataFrame:
     )
 
 
-def gold_from_partials(
-    partials: DataFrame, brand: BrandConfig, rules: Rules = DEFAULT_RULES
-) -> DataFrame:
-    """The rows of `gold` over all silver that the partials came from."""
-    folded = fold_partials(partials)
+def _insights(folded: DataFrame, brand: BrandConfig, rules: Rules) -> DataFrame:
     mean = F.col("engagement_sum").cast("double") / F.col("engagement_count")
     feeling = F.col("sentiment_sum").cast("double") / F.lit(MICRO) / F.col("sentiment_count")
     totals = folded.withColumns(
@@ -130,12 +161,23 @@ def gold_from_partials(
     return with_signals(totals, brand, rules).select(*INSIGHT.names)
 
 
-def gold(silver: DataFrame, brand: BrandConfig, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """All insight columns from one scan and one shuffle.
+def gold_from_partials(
+    partials: DataFrame, brand: BrandConfig, rules: Rules = DEFAULT_RULES
+) -> DataFrame:
+    """The rows of `gold` over all silver that the partials came from."""
+    return _insights(fold_partials(partials), brand, rules)
 
-    Totals and best post are aggregates of the same grouping. Ranking the posts in a
-    window and joining the winners to the totals gives the same rows, but reads silver
-    twice and shuffles it twice.
-    """
+
+def gold(silver: DataFrame, brand: BrandConfig, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """All insight columns from one scan and one shuffle, for silver that tasks can sort: the
+    best post is an aggregate of texts, before which each task sorts its rows."""
     totals = tag_totals(silver, rules, *best_post())
     return with_signals(totals, brand, rules).select(*INSIGHT.names)
+
+
+def gold_in_passes(
+    silver: DataFrame, brand: BrandConfig, rules: Rules = DEFAULT_RULES, sums: DataFrame | None = None
+) -> DataFrame:
+    """The rows of `gold` for silver of any size: one pass sums numbers per hashtag, a second
+    one looks at the posts that reach the best rate of theirs. No task sorts all its rows."""
+    return _insights(tag_partials(silver, sums=sums), brand, rules)

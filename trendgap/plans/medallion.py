@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trendgap.config import DEFAULT_RULES, DEFAULT_TABLES, BrandConfig, Rules, TableNames
 from trendgap.operators import feedback, gaps, quality, serving, suggestions
-from trendgap.operators.gold import gold
+from trendgap.operators.gold import gold_in_passes, tag_sums
 from trendgap.operators.silver import silver
 from trendgap.schemas import GAP_CLUSTER, INSIGHT, STATUS_EVENT, SUGGESTION
 from trendgap.sources import storage
@@ -23,7 +23,7 @@ def silver_from(posts: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
 def insights_from(
     posts: DataFrame, brand: BrandConfig, rules: Rules = DEFAULT_RULES
 ) -> DataFrame:
-    return gold(silver_from(posts, rules), brand, rules)
+    return gold_in_passes(silver_from(posts, rules), brand, rules)
 
 
 def refresh_tables(
@@ -36,8 +36,10 @@ def refresh_tables(
     spark = posts.sparkSession
     storage.ensure_database(spark, tables)
     storage.overwrite_table(silver_from(posts, rules), tables.full("silver"))
-    insights = gold(spark.table(tables.full("silver")), brand, rules)
-    storage.overwrite_table(insights, tables.full("gold"))
+    rows = spark.table(tables.full("silver"))
+    sums = tag_sums(rows)
+    storage.overwrite_table(gold_in_passes(rows, brand, rules, sums), tables.full("gold"))
+    storage.discard(sums)
 
 
 def refresh_gaps(

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from trendgap.config import DEFAULT_RULES, DEFAULT_TABLES, BrandConfig, Rules, TableNames
 from trendgap.operators import quality
-from trendgap.operators.gold import fold_partials, gold, gold_from_partials, tag_partials
+from trendgap.operators.gold import fold_partials, gold_from_partials, gold_in_passes, tag_partials, tag_sums
 from trendgap.operators.silver import hashtag_posts
 from trendgap.schemas import HASHTAG_POST, INSIGHT, PARTIAL, POST
 from trendgap.sources import storage
@@ -97,7 +97,9 @@ def write_partials(silver: DataFrame, paths: Paths, batch: int) -> None:
     """Partial insights of one micro-batch in a folder of its own: a replayed batch
     replaces what it wrote before."""
     folder = f"{paths.table('partials')}/{runs.name(batch, batch)}"
-    tag_partials(silver).write.mode("overwrite").parquet(folder)
+    sums = tag_sums(silver)
+    tag_partials(silver, sums=sums).write.mode("overwrite").parquet(folder)
+    storage.discard(sums)
 
 
 def read_partials(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -158,7 +160,7 @@ def recomputed_gold(
     spark: SparkSession, paths: Paths, brand: BrandConfig, rules: Rules = DEFAULT_RULES
 ) -> DataFrame:
     """The same insights from all of silver, as a check of the folded ones."""
-    return gold(read_silver(spark, paths), brand, rules)
+    return gold_in_passes(read_silver(spark, paths), brand, rules)
 
 
 def update(
