@@ -1324,7 +1324,7 @@ def stream_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_gold_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold folded from seven batches, merged by twos; the batches after a merge run again."""
     paths = stream.Paths(shared_path(spark, "landing"), shared_path(spark, "layers"))
-    rows = _silver(spark, sf_dir)
+    rows = materialise(_silver(spark, sf_dir), "silver")  # or every batch joins posts anew
     for number in range(7):
         for _ in range(2 if number in (2, 4, 6) else 1):
             stream.write_partials(rows.filter(F.col("comments") == number + 1), paths, number)
