@@ -52,6 +52,18 @@ def test_first_brands_equal_the_chain_of_tests(spark):
     assert found(spark, texts, known) == [b for (b,) in want]
 
 
+def test_a_short_list_is_tested_as_texts_are_read(spark, monkeypatch):
+    """The same rows as by the index, without a shuffle."""
+    known = table(spark, ("Plum", 1), ("Mamaearth", 0), ("x", 5), ("é!", 2), ("", 0), ("PLUM", 1), (None, 0))
+    texts = ["so plump", "MAMAEARTH and plum", "x", None, "", "a é! x", "plu m"]
+    df = spark.createDataFrame([(t,) for t in texts], "caption string")
+    plan = brands.first_brands(df, F.lower("caption"), known)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Subquery")[0]
+    short = found(spark, texts, known)
+    monkeypatch.setattr(brands, "SHORT_LIST", 0)
+    assert found(spark, texts, known) == short == ["PLUM", "Mamaearth", "x", UNKNOWN_BRAND, UNKNOWN_BRAND, "é!", UNKNOWN_BRAND]
+
+
 def test_a_gram_of_all_texts_meets_few_names(spark):
     """Names share a gram that every text has; each is posted under a rarer one."""
     known = table(spark, *[(f"the {k:03}", k) for k in range(200)])

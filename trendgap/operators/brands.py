@@ -11,6 +11,7 @@ from trendgap.operators.gold import MICRO, tag_partials
 from trendgap.sources.storage import materialise
 
 GRAM = 3
+SHORT_LIST = 64
 
 
 def grams(text: Column, size: int) -> Column:
@@ -51,10 +52,15 @@ def first_brands(texts: DataFrame, lower_text: Column, brands: DataFrame) -> Dat
     test decides. A trigram that a third of all texts have is split by Spark, its join
     being skewed on one side only. Names without characters occur nowhere; a NULL text has
     no brand.
+
+    A list of up to SHORT_LIST names is tested name by name as the texts are read: grams of
+    every text would take longer, and nothing has to be stored or shuffled.
     """
     known = brands.filter(F.length("name") > 0).select(F.lower("name").alias("key"), "name", "priority")
     known = known.groupBy("key").agg(F.min(F.struct("priority", "name")).alias("b"))
     known = materialise(known.select("key", "b.name", "b.priority"), "brands")
+    if known.count() <= SHORT_LIST:
+        return _first_of_few(texts, lower_text, known)
     rows = materialise(
         texts.select(
             F.monotonically_increasing_id().alias("row"), lower_text.alias("haystack"),
@@ -79,6 +85,14 @@ def first_brands(texts: DataFrame, lower_text: Column, brands: DataFrame) -> Dat
     )
 
 
+def _first_of_few(texts: DataFrame, lower_text: Column, known: DataFrame) -> DataFrame:
+    in_order = known.agg(F.array_sort(F.collect_list(F.struct("priority", "name", "key")))).scalar()
+    given = texts.select(F.struct(*[F.col(f"`{c}`") for c in texts.columns]).alias("given"), lower_text.alias("haystack"))
+    hits = F.filter("in_order", lambda b: F.contains("haystack", b["key"]))
+    found = given.withColumn("in_order", in_order).withColumn("hit", F.get(hits, F.lit(0)))
+    return found.select("given.*", F.coalesce("hit.name", F.lit(UNKNOWN_BRAND)).alias("brand"))
+
+
 # --- Insights for every brand ----------------------------------------------------------
 
 
