@@ -241,3 +241,11 @@ def test_best_post_among_ties_and_unknown_rates(spark):
     )
     want = [("#a", "first", 0.5), ("#b", "unknown", 0.2), (None, "untagged", 0.3)]
     assert sorted(values(gold.top_caption(rows)), key=str) == sorted(want, key=str)
+
+
+def test_landed_files_are_compressed_and_read_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "LINES_PER_FILE", 2)
+    rows = posts(spark, *[dict(post_id=f"p{i}", caption=None if i % 2 else "a caption of use") for i in range(5)]).coalesce(1)
+    files.write_posts(rows, path := str(tmp_path / "landing"))
+    assert len(list((tmp_path / "landing").glob("*.json.gz"))) == 3
+    assert sorted(values(files.read_posts(spark, path)), key=str) == sorted(values(rows), key=str)

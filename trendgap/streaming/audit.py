@@ -101,7 +101,8 @@ def start_silver_audit(
 
     def keep(rows: DataFrame, batch: int) -> None:
         seen = Observation()
-        counted = hashtag_posts(rows, rules).observe(
+        judged = hashtag_posts(rows, rules).select("hashtag", "sentiment_score")  # what the rules look at
+        counted = judged.observe(
             seen, F.count(F.lit(1)).alias("rows"), *_counts(quality.SILVER_RULES, F.lit(True))
         )
         counted.write.format("noop").mode("overwrite").save()
