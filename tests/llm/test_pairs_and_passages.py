@@ -10,6 +10,7 @@ import xxhash
 
 from tests.llm.conftest import PASSAGE, frame, pairs
 from trendgap.llm import decontamination, licenses, simhash, suffixes
+from trendgap.llm.common import stored
 
 
 def small(text):
@@ -145,6 +146,21 @@ def test_repeated_passages_in_dense_text(spark, seed):
     assert digest(found) == sorted(map(repr, brute_repeats(rows, 24)))
 
 
+def test_repeated_blocks_are_not_looked_up_by_what_they_share(spark, monkeypatch):
+    """Blocks 0 to 39 share an inner string, 0 to 29 the outer one too; 50 and 51 are equal."""
+    rows = [(7, 1 if k < 30 else k, k, k % 5) for k in range(40)] + [(8, 3, 50, 0), (8, 3, 51, 0), (9, 4, 60, 0)]
+    plans = []
+    monkeypatch.setattr(
+        suffixes, "stored",
+        lambda df, label: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), stored(df, label))[1],
+    )
+    repeated, still_open = suffixes.judge(spark.createDataFrame(rows, suffixes.BLOCK), "test")
+    assert sorted(map(tuple, repeated.collect())) == [(k, k % 5) for k in range(30)] + [(50, 0), (51, 0)]
+    left = sorted(r["row"] for r in still_open.collect())
+    assert left[0] < 30 and left[1:] == list(range(30, 40))
+    assert not any("outer#" in line for plan in plans for line in plan.splitlines() if "Join" in line)
+
+
 def test_texts_without_repeats_keep_their_columns(spark, odd, nothing):
     left = suffixes.without_repeats(odd)
     assert left.schema == odd.schema and left.count() == odd.count()
