@@ -249,3 +249,21 @@ def test_landed_files_are_compressed_and_read_back(spark, tmp_path, monkeypatch)
     files.write_posts(rows, path := str(tmp_path / "landing"))
     assert len(list((tmp_path / "landing").glob("*.json.gz"))) == 3
     assert sorted(values(files.read_posts(spark, path)), key=str) == sorted(values(rows), key=str)
+
+
+def test_posts_that_lead_no_hashtag_are_dropped_before_their_join(spark):
+    """Of order lines joined with parts, only those that may be the best reach the join."""
+    rows = [
+        dict(post_id="a", hashtags=["#x"], likes=900), dict(post_id="b", hashtags=["#x"], likes=30),
+        dict(post_id="c", hashtags=["#y"], likes=400), dict(post_id="d", hashtags=["#y"], likes=40),
+    ]
+    given = posts(spark, *rows)
+    captions = given.select("post_id", "caption").hint("merge")
+    joined = silver.silver(given.drop("caption").join(captions, "post_id").select(*POST.names))
+    sums = gold.tag_sums(joined)
+    found = gold.best_posts(joined, sums, "hashtag")
+    assert sorted((r["hashtag"], r["place"]["post_id"]) for r in found.collect()) == [("#x", "a"), ("#y", "c")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    bound = [k for k, line in enumerate(plan) if "Filter" in line and "scalar-subquery" in line]
+    join = [k for k, line in enumerate(plan) if "Join Inner" in line and "post_id" in line]
+    assert bound and join and min(bound) > min(join)

@@ -90,8 +90,13 @@ def best_posts(silver: DataFrame, sums: DataFrame, *by: str) -> DataFrame:
     post, ties to the smallest post id, and its caption as `top_caption`.
 
     Texts make an aggregate sort all rows that it sees. So numbers are summed first, by
-    hashing, and only the posts that reach the best rate of their group get here.
+    hashing, and only the posts that reach the best rate of their group get here. Posts
+    below the best rates of all groups are the best of none: that test needs no group, so it
+    is done where the posts come from, before whatever shuffles them.
     """
+    least = sums.agg(F.max("lowest")).scalar()
+    rate = F.col("engagement_rate")
+    silver = silver.filter((-rate <= least) | rate.isNull())
     rates = sums.select(*[F.col(c).alias(f"_{c}") for c in by], "lowest")
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
     reached = reduce(lambda a, b: a & b, same) & (-F.col("engagement_rate")).eqNullSafe(F.col("lowest"))
