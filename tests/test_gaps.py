@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trendgap.config import Rules
 from trendgap.operators import gaps
+from trendgap.sources.storage import materialise
 from trendgap.schemas import GAP_CLUSTER, INSIGHT
 
 
@@ -144,6 +145,21 @@ def test_tfidf_terms_match_plain_loops(spark):
     assert gaps.tfidf_terms(frame.limit(0), "id", "t").isEmpty()
 
 
+def test_terms_are_counted_without_a_shuffle_of_pairs(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(
+        gaps, "materialise",
+        lambda df, label: (plans.update({label: df._jdf.queryExecution().executedPlan().toString()}), materialise(df, label))[1],
+    )
+    frame = spark.createDataFrame([(1, "b a b"), (2, " "), (None, "a")], "id bigint, t string")
+    found = values(gaps.tfidf_terms(frame, "id", "t").select("id", "term", "tf", "df"))
+    assert sorted(found, key=str) == [(1, "a", 1, 2), (1, "b", 2, 1), (None, "a", 1, 2)]
+    assert "Exchange" not in plans["term-counts"]
+    # Rows of one key are one document for its counts.
+    found = values(gaps.tfidf_terms(frame.union(frame.limit(1)), "id", "t").select("id", "term", "tf", "df"))
+    assert sorted(found, key=str) == [(1, "a", 2, 2), (1, "b", 4, 1), (None, "a", 1, 2)]
+
+
 def test_a_term_of_every_document_is_split_over_tasks(spark):
     docs = spark.range(0, 60_000, 1, 4).select(
         "id", F.concat(F.lit("hot rare"), (F.col("id") % 2003).cast("string"))

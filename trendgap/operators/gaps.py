@@ -44,31 +44,51 @@ def fit_text(gold: DataFrame, rules: Rules = DEFAULT_RULES) -> PipelineModel:
     return Pipeline(stages=text_stages(rules)).fit(captioned(gold))
 
 
+def term_counts(words: str) -> tuple[Column, Column, Column]:
+    """Three columns that build on each other: the words in order, where each term begins among
+    them, and an array of the terms with their counts, after the document itself under NULL."""
+    ordered = F.sort_array(words)
+    n = F.size("_ordered")
+    at = F.filter(
+        F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: (i == 0) | (F.get("_ordered", i) != F.get("_ordered", i - 1)),
+    )
+    terms = F.transform(
+        "_at",
+        lambda i, k: F.struct(
+            F.get("_ordered", i).alias("term"),
+            (F.coalesce(F.get("_at", k + 1), n) - i).cast("bigint").alias("tf"),
+        ),
+    )
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("bigint").alias("tf")))
+    return ordered, at, F.concat(itself, terms)
+
+
 def tfidf_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Exact TF-IDF weight of every term in every document, without hashing.
 
     One pass over the texts counts the terms of each document, and the document itself
-    under a term of NULL. Counts and document frequencies are stored, so both sides of
-    their join are bare shuffles and adaptive execution splits the rows of a term that
-    most documents have.
+    under a term of NULL. That needs no shuffle, unless a key has several rows. Counts and
+    document frequencies are stored, so both sides of their join are bare shuffles and
+    adaptive execution splits the rows of a term that most documents have.
     """
     words = tokenise(docs.select(key, text).filter(F.col(text).isNotNull()), text)
-    counted = F.concat(F.array(F.lit(None).cast("string")), "words")
+    ordered, at, terms = term_counts("words")
+    counted = words.select(key, ordered.alias("_ordered")).withColumn("_at", at)
     # Outer, or Spark tests the size of the list below the tokeniser and runs that again.
-    counts = materialise(
-        words.select(key, F.explode_outer(counted).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("tf")),
-        "term-counts",
-    )
+    each = counted.select(key, F.explode_outer(terms).alias("_each")).select(key, "_each.term", "_each.tf")
+    if not docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        each = each.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    counts = materialise(each, "term-counts")
     found_in = materialise(
         counts.filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df")),
         "document-frequencies",
     )
     n_docs = counts.filter(F.col("term").isNull()).agg(F.coalesce(F.sum("tf"), F.lit(0))).scalar()
     idf = F.log((n_docs + F.lit(1)) / (F.col("df") + F.lit(1)))
-    return counts.join(found_in, "term").select(
-        key, "term", "tf", "df", (F.col("tf") * idf).alias("tfidf")
+    weighed = found_in.withColumn("_idf", idf)  # once per term, not per document
+    return counts.join(weighed, "term").select(
+        key, "term", "tf", "df", (F.col("tf") * F.col("_idf")).alias("tfidf")
     )
 
 
