@@ -34,6 +34,15 @@ def test_entry(spark):
     assert entry(spark).count() > 0
 
 
+def test_replies_are_judged_once_for_all_brands(spark, monkeypatch):
+    from trendgap.operators import suggestions
+
+    rounds, judge_strict = [], suggestions.judge_strict
+    monkeypatch.setattr(suggestions, "judge_strict", lambda *given: rounds.append(given) or judge_strict(*given))
+    queries()["stored_suggestions_of_brands"](spark, SF_DIR)
+    assert len(rounds) == 2
+
+
 def test_insights_read_once_and_shuffle_once(spark, tmp_path):
     from trendgap.operators.gold import gold
     from trendgap.plans import fixtures as fx

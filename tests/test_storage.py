@@ -122,6 +122,25 @@ def test_an_append_reads_only_the_folders_of_its_keys(spark, tables):
     assert len(added) == 1 and read and spark.table(name).count() == 301
 
 
+def test_a_repeated_append_shuffles_keys_and_digests_only(spark, tables, monkeypatch):
+    storage.ensure_database(spark, tables)
+    name, batch = tables.full("events"), rows(spark, *[(k, "x", "value") for k in range(300)])
+    storage.append_new(batch, name, "k")
+    before, stored, materialise = set(spark.table(f"{name}_ledger").inputFiles()), [], storage.materialise
+
+    def spy(frame, label):
+        out = materialise(frame, label)
+        stored.append((frame, out.count()))
+        return out
+
+    monkeypatch.setattr(storage, "materialise", spy)
+    storage.append_new(batch, name, "k")
+    assert set(spark.table(f"{name}_ledger").inputFiles()) == before
+    for frame, count in stored:
+        if "Exchange" in frame._jdf.queryExecution().executedPlan().toString():
+            assert "v:string" not in frame.schema.simpleString() and count == 0
+
+
 def test_rows_of_a_plain_table_are_taken_in(spark, tables):
     storage.ensure_database(spark, tables)
     name = tables.full("events")

@@ -116,6 +116,11 @@ def test_score_summary(spark):
     assert values(suggestions.score_summary(accepted)) == [(0, 86.67, 94)]
 
 
+def test_each_key_of_a_suggestion_is_read_once(spark):
+    plan = suggestions.judge_strict(replies(spark, [item()] * 3))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructField(caption,VariantType") == 1 and "$." not in plan
+
+
 def test_storing_replies(spark, tables):
     content = [item()] * 3
     first = medallion.store_replies(replies(spark, content, "bad"), BRAND, tables=tables)

@@ -155,35 +155,49 @@ def with_value(replies: DataFrame) -> DataFrame:
     )
 
 
-def _read_item(element: Column) -> Column:
-    """Everything the checks and the table need of one suggestion, in one pass."""
-
-    def field(key: str, kind: str) -> Column:
-        return F.try_variant_get(element, f"$.{key}", kind)
-
-    # A JSON null is a variant; only a missing key gives NULL here.
-    present = [field(key, "variant").isNotNull() for key in REQUIRED_KEYS]
-    score, as_text = field("viral_score", "variant"), field("viral_score", "string")
-    kind = F.schema_of_variant(score)
-    number = field("viral_score", "double")
-    whole = F.when(kind == "STRING", as_text.try_cast("int")).otherwise(number.try_cast("int"))
-    blank = (
-        as_text.isNull()
-        | as_text.isin("", "{}", "[]")
-        | F.coalesce((kind != "STRING") & (number == 0.0), F.lit(False))
-    )
-    return F.struct(
-        F.startswith(F.schema_of_variant(element), F.lit("OBJECT")).alias("is_object"),
-        reduce(lambda a, b: a & b, present).alias("is_complete"),
-        field("caption", "string").alias("caption"),
-        field("hashtags", "array<string>").alias("tag_list"),
-        field("hashtags", "string").alias("tag_text"),
-        field("image_prompt", "string").alias("image_prompt"),
-        whole.alias("score"),
-        # The lenient reading: missing, null, zero, false or empty count as unscored.
-        F.when(blank, F.lit(DEFAULT_SCORE)).otherwise(whole).alias("filled_score"),
-        field("rationale", "string").alias("rationale"),
-    )
+def _read_items(value: Column) -> Column:
+    """Everything the checks and the table need of each suggestion of an array.
+
+    Keys are looked up once, by one cast of the whole array; an element that is no object is
+    NULL then. What several results need is a field of the step before, as a lambda computes
+    an expression again wherever it stands.
+    """
+
+    def read(field: Column, kind: str) -> Column:
+        return F.try_variant_get(field, "$", kind)
+
+    def parts(item: Column) -> Column:
+        return F.struct(
+            item.alias("raw"),
+            read(item["hashtags"], "array<string>").alias("tag_list"),
+            (F.schema_of_variant(item["viral_score"]) == "STRING").alias("is_text"),
+            read(item["viral_score"], "string").alias("text"),
+            read(item["viral_score"], "double").alias("number"),
+        )
+
+    def results(part: Column) -> Column:
+        raw, as_text, number = part["raw"], part["text"], part["number"]
+        is_text = F.coalesce(part["is_text"], F.lit(False))
+        # A JSON null is a variant; only a missing key gives NULL here.
+        present = [raw[key].isNotNull() for key in REQUIRED_KEYS]
+        blank = as_text.isNull() | as_text.isin("", "{}", "[]") | (
+            ~is_text & F.coalesce(number == 0.0, F.lit(False))
+        )
+        return F.struct(
+            raw.isNotNull().alias("is_object"),
+            reduce(lambda a, b: a & b, present).alias("is_complete"),
+            read(raw["caption"], "string").alias("caption"),
+            part["tag_list"].alias("tag_list"),
+            F.when(part["tag_list"].isNull(), read(raw["hashtags"], "string")).alias("tag_text"),
+            read(raw["image_prompt"], "string").alias("image_prompt"),
+            F.when(is_text, as_text.try_cast("int")).otherwise(number.try_cast("int")).alias("score"),
+            # The lenient reading: missing, null, zero, false or empty count as unscored.
+            blank.alias("is_blank"),
+            read(raw["rationale"], "string").alias("rationale"),
+        )
+
+    fields = ", ".join(f"{key}: variant" for key in REQUIRED_KEYS)
+    return F.transform(F.transform(read(value, f"array<struct<{fields}>>"), parts), results)
 
 
 def with_items(replies: DataFrame) -> DataFrame:
@@ -192,12 +206,11 @@ def with_items(replies: DataFrame) -> DataFrame:
     The result passes through an array of one. Filters on what was read stay above it;
     below, they would read every reply again for each condition.
     """
-    elements = F.try_variant_get("value", "$", "array<variant>")
     read = with_value(replies).select(
         *replies.columns,
         F.struct(
             F.col("value").isNotNull().alias("is_json"),
-            F.transform(elements, _read_item).alias("items"),
+            _read_items(F.col("value")).alias("items"),
         ).alias("read"),
     )
     return read.select(*replies.columns, F.inline(F.array("read")))
@@ -220,6 +233,10 @@ def judge_strict(replies: DataFrame, per_reply: int = PER_REPLY) -> DataFrame:
     return with_items(replies).withColumn("reason", reason)
 
 
+def _filled_score(item: Column) -> Column:
+    return F.when(item["is_blank"], F.lit(DEFAULT_SCORE)).otherwise(item["score"])
+
+
 def judge_lenient(replies: DataFrame) -> DataFrame:
     """A reply passes with one object or more and every score readable or blank."""
     items = F.col("items")
@@ -227,12 +244,12 @@ def judge_lenient(replies: DataFrame) -> DataFrame:
         F.when(~F.col("is_json"), "not JSON")
         .when(items.isNull() | (F.size(items) < 1), "not a filled array")
         .when(F.exists(items, lambda i: ~i["is_object"]), "suggestion is not an object")
-        .when(F.exists(items, lambda i: i["filled_score"].isNull()), "score is not a whole number")
+        .when(F.exists(items, lambda i: _filled_score(i).isNull()), "score is not a whole number")
     )
     return with_items(replies).withColumn("reason", reason)
 
 
-def _each_item(judged: DataFrame, items: Column, tags: Column, score: str) -> DataFrame:
+def _each_item(judged: DataFrame, items: Column, tags: Column, score: Column) -> DataFrame:
     """One row per suggestion of the accepted replies, in the order of the reply."""
     carried = [c for c in judged.columns if c not in ("content", "is_json", "items", "reason")]
     passed = judged.filter(F.col("reason").isNull())
@@ -243,7 +260,7 @@ def _each_item(judged: DataFrame, items: Column, tags: Column, score: str) -> Da
         "item.caption",
         tags.alias("hashtags"),
         "item.image_prompt",
-        F.col(f"item.{score}").alias("viral_score"),
+        score.alias("viral_score"),
         "item.rationale",
     )
 
@@ -251,13 +268,13 @@ def _each_item(judged: DataFrame, items: Column, tags: Column, score: str) -> Da
 def accepted(judged: DataFrame) -> DataFrame:
     """Suggestions of strictly judged replies; a single tag becomes a list of one."""
     tags = F.coalesce("item.tag_list", F.array("item.tag_text"))
-    return _each_item(judged, F.col("items"), tags, "score")
+    return _each_item(judged, F.col("items"), tags, F.col("item.score"))
 
 
 def filled(judged: DataFrame, top_tag: Column, keep: int = PER_REPLY) -> DataFrame:
     """First `keep` suggestions of leniently judged replies, gaps filled with defaults."""
     tags = F.coalesce("item.tag_list", F.array(top_tag))
-    return _each_item(judged, F.slice("items", 1, keep), tags, "filled_score")
+    return _each_item(judged, F.slice("items", 1, keep), tags, _filled_score(F.col("item")))
 
 
 def quarantined(judged: DataFrame) -> DataFrame:

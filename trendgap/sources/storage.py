@@ -157,43 +157,50 @@ def append_new(df: DataFrame, table: str, *keys: str, volatile: tuple[str, ...]
 
     Rows live in `<table>_ledger`, in folders by a hash of their keys, and `table` is a view
     of it: an append reads the keys and digests of the folders that its own keys fall in,
-    nothing else.
+    nothing else. Keys and digests alone are compared, in one aggregate; of whole rows only
+    those are shuffled that are to be stored.
     """
     spark, ledger = df.sparkSession, f"{table}_ledger"
     _take_in(spark, table, keys, volatile)
     other = F.when(_complete(keys), F.lit("")).otherwise(F.col(CONTENT)).alias("_other")
-    marked = _marked(df, keys, volatile).withColumn("_other", other)
     # Written apart first: a table cannot be read and appended to in one job.
-    first = materialise(
-        marked.groupBy(BUCKET, *keys, "_other").agg(
-            F.min(CONTENT).alias("_least"), F.max(CONTENT).alias("_most"),
-            F.min_by(F.struct(*df.columns), CONTENT).alias("_given"),
-        ),
-        "new-rows",
+    marked = materialise(
+        _marked(df, keys, volatile).select("*", other, F.monotonically_increasing_id().alias("_row")),
+        "marked-rows",
     )
-    judged, done = first.withColumn("_held", F.lit(None).cast("string")), [first]
-    if spark.catalog.tableExists(ledger):
-        met = sorted(r[BUCKET] for r in first.select(BUCKET).distinct().collect())  # BUCKETS at most
-        held = spark.table(ledger).filter(F.col(BUCKET).isin(met)).select(
-            BUCKET, *keys, other, F.col(CONTENT).alias("_held")
-        )
-        judged = materialise(
-            first.alias("n").join(held.alias("s"), _same("n", "s", keys), "left").select("n.*", "s._held"),
-            "judged-rows",
+    met = marked.select(
+        BUCKET, *keys, "_other", "_row", F.col(CONTENT).alias("_new"), F.lit(None).cast("string").alias("_old")
+    )
+    known = spark.catalog.tableExists(ledger)
+    if known:
+        folders = sorted(r[BUCKET] for r in marked.select(BUCKET).distinct().collect())  # BUCKETS at most
+        held = spark.table(ledger).filter(F.col(BUCKET).isin(folders)).select(
+            BUCKET, *keys, other, F.col(CONTENT).alias("_old")
         )
-        done.append(judged)
-    fresh = judged.filter("_held IS NULL").select("_given.*", F.col("_least").alias(CONTENT), BUCKET)
-    fresh.hint("rebalance", BUCKET).write.mode("append").partitionBy(BUCKET).format("parquet").saveAsTable(ledger)
+        met = met.unionByName(held, allowMissingColumns=True)
+    judged = met.groupBy(BUCKET, *keys, "_other").agg(
+        F.min("_new").alias("_least"), F.max("_new").alias("_most"), F.min_by("_row", "_new").alias("_row"),
+        F.max("_old").alias("_held"),
+    ).withColumn("_stands", F.coalesce("_held", "_least"))
+    # Neither is true of a key that this batch does not have.
+    is_fresh = F.col("_held").isNull()
+    is_clash = F.coalesce((F.col("_least") != F.col("_stands")) | (F.col("_most") != F.col("_stands")), F.lit(False))
+    open_keys = materialise(judged.filter(is_fresh | is_clash), "open-keys")
+    found = open_keys.agg(F.count_if(is_fresh).alias("fresh"), F.count_if(is_clash).alias("clashing")).first()
+    if found["fresh"] or not known:
+        rows = marked
+        if found["fresh"] < marked.count():
+            rows = marked.join(open_keys.filter(is_fresh).select("_row"), "_row", "left_semi")
+        fresh = rows.select(*df.columns, CONTENT, BUCKET).hint("rebalance", BUCKET)
+        fresh.write.mode("append").partitionBy(BUCKET).format("parquet").saveAsTable(ledger)
     shown = ", ".join(f"`{c}`" for c in df.columns)
     spark.sql(f"CREATE VIEW IF NOT EXISTS {table} AS SELECT {shown} FROM {ledger}")
-    stands = F.coalesce("_held", "_least")
-    clashing = judged.filter((F.col("_least") != stands) | (F.col("_most") != stands))
-    if not clashing.isEmpty():
-        kept = clashing.select(BUCKET, *keys, "_other", stands.alias("_stands"))
+    if found["clashing"]:
+        kept = open_keys.filter(is_clash).select(BUCKET, *keys, "_other", "_stands")
         pairs = marked.alias("n").join(kept.alias("s"), _same("n", "s", keys)).filter(f"n.{CONTENT} <> s._stands")
         clashes = pairs.select(*[f"n.`{c}`" for c in df.columns], F.col(f"n.{CONTENT}").alias("clash"))
         append_new(clashes, f"{table}_clashes", *keys, "clash", volatile=volatile)
-    discard(*done)
+    discard(marked, open_keys)
 
 
 def _same(left: str, right: str, keys: tuple[str, ...]) -> Column:
