@@ -1,5 +1,6 @@
 import pytest
 from conftest import values
+from pyspark.sql import DataFrameWriter, functions as F
 from test_gaps import varied
 from test_posts import BRAND, posts
 
@@ -176,3 +177,73 @@ def test_an_unfinished_version_is_not_read(spark, tmp_path):
     assert storage.newest_version(spark, path) == first
     second = storage.write_version(spark.createDataFrame([(2,)], "a int"), path)
     assert storage.newest_version(spark, path) == second and values(spark.read.parquet(second)) == [(2,)]
+
+
+def watched(monkeypatch):
+    """What is stored for later passes and what is appended to a table, each with its plan."""
+    stored, appended, materialise, save = [], [], storage.materialise, DataFrameWriter.saveAsTable
+
+    def spy(frame, label):
+        stored.append(frame)
+        return materialise(frame, label)
+
+    def saved(writer, name, *args, **more):
+        files = int(writer._spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))
+        appended.append((writer._df._jdf.queryExecution().executedPlan().toString(), files))
+        return save(writer, name, *args, **more)
+
+    monkeypatch.setattr(storage, "materialise", spy)
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", saved)
+    return stored, appended
+
+
+def test_an_append_shuffles_numbers_only_and_sorts_no_rows(spark, tables, monkeypatch):
+    storage.ensure_database(spark, tables)
+    name = tables.full("events")
+    stored, appended = watched(monkeypatch)
+    limit = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    for first in (0, 1000):  # all new, then half of them
+        storage.append_new(rows(spark, *[(k, "x", f"value {k}") for k in range(first, first + 2000)]), name, "k")
+    assert sorted(values(spark.table(name))) == [(k, "x", f"value {k}") for k in range(3000)]
+    assert len(appended) == 2
+    for plan, files in appended:
+        assert "hashpartitioning" not in plan.split("BroadcastExchange")[0] and "REBALANCE" not in plan
+        assert files > storage.BUCKETS
+    shuffled = [f for f in stored if "Exchange" in f._jdf.queryExecution().executedPlan().toString()]
+    assert shuffled and all({kind for _, kind in f.dtypes} == {"bigint"} for f in shuffled)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == limit
+
+
+@pytest.mark.parametrize("one_hash", [False, True])
+def test_appends_of_repeats_nulls_and_clashes_of_one_hash(spark, tables, monkeypatch, one_hash):
+    if one_hash:  # keys that share a hash are told apart by what they are
+        monkeypatch.setattr(storage, "_hashed", lambda keys, other: F.lit(7).cast("bigint"))
+    storage.ensure_database(spark, tables)
+    name = tables.full("events")
+    first = [(k, "x", "a") for k in range(1500)] + [(None, "x", "a"), (None, "x", "b")]
+    again = [(k, "x", "a") for k in range(1000, 1600)] * 2 + [(None, "x", "b"), (None, "x", "c")]
+    other = [(3, "x", "z"), (1600, "x", "p"), (1600, "x", "q"), (1600, "x", "q")]
+    storage.append_new(rows(spark, *first), name, "k")
+    for _ in range(2):
+        storage.append_new(rows(spark, *again, *other), name, "k")
+    kept = [r for r in values(spark.table(name)) if r[0] != 1600]
+    assert sorted(kept, key=repr) == sorted({*first, *again}, key=repr)
+    (stands,) = [r for r in values(spark.table(name)) if r[0] == 1600]
+    clashes = sorted(values(spark.table(f"{name}_clashes"), "k", "l", "v"))
+    assert clashes == sorted([(3, "x", "z"), *({(1600, "x", "p"), (1600, "x", "q")} - {stands})])
+
+
+def test_numbered_rows_are_those_of_the_numbers(spark):
+    part = 1 << 33  # row numbers of the second task begin here
+    every = [*range(1200), *range(part, part + 700)]
+    wanted = sorted({n for n in every if n % 7 == 0} | {0, 63, 64, 511, 512, 1023, part, part + 575})
+    frame = spark.createDataFrame([(n, str(n)) for n in every], "_row bigint, v string")
+    numbers = spark.createDataFrame([(n,) for n in wanted], "_row bigint")
+    assert sorted(values(storage._numbered(frame, numbers), "_row", "v")) == [(n, str(n)) for n in wanted]
+
+
+def test_small_appends_leave_few_files(spark, tables):
+    storage.ensure_database(spark, tables)
+    name = tables.full("events")
+    storage.append_new(rows(spark, *[(k, "x", "v") for k in range(3000)]).repartition(8), name, "k")
+    assert len(spark.table(f"{name}_ledger").inputFiles()) == storage.BUCKETS

@@ -52,7 +52,8 @@ def start_bronze(
     storage.ensure_folder(spark, paths.landing)
     posts = read_posts_stream(spark, paths.landing, max_files)
     valid = quality.expect(posts, quality.BRONZE_RULES, "bronze_rules")
-    return _writer(valid, paths, "bronze", every).format("parquet").start(paths.table("bronze"))
+    writer = _writer(valid, paths, "bronze", every).option("compression", storage.CODEC)
+    return writer.format("parquet").start(paths.table("bronze"))
 
 
 def start_silver(
