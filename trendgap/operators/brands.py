@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trendgap.config import DEFAULT_RULES, UNKNOWN_BRAND, Rules
-from trendgap.operators.gold import MICRO, tag_partials
+from trendgap.operators.gold import MICRO, tag_partials_at_once
 from trendgap.sources.storage import materialise
 
 GRAM = 3
@@ -99,7 +99,7 @@ def _first_of_few(texts: DataFrame, lower_text: Column, known: DataFrame) -> Dat
 def tag_owner_partials(silver: DataFrame) -> DataFrame:
     """Sums and best post per hashtag and owner: the base that every brand's view comes
     from. Posts are read once and shuffled once, whatever the number of brands."""
-    return tag_partials(silver, "hashtag", "brand")
+    return tag_partials_at_once(silver, "hashtag", "brand")
 
 
 def tag_views(partials: DataFrame) -> DataFrame:

@@ -114,11 +114,10 @@ def top_caption(silver: DataFrame) -> DataFrame:
     return found.select("hashtag", "top_caption", "engagement_rate")
 
 
-def tag_sums(silver: DataFrame, *by: str) -> DataFrame:
-    """Sums per hashtag (or other columns), stored. All are numbers."""
+def _numbers() -> list[Column]:
     total = F.col("likes") + F.col("comments") + F.col("shares")
     micro = F.round(F.col("sentiment_score") * F.lit(MICRO)).cast("bigint")
-    sums = silver.groupBy(*(by or ("hashtag",))).agg(
+    return [
         F.sum(total).alias("engagement_sum"),
         F.count(total).alias("engagement_count"),
         F.count(F.lit(1)).alias("post_count"),
@@ -127,9 +126,12 @@ def tag_sums(silver: DataFrame, *by: str) -> DataFrame:
         F.sum(micro).alias("sentiment_sum"),
         F.count(micro).alias("sentiment_count"),
         F.max("engagement_rate").alias("engagement_rate"),
-        lowest_rate(),
-    )
-    return materialise(sums, "tag-sums")
+    ]
+
+
+def tag_sums(silver: DataFrame, *by: str) -> DataFrame:
+    """Sums per hashtag (or other columns), stored. All are numbers."""
+    return materialise(silver.groupBy(*(by or ("hashtag",))).agg(*_numbers(), lowest_rate()), "tag-sums")
 
 
 def tag_partials(silver: DataFrame, *by: str, sums: DataFrame | None = None) -> DataFrame:
@@ -141,6 +143,15 @@ def tag_partials(silver: DataFrame, *by: str, sums: DataFrame | None = None) ->
     return found.select(*by, *SUMS, "place", "top_caption", "engagement_rate")
 
 
+def tag_partials_at_once(silver: DataFrame, *by: str) -> DataFrame:
+    """The rows of `tag_partials` from one scan and one shuffle. Each task sorts its rows, which
+    costs less than a second pass where many of them are the best of their group."""
+    place = F.struct((-F.col("engagement_rate")).alias("rate"), "post_id")
+    best = [F.min(place).alias("place"), F.min_by("caption", place).alias("top_caption")]
+    found = silver.groupBy(*by).agg(*_numbers(), *best)
+    return found.select(*by, *SUMS, "place", "top_caption", "engagement_rate")
+
+
 SUMS = (
     "engagement_sum", "engagement_count", "post_count", "competitor_post_count",
     "brand_post_count", "sentiment_sum", "sentiment_count",
