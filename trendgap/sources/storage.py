@@ -153,6 +153,9 @@ BUCKETS = 16
 # Rows that a task appends, so that small batches leave few files in the folders.
 APPENDED = 250_000
 
+# Bytes that a task holds of each of the files that it has open, one in every folder.
+ROW_GROUP = 16 << 20
+
 # Stands for the number of a row that the table holds.
 HELD = -1
 
@@ -281,8 +284,8 @@ def _open_folders(spark: SparkSession) -> Iterator[None]:
 
 def _into_folders(rows: DataFrame, ledger: str) -> None:
     with _open_folders(rows.sparkSession):
-        writer = rows.write.mode("append").option("compression", CODEC).partitionBy(BUCKET)
-        writer.format("parquet").saveAsTable(ledger)
+        writer = rows.write.mode("append").option("compression", CODEC).option("parquet.block.size", ROW_GROUP)
+        writer.partitionBy(BUCKET).format("parquet").saveAsTable(ledger)
 
 
 def _same(left: str, right: str, keys: tuple[str, ...]) -> Column:
